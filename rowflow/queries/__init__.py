@@ -5,5 +5,8 @@ from rowflow.queries import (  # noqa: F401
     expressions,
     rowsets,
     storage,
+    parameters,
+    corpus,
+    lineage,
 )
 from rowflow.queries.registry import ORACLES, QUERIES  # noqa: F401
