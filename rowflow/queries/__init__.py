@@ -8,5 +8,7 @@ from rowflow.queries import (  # noqa: F401
     parameters,
     corpus,
     lineage,
+    workflow,
+    catalog,
 )
 from rowflow.queries.registry import ORACLES, QUERIES  # noqa: F401
