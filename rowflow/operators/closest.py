@@ -27,6 +27,8 @@ def _best(names: Column, key: Column) -> Column:
 def _by_chunks(keys: DataFrame, names: DataFrame, chunks: int) -> DataFrame:
     part = F.pmod(F.xxhash64("name"), F.lit(chunks))
     packed = names.groupBy(part.alias("__part")).agg(F.collect_list("name").alias("__names"))
+    if chunks == 1:  # at most CHUNK names, as the caller has counted
+        packed = F.broadcast(packed)
     each = keys.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
     return (
         each.join(packed, "__part")

@@ -188,7 +188,7 @@ def _tables(flat: Column) -> Column:
     member = rf"{NAME}(?: AS \w+)?"
     lists = _all(
         code,
-        rf"(?:\b(?:FROM|REDUCE|PROCESS|COMBINE|WITH|APPLY)|JOIN) ?\(? ?((?>{member}(?: ?, ?{member})*))(?! ?[(<:])",
+        rf"(?:\b(?:FROM|REDUCE|PROCESS|COMBINE|WITH|APPLY)|JOIN)\b ?\(? ?((?>{member}(?: ?, ?{member})*))(?! ?[(<:])",
     )
     names = F.transform(
         F.split(F.array_join(lists, ","), " ?, ?"), lambda m: F.regexp_replace(m, r" AS \w+$", "")
@@ -200,7 +200,7 @@ def _sources(flat: Column, kind_: Column) -> Column:
     """Array of (source, source_type) that a rowset statement names."""
     stored = _all(flat, rf"SSTREAM ?({VALUE})")
     called = F.when(kind_ == "MODULE", _all(flat, rf"^\w+ ?= ?({NAME}) ?\(")).otherwise(
-        _all(flat, rf"FROM ?\(? ?({NAME}) ?\( ?\w+ ?=[^=]")
+        _all(flat, rf"\bFROM\b ?\(? ?({NAME}) ?\( ?\w+ ?=[^=]")
     )
     found = F.concat(
         _named(_all(flat, rf"STREAMSET ({VALUE})"), "SSTREAM<STREAMSET>_", "SSTREAM<STREAMSET>"),

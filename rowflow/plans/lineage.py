@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import fill_path_tokens
-from rowflow.operators.ordered import last_before, scan
+from rowflow.operators.ordered import last_before, max_before, scan
 
 # Name of the rowset a script without any named rowset builds, node classes by
 # name prefix with their colours, and the colours of outputs and of user operators.
@@ -34,7 +34,8 @@ def bind_versions(lookups: DataFrame, defs: DataFrame, block: Column | None = No
 
     ``lookups(script, name, pos, …)`` and ``defs(script, name, pos)`` are read in one ordered
     pass, lookups before the definition of their own statement: ``X = … FROM X`` reads the
-    old X. Adds ``version`` (position of the definition, -1 when there is none).
+    old X. Adds ``version`` (position of the definition, -1 when there is none). Positions grow
+    along a script, so the latest definition is the largest one, a plain hash aggregate.
     """
     stream = lookups.withColumn("__k", F.lit(0)).unionByName(
         defs.select("script", "name", "pos", F.lit(1).alias("__k"), F.col("pos").alias("__def")),
@@ -45,7 +46,7 @@ def bind_versions(lookups: DataFrame, defs: DataFrame, block: Column | None = No
         ["script", "name"],
         ["pos", "__k"],
         block if block is not None else by_position(),
-        {"version": last_before(F.col("__def"))},
+        {"version": max_before(F.col("__def"))},
     )
     version = F.coalesce("version", F.lit(EXTERNAL).cast(defs.schema["pos"].dataType))
     return bound.filter(F.col("__k") == 0).withColumn("version", version).drop("__k", "__def")
@@ -121,8 +122,8 @@ def edges(fact_rows: DataFrame) -> DataFrame:
         ["pos", "__k"],
         by_position(),
         {
-            "version": last_before(F.when(is_def, F.col("pos"))),
-            "seen": last_before(F.when(is_def | (F.col("role") == "read"), F.col("pos"))),
+            "version": max_before(F.when(is_def, F.col("pos"))),
+            "seen": max_before(F.when(is_def | (F.col("role") == "read"), F.col("pos"))),
         },
     )
     known = F.col("role").isin("read", "output") | F.col("seen").isNotNull()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowflow.plans import corpus as C
 from rowflow.queries.parameters import source
 from rowflow.queries.registry import query, table
+from rowflow.session import spread
 
 c = F.col
 
@@ -139,7 +140,8 @@ KINDS = (
 
 
 def statements(spark, d):
-    return C.statements(C.prepare(source(spark, d, SCRIPTS, "part").select("script", "text")))
+    scripts = spread(source(spark, d, SCRIPTS, "part").select("script", "text"), "script")
+    return C.statements(C.prepare(scripts))
 
 
 def cleaned(text: str) -> str:

@@ -8,7 +8,7 @@ from rowflow.plans import corpus as C, lineage as L
 from rowflow.queries.corpus import expected, spliced, statements
 from rowflow.queries.parameters import source
 from rowflow.queries.registry import query, table
-from rowflow.session import cut_lineage
+from rowflow.session import cut_lineage, spread
 
 c = F.col
 
@@ -32,7 +32,7 @@ def lin_version_edges(spark, d):
     s = table(spark, d, "events").select(
         "event_id", c("user_id").alias("script"), c("event_type").alias("made"), reads.alias("name"), pos.alias("pos")
     )
-    defs = s.select("script", c("made").alias("name"), "pos").distinct()
+    defs = s.select("script", c("made").alias("name"), "pos")
     day = F.floor(c("pos") / 86_400_000_000)
     bound = L.bind_versions(s.drop("made"), defs, day)
     return bound.select("event_id", c("script").alias("user_id"), "name", "version")
@@ -217,5 +217,5 @@ OUTPUT TO SSTREAM @Joined;~OUTPUT Left TO SSTREAM @Copied;~"""
 def lin_sample_script(spark, d):
     """Two stored inputs, a join, an implicit and a named output: 7 nodes and 6 edges a script."""
     scripts = source(spark, d, spliced(TWO_INPUTS.replace("\n", "")), "part").select("script", "text")
-    facts = cut_lineage(C.facts(C.statements(C.prepare(scripts))))
+    facts = cut_lineage(C.facts(C.statements(C.prepare(spread(scripts, "script")))))
     return L.export_edges(L.edges(facts)).drop("line")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowflow.functions import all_of, iff, literal
 from rowflow.operators import aggregate as A, joins as J, setops as S
 from rowflow.queries.registry import query, table
+from rowflow.session import spread
 
 MONEY = "decimal(18,2)"
 
@@ -346,7 +347,8 @@ def join_cross_apply(spark, d):
        WHERE word <> '' GROUP BY doc_id, word""",
 )
 def join_cross_apply_words(spark, d):
-    each = J.cross_apply(table(spark, d, "documents").select("doc_id", "text"), F.split("text", " "), "word")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    each = J.cross_apply(docs, F.split("text", " "), "word")
     return each.filter(F.col("word") != "").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowflow.functions import all_of
 from rowflow.operators import aggregate as A, joins as J, ordered as O, rowset as R
 from rowflow.queries.registry import query, table
+from rowflow.session import spread
 
 c = F.col
 BY_CUSTOMER_DATE = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -38,7 +39,7 @@ NET_SCHEMA = "l_orderkey bigint, l_linenumber int, net double, bulk boolean"
 )
 def rs_process(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity")
-    return R.process(l, net_price, NET_SCHEMA)
+    return R.process(spread(l, "l_orderkey"), net_price, NET_SCHEMA)
 
 
 @query(
@@ -203,7 +204,7 @@ def rs_combine_presort(spark, d):
 )
 def rs_combine_tfidf(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    terms = J.cross_apply(docs, F.split("text", " "), "term").filter(c("term") != "")
+    terms = J.cross_apply(spread(docs, "doc_id"), F.split("text", " "), "term").filter(c("term") != "")
     tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = J.attach_rows(
         tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs.agg(F.count(F.lit(1)).alias("n")), max_rows=1

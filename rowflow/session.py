@@ -31,7 +31,11 @@ def shared_root(spark: SparkSession) -> str:
     fresh temporary folder; on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
     if root:
         return root.rstrip("/")
     if not context.master.startswith("local"):
@@ -52,3 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Give heavy per-row work enough tasks: a source with fewer partitions than there are
+    cores is spread over them, any other is left where it is (no shuffle on a large input)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df

@@ -57,7 +57,7 @@ def duck_rows(con, sql):
     return rows_of(cur.fetchall(), columns)
 
 
-def session():
+def session(**conf):
     from rowflow.session import build_session
 
     return build_session(
@@ -68,6 +68,7 @@ def session():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.sql.execution.arrow.pyspark.enabled": "true",
+            **conf,
         },
     )
 
