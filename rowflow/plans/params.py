@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import format_date
+from rowflow.session import cut_lineage
 
 EXTERNAL = r"@@.*?@@"
 MASTER = r"\$\(.*?\)"
@@ -65,8 +66,10 @@ def _put_values(text: str, pattern: str) -> Column:
 
 
 def resolve_external(scripts: DataFrame, params: DataFrame) -> DataFrame:
-    """``@@name@@`` in ``scripts(script, text)`` from ``params(key, value)``."""
-    return substitute(scripts, ["script"], "text", EXTERNAL, external_key, params, [])
+    """``@@name@@`` in ``scripts(script, text)`` from ``params(key, value)``, or from
+    ``params(script, key, value)`` when each script has its own."""
+    scope = ["script"] if "script" in params.columns else []
+    return substitute(scripts, ["script"], "text", EXTERNAL, external_key, params, scope)
 
 
 def resolve_master(job: DataFrame, masters: DataFrame) -> DataFrame:
@@ -80,23 +83,33 @@ def resolve_master(job: DataFrame, masters: DataFrame) -> DataFrame:
 
 def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> DataFrame:
     """``@name`` inside the values of ``params(script, key, value)``, by the values of the same
-    script. A bounded number of passes, so a value that names itself cannot run on."""
-    defs = params.select(
+    script. A bounded number of passes, so a value that names itself cannot run on.
+
+    Each pass is checkpointed and goes on with the values it changed; the others are final.
+    """
+    defs = params.filter(F.col("value").isNotNull()).select(
         "script", F.concat(F.lit("@"), "key").alias("__token"), F.col("value").alias("__value")
     )
-    done = params.select("script", "key", F.col("value").alias("text"))
+    open_ = params.select("script", "key", F.col("value").alias("text"))
+    final = open_.filter(F.col("text").isNull() | ~F.col("text").contains("@"))
+    open_ = open_.filter(F.col("text").contains("@"))
     for _ in range(passes):
-        # The text travels with its tokens: reading ``done`` only once keeps the plan linear.
         tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)))
-        used = done.select("*", F.explode_outer(tokens).alias("__token"))
-        found = used.join(defs, ["script", "__token"], "left")
+        used = open_.select("*", F.explode_outer(tokens).alias("__token"))
         hit = F.when(F.col("__value").isNotNull(), F.struct("__token", "__value"))
-        done = (
-            found.groupBy("script", "key")
+        done = cut_lineage(
+            used.join(defs, ["script", "__token"], "left")
+            .groupBy("script", "key")
             .agg(F.first("text").alias("text"), F.map_from_entries(F.collect_list(hit)).alias("__hits"))
-            .select("script", "key", _put_values("text", REFERENCE).alias("text"))
+            .select(
+                "script", "key", _put_values("text", REFERENCE).alias("text"), (F.size("__hits") > 0).alias("changed")
+            )
         )
-    return done.select("script", "key", F.col("text").alias("value"))
+        final = final.unionAll(done.filter(~F.col("changed")).drop("changed"))
+        open_ = done.filter("changed").drop("changed")
+        if open_.isEmpty():
+            break
+    return final.unionAll(open_).select("script", "key", F.col("text").alias("value"))
 
 
 def job_params(jobs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowflow.functions.dates import event_name, interval_code
 from rowflow.operators.aggregate import list_of
+from rowflow.plans.params import job_params, resolve_master
 
 # The runner class whose configs count, the parameters that hold lists, the path
 # part that is always skipped, and the node that stands for "depends on nothing".
@@ -141,6 +142,19 @@ def script_processes(procs: DataFrame) -> DataFrame:
     return procs.groupBy("script").agg(F.min_by("process", "path").alias("process"))
 
 
+def process_params(parsed: DataFrame, masters: DataFrame) -> DataFrame:
+    """``(process, key, master, value)``: the job parameters of each process that a master lists,
+    with the master's values filled in. Of several masters the last one counts."""
+    items = parsed.filter(F.col("valid") & ~F.col("is_master")).select(
+        F.regexp_replace(file_name(F.col("path")), r"\.config", "").alias("process"),
+        F.get(F.filter("lists", lambda v: v["name"] == LIST_PARAMS[1]), F.lit(0))["values"].alias("items"),
+        "path",
+    )
+    jobs = items.filter(F.col("items").isNotNull()).groupBy("process").agg(F.max_by("items", "path").alias("items"))
+    owner = memberships(masters).groupBy("process").agg(F.max("master").alias("master"))
+    return resolve_master(job_params(jobs).join(owner, "process"), master_params(masters))
+
+
 def enabled(procs: DataFrame, members: DataFrame) -> DataFrame:
     """Processes that some master lists."""
     return procs.join(members.select("process"), "process", "left_semi")

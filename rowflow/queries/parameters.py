@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rowflow.functions import dates as D
 from rowflow.plans import params as P
 from rowflow.queries.registry import query, table
+from rowflow.session import spread
 
 c = F.col
 
@@ -24,7 +25,8 @@ def brace(sql: str, *names: str) -> str:
 
 
 def source(spark, d, sql, *names):
-    return spark.sql(brace(sql, *names), **{n: table(spark, d, n) for n in names})
+    """The input table of ``sql``, spread over the cores when it is one small file."""
+    return spread(spark.sql(brace(sql, *names), **{n: table(spark, d, n) for n in names}))
 
 
 TOKENS = """SELECT o_orderkey AS tid, o_orderdate AS d,

@@ -248,9 +248,10 @@ def region_revenue(spark, d):
     l = table(spark, d, "lineitem")
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    revenue = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    # Exact in whole units: hundredths of the price times hundredths of what is left to pay.
     # Lines are reduced to one row per order before the joins; an order has one customer.
-    per_order = l.groupBy("l_orderkey").agg(F.sum(revenue).alias("rev"), F.count(F.lit(1)).alias("lines"))
+    units = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
+    per_order = l.groupBy("l_orderkey").agg(F.sum(units).alias("units"), F.count(F.lit(1)).alias("lines"))
     joined = (
         per_order.join(o, per_order.l_orderkey == o.o_orderkey)
         .join(c, F.col("o_custkey") == c.c_custkey)
@@ -261,7 +262,7 @@ def region_revenue(spark, d):
         joined,
         {"region": F.col("r_name"), "status": F.col("o_orderstatus")},
         {
-            "revenue": F.sum("rev").cast("double"),
+            "revenue": (F.sum(F.col("units").cast("decimal(20,0)")) / 10000).cast("double"),
             "lines": F.sum("lines"),
             "orders": F.count(F.lit(1)),
         },

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rowflow.functions import dates as D
 from rowflow.operators import graph as G
 from rowflow.operators.closest import closest_process
-from rowflow.plans import workflow as W
+from rowflow.plans import project as P, workflow as W
 from rowflow.queries.parameters import source
 from rowflow.queries.registry import query, table
 from rowflow.session import cut_lineage
@@ -25,7 +25,8 @@ CONFIGS = """SELECT concat('/cfg/N', CAST(s_nationkey AS STRING), '/P', CAST(s_s
     '<P><Name>DeltaInterval</Name><Value>', CASE WHEN s_suppkey % 2 = 0 THEN '1.00:00:00' ELSE '03:00:00' END, '</Value></P>',
     CASE WHEN s_nationkey = 3 THEN '' ELSE concat('<P><Name>EventNamesToCheck</Name><Value><string>D:E',
       CAST(s_suppkey + 1 AS STRING), '/x</string><string>N', CAST(s_nationkey AS STRING), '</string></Value></P>') END,
-    '</Parameters></Workflow>') END AS text FROM supplier
+    '<P><Name>ScopeJobParams</Name><Value><string>-vc x</string><string>-params Base=/b/$(Root)/', CAST(s_suppkey AS STRING),
+    ',hour={HH}</string></Value></P></Parameters></Workflow>') END AS text FROM supplier
   UNION ALL SELECT concat('/cfg/N', CAST(s_nationkey AS STRING), '/M', CAST(s_suppkey AS STRING), '.config'),
   concat('<Master><SqlConnectionString>x</SqlConnectionString><Parameters><P><Name>Root</Name><Value>', s_name,
     '</Value></P><P><Name>Empty</Name><Value></Value></P></Parameters><Workflows><W><Process>P', CAST(s_suppkey AS STRING),
@@ -41,8 +42,9 @@ def parsed(spark, d):
     """SELECT s_suppkey AS k, '/cfg/N' || s_nationkey || '/P' || s_suppkey || '.config' AS path, p AS param,
          CASE p WHEN 'ScriptFile' THEN '/s/S' || s_suppkey || '.script' WHEN 'EventName' THEN 'E' || s_suppkey WHEN 'Note' THEN ''
            WHEN 'DeltaInterval' THEN CASE WHEN s_suppkey % 2 = 0 THEN '1.00:00:00' ELSE '03:00:00' END
+           WHEN 'ScopeJobParams' THEN '-vc x|-params Base=/b/$(Root)/' || s_suppkey || ',hour={HH}'
            ELSE 'D:E' || (s_suppkey + 1) || '/x|N' || s_nationkey END AS vals
-       FROM supplier, (VALUES ('ScriptFile'), ('EventName'), ('Note'), ('DeltaInterval'), ('EventNamesToCheck')) t(p)
+       FROM supplier, (VALUES ('ScriptFile'), ('EventName'), ('Note'), ('DeltaInterval'), ('EventNamesToCheck'), ('ScopeJobParams')) t(p)
        WHERE s_acctbal >= 0 AND (s_nationkey <> 3 OR p <> 'EventNamesToCheck')""",
 )
 def wf_ingest_xml(spark, d):
@@ -74,6 +76,38 @@ def wf_normalise(spark, d):
     return procs.select("process", "script", "event", c("interval").alias("interval_"), F.size("deps").alias("deps"))
 
 
+LISTED = "s_acctbal >= 0 AND s_suppkey % 4 <> 0"
+
+
+@query(
+    "wf_process_params",
+    f"""SELECT 'P' || s_suppkey AS process, key, 'N' || s_nationkey || '##M' || s_suppkey || '.config' AS master,
+         CASE key WHEN 'Base' THEN '/b/' || s_name || '/' || s_suppkey ELSE '{{HH}}' END AS value
+       FROM supplier, (VALUES ('Base'), ('hour')) t(key) WHERE {LISTED}""",
+)
+def wf_process_params(spark, d):
+    files = cut_lineage(parsed(spark, d))
+    return W.process_params(files, W.first_masters(files))
+
+
+PROJECT_SCRIPTS = """SELECT concat('S', CAST(s_suppkey AS STRING), '.script') AS script, concat(
+  'In = SELECT Id FROM (SSTREAM "@@Base@@/in.ss"); // read', chr(10), 'OUTPUT In TO SSTREAM "@@Out@@/', s_name, '.ss";') AS text FROM supplier"""
+
+
+@query(
+    "wf_project_edges",
+    f"""SELECT 'S' || s_suppkey || '.script' AS script, 'SSTREAM_"' || CASE WHEN s_suppkey % 7 <> 0 AND {LISTED}
+         THEN '/b/' || s_name || '/' || s_suppkey ELSE '/default' END || '/in.ss"' AS src, 'In' AS dst FROM supplier
+       UNION ALL SELECT 'S' || s_suppkey || '.script', 'In', '"/out/' || s_name || '.ss"' FROM supplier""",
+)
+def wf_project_edges(spark, d):
+    """From config and script texts to lineage; scripts without a listed process use defaults."""
+    defaults = table(spark, d, "region").agg(F.lit("/default").alias("Base"), F.lit("/out").alias("Out"))
+    defaults = defaults.unpivot([], ["Base", "Out"], "key", "value")
+    scripts = source(spark, d, PROJECT_SCRIPTS, "supplier")
+    return P.build(source(spark, d, CONFIGS, "supplier"), scripts, defaults).edges.select("script", "src", "dst")
+
+
 @query("wf_enabled", f"SELECT process, script FROM ({PROCESS_SQL}) WHERE s_suppkey % 4 <> 0")
 def wf_enabled(spark, d):
     files = parsed(spark, d)
