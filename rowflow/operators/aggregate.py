@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowflow.operators.ordered import row_number, running_sum, scan
+from rowflow.operators.ordered import group_total, row_number, running_sum, scan
 
 
 def implicit_group(
@@ -76,13 +76,19 @@ def others_in_group(
     cells = df.groupBy(key, position).agg(
         F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(n) for n, c in amounts.items()]
     )
-    ranked = scan(cells, [key], [position], block, {"__upto": running_sum(F.col("__n"))})
-    total = over_partition(
-        ranked,
+    # Totals and running counts come from the same block summaries: one shuffle of the cells.
+    done = scan(
+        cells,
         [key],
-        {"__all": F.sum("__n"), **{f"__t_{n}": F.sum(n) for n in amounts}},
+        [position],
+        block,
+        {
+            "__upto": running_sum(F.col("__n")),
+            "__all": group_total(F.col("__n")),
+            **{f"__t_{n}": group_total(F.col(n)) for n in amounts},
+        },
     )
-    return total.select(
+    return done.select(
         key,
         position,
         F.col("__n").alias("rows"),

@@ -49,6 +49,16 @@ def running_sum(value: Column) -> Scan:
     )
 
 
+def group_total(value: Column) -> Scan:
+    """Sum over the whole group, on each of its rows."""
+    return Scan(
+        value,
+        lambda v, order: F.sum(v),
+        lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        lambda v, w: F.first(v).over(_through(w)),
+    )
+
+
 def max_before(value: Column) -> Scan:
     """Largest value strictly before the row."""
     return Scan(
