@@ -71,89 +71,103 @@ def rowset_facts(fact_rows: DataFrame) -> DataFrame:
     )
 
 
-def statement_targets(fact_rows: DataFrame) -> DataFrame:
-    """``(script, pos, target, prev)`` where targets are (name, version); until a rowset is named
-    the previous one is the implicit rowset."""
+def with_targets(fact_rows: DataFrame) -> DataFrame:
+    """Adds ``target``, the (name, version) a statement assigns, and ``prev``, the latest target
+    before it; until a rowset is named that is the implicit one."""
     target = F.when(
         F.col("assign_var").isNotNull(), F.struct(F.col("assign_var").alias("name"), F.col("pos").alias("version"))
     )
-    rows = fact_rows.select("script", "pos", target.alias("target"))
     implicit = F.struct(F.lit(IMPLICIT).alias("name"), F.lit(EXTERNAL).alias("version"))
-    return previous_target(rows).withColumn("prev", F.coalesce("prev", implicit))
+    done = previous_target(fact_rows.withColumn("target", target))
+    return done.withColumn("prev", F.coalesce("prev", implicit))
 
 
-def edges(fact_rows: DataFrame) -> DataFrame:
-    """``(script, kind, src, src_version, dst, dst_version)`` with kind ``read``, ``parent`` (A to
-    A.b), ``param`` (rowset to module) or ``output``.
+MENTION = "struct<role string, name string, other string>"
 
-    One ordered pass over (script, name) answers all lookups; one over (script) gives the
-    previous rowset. Outputs are nodes of version -1 named by their path. ``fact_rows`` is read
-    several times: pass a table or a checkpoint of :func:`rowflow.plans.corpus.facts`.
-    """
-    rows = rowset_facts(fact_rows)
-    # Every mention of a name in one statement, from one explode: the role says what is asked.
-    mention = lambda role, name, other: F.struct(
-        F.lit(role).alias("role"), name.alias("name"), other.cast("string").alias("other")
-    )
-    sources = F.coalesce("sources", F.array().cast(fact_rows.schema["sources"].dataType))
+
+def _mention(role, name: Column | None = None, other: Column | None = None) -> Column:
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    role = role if isinstance(role, Column) else F.lit(role)
+    return F.struct(role.alias("role"), text(name).alias("name"), text(other).alias("other"))
+
+
+def _mentions(source_type) -> Column:
+    """Every name a statement mentions, with what is asked of it: ``read`` a source, its
+    ``parent`` A when it is A.b, ``param`` of a module, ``output`` source, ``def`` of the target. A
+    statement that names no source mentions the previous rowset, as a name that is null."""
+    none = F.array().cast(f"array<{MENTION}>")
+    sources = F.coalesce("sources", F.array().cast(source_type))
     modules = F.filter(sources, lambda s: s["source_type"] == "MODULE")
+    dotted = F.filter(sources, lambda s: s["source"].contains("."))
     written = F.coalesce("output.sources", F.array().cast("array<string>"))
     path = F.col("output.path")
-    asked = F.concat(
-        F.transform(sources, lambda s: mention("read", s["source"], F.lit(None))),
-        F.transform(
-            F.filter(sources, lambda s: s["source"].contains(".")),
-            lambda s: mention("parent", F.substring_index(s["source"], ".", 1), s["source"]),
-        ),
-        F.flatten(
-            F.transform(modules, lambda m: F.transform("params", lambda p: mention("param", p, m["source"])))
-        ),
-        F.transform(written, lambda w: mention("output", w, path)),
-        F.when(
-            F.col("assign_var").isNotNull(), F.array(mention("def", F.col("assign_var"), F.lit(None)))
-        ).otherwise(F.array().cast("array<struct<role string, name string, other string>>")),
+    implied = F.when(
+        (F.size(sources) == 0) & (F.size(written) == 0),
+        F.array(_mention(F.when(path.isNotNull(), "output").otherwise("read"), None, path)),
+    ).otherwise(none)
+    params = F.transform(
+        modules, lambda m: F.transform("params", lambda p: _mention("param", p, m["source"]))
+    )
+    assigned = F.when(
+        F.col("assign_var").isNotNull(), F.array(_mention("def", F.col("assign_var")))
+    ).otherwise(none)
+    return F.concat(
+        F.transform(sources, lambda s: _mention("read", s["source"])),
+        F.transform(dotted, lambda s: _mention("parent", F.substring_index(s["source"], ".", 1), s["source"])),
+        F.flatten(params),
+        F.transform(written, lambda w: _mention("output", w, path)),
+        implied,
+        assigned,
+    )
+
+
+def edges(fact_rows: DataFrame) -> DataFrame:
+    """``(script, kind, src, src_version, dst, dst_version)`` with kind ``read``, ``parent`` (A to
+    A.b), ``param`` (rowset to module) or ``output``. Outputs are nodes of version -1 named by
+    their path.
+
+    One ordered pass over (script) gives each statement its previous rowset, one over
+    (script, name) answers all mentions; there is no join. ``fact_rows`` is read several
+    times: pass a table or a checkpoint of :func:`rowflow.plans.corpus.facts`.
+    """
+    rows = rowset_facts(fact_rows).select("script", "pos", "assign_var", "sources", "params", "output")
+    asked = _mentions(fact_rows.schema["sources"].dataType)
+    stream = (
+        with_targets(rows)
+        .select("script", "pos", "target", "prev", F.explode(asked).alias("m"))
+        .select("script", "pos", "target", "prev", "m.*")
     )
-    stream = rows.select("script", "pos", F.explode(asked).alias("m")).select("script", "pos", "m.*")
-    step = F.when(F.col("role") == "read", 0).when(F.col("role") == "def", 2).otherwise(1)
-    is_def = F.col("role") == "def"
+    is_def, is_read = F.col("role") == "def", F.col("role") == "read"
+    named = F.col("name").isNotNull()
     bound = scan(
-        stream.withColumn("__k", step),
+        stream.withColumn("__k", F.when(is_read, 0).when(is_def, 2).otherwise(1)),
         ["script", "name"],
         ["pos", "__k"],
         by_position(),
         {
             "version": max_before(F.when(is_def, F.col("pos"))),
-            "seen": max_before(F.when(is_def | (F.col("role") == "read"), F.col("pos"))),
+            "seen": max_before(F.when((is_def | is_read) & named, F.col("pos"))),
         },
     )
-    known = F.col("role").isin("read", "output") | F.col("seen").isNotNull()
-    unknown = (F.col("role") == "output") & F.col("seen").isNull()
-    found = bound.filter(~is_def & known).select(
-        "script",
-        "pos",
-        "role",
-        "other",
-        F.when(~unknown, F.col("name")).alias("src"),
-        F.when(~unknown, F.coalesce("version", F.lit(EXTERNAL))).alias("src_version"),
-    )
-    silent = rows.filter(F.size(F.concat(sources, F.transform(written, lambda w: F.struct(w.alias("source"), w.alias("source_type"))))) == 0)
-    is_out = F.col("output").isNotNull()
-    implied = silent.select(
-        "script", "pos", F.when(is_out, F.lit("output")).otherwise(F.lit("read")).alias("role"), path.alias("other")
-    )
-    full = found.unionByName(implied, allowMissingColumns=True).join(
-        statement_targets(rows), ["script", "pos"], "left"
-    )
+    # An output of a name nobody mentioned before writes the previous rowset; a dotted name or
+    # a module parameter counts only when it was mentioned before.
+    unseen = F.col("seen").isNull()
+    to_prev = ~named | ((F.col("role") == "output") & unseen)
+    inner = F.col("role").isin("parent", "param")
     to = F.coalesce("target", "prev")
-    inner = F.col("role").isin("parent", "param", "output")
-    return full.select(
-        "script",
-        F.col("role").alias("kind"),
-        F.coalesce("src", F.col("prev.name")).alias("src"),
-        F.coalesce("src_version", F.col("prev.version")).alias("src_version"),
-        F.when(inner, F.col("other")).otherwise(to["name"]).alias("dst"),
-        F.when(inner, F.lit(EXTERNAL)).otherwise(to["version"]).alias("dst_version"),
-    ).distinct()
+    leaves = inner | (F.col("role") == "output")
+    return (
+        bound.filter(~is_def & ~(inner & unseen))
+        .select(
+            "script",
+            F.col("role").alias("kind"),
+            F.when(to_prev, F.col("prev.name")).otherwise(F.col("name")).alias("src"),
+            F.when(to_prev, F.col("prev.version")).otherwise(F.coalesce("version", F.lit(EXTERNAL))).alias("src_version"),
+            F.when(leaves, F.col("other")).otherwise(to["name"]).alias("dst"),
+            F.when(leaves, F.lit(EXTERNAL)).otherwise(to["version"]).alias("dst_version"),
+        )
+        .distinct()
+    )
 
 
 def node_class(name: Column, is_output: Column, using: Column) -> Column:

@@ -28,7 +28,7 @@ def lin_version_edges(spark, d):
     another type, picked by its payload."""
     n = F.regexp_extract("props", "[0-9]+", 0).cast("int") % 5
     reads = F.when(n == 0, "click").when(n == 1, "view").when(n == 2, "purchase").when(n == 3, "error").otherwise("raw")
-    pos = F.unix_micros(c("ts").cast("timestamp"))
+    pos = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c("ts"))
     s = table(spark, d, "events").select(
         "event_id", c("user_id").alias("script"), c("event_type").alias("made"), reads.alias("name"), pos.alias("pos")
     )

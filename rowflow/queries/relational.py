@@ -144,12 +144,12 @@ def prj_inner_select(spark, d):
 
 @query(
     "prj_literals",
-    """SELECT n_name, CAST(0 AS BIGINT) AS above_cnt, CAST(7 AS DOUBLE) AS uid,
-       CAST(1.5 AS DOUBLE) AS amount, CAST(0.5 AS FLOAT) AS rate, 'tag' AS tag FROM nation""",
+    """SELECT c_custkey, CAST(0 AS BIGINT) AS above_cnt, CAST(7 AS DOUBLE) AS uid,
+       CAST(1.5 AS DOUBLE) AS amount, CAST(0.5 AS FLOAT) AS rate, 'tag' AS tag FROM customer""",
 )
 def prj_literals(spark, d):
-    return table(spark, d, "nation").select(
-        "n_name",
+    return table(spark, d, "customer").select(
+        "c_custkey",
         literal(0, "L").alias("above_cnt"),
         literal(7, "UL").cast("double").alias("uid"),
         literal(1.5, "M").cast("double").alias("amount"),

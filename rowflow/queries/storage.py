@@ -206,9 +206,10 @@ def snk_output_union(spark, d):
     return spark.read.parquet(sinks.output(cust.unionAll(supp).unionAll(nat), scratch_path(spark, "union")))
 
 
-@query("snk_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+@query("snk_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 def snk_csv(spark, d):
-    path = sinks.output_csv(table(spark, d, "nation").select("n_nationkey", "n_name"), scratch_path(spark, "csv"))
+    cust = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = sinks.output_csv(cust, scratch_path(spark, "csv"))
     return spark.read.option("header", True).csv(path)
 
 
@@ -220,4 +221,6 @@ def snk_csv(spark, d):
        FROM (DESCRIBE SELECT * FROM lineitem)""",
 )
 def snk_schema(spark, d):
-    return sinks.schema_rows(table(spark, d, "lineitem"))
+    # The schema of the table as stored.
+    path = sinks.output(table(spark, d, "lineitem"), scratch_path(spark, "schema"))
+    return sinks.schema_rows(spark.read.parquet(path))
