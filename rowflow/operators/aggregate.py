@@ -42,10 +42,11 @@ def list_of(
     block: Column,
     name: str = "items",
     chunk: int = 1000,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``LIST(x)`` in a fixed order. A group longer than ``chunk`` continues in further rows
     (``part`` 0, 1, ...), so no row and no task ever holds an unbounded group."""
-    numbered = scan(df, keys, order, block, {"__n": row_number()})
+    numbered = scan(df, keys, order, block, {"__n": row_number()}, hot_rows)
     part = F.floor((F.col("__n") - 1) / chunk)
     pairs = numbered.select(
         *keys, part.cast("long").alias("part"), F.struct(F.col("__n"), item.alias("v")).alias("__p")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowflow.session import cut_lineage
 
 CHUNK = 2000
+MAX_LENGTHS = 1000
 
 
 def _best(names: Column, key: Column) -> Column:
@@ -92,12 +93,13 @@ def containing(cores: DataFrame, texts: DataFrame) -> DataFrame:
     ``core`` in it. The texts are cut into pieces of the lengths that occur among the cores,
     which makes the search an equi-join."""
     lengths = cores.select(F.length("core").alias("n")).distinct().filter(F.col("n") > 0)
-    known = [r[0] for r in lengths.limit(1001).collect()]
-    if len(known) > 1000:
-        raise ValueError("names of more than 1000 different lengths")
+    known = [r[0] for r in lengths.limit(MAX_LENGTHS + 1).collect()]
     if not known:
         return cores.limit(0).select("core", F.lit(None).cast("string").alias("value"))
-    wanted = F.filter(F.array(*[F.lit(n) for n in sorted(known)]), lambda n: n <= F.length("text"))
+    # Beyond the bound every length is cut, which finds the same with more pieces.
+    few = F.array(*[F.lit(n) for n in sorted(known)]) if len(known) <= MAX_LENGTHS else None
+    wanted = F.sequence(F.lit(1), F.length("text")) if few is None else F.filter(few, lambda n: n <= F.length("text"))
+    texts = texts.filter(F.length("text") > 0)
     pieces = F.flatten(
         F.transform(
             wanted,

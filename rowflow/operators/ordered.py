@@ -79,17 +79,43 @@ def last_before(value: Column) -> Scan:
     )
 
 
+def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
+    """Keys with more than ``more_than`` rows, as ``__hot_<key>``, and their row counts ``__n``. There
+    are at most rows / ``more_than`` of them."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > more_than)
+    return counts.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], "__n")
+
+
+def _with_blocks(df: DataFrame, keys: list[str], block: Column, hot_rows: int | None) -> DataFrame:
+    if hot_rows is None:
+        return df.withColumn(BLOCK, block)
+    hot = hot_keys(df, keys, hot_rows)
+    match = [df[k].eqNullSafe(hot[f"__hot_{k}"]) for k in keys]
+    is_hot = F.col("__n").isNotNull()
+    return df.join(hot, match, "left").select(*df.columns, F.when(is_hot, block).alias(BLOCK))
+
+
 def seed_blocks(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, scans: dict[str, Scan]
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    block: Column,
+    scans: dict[str, Scan],
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``df`` with its blocks, and one more row (``__row`` = 0) in front of each block whose
-    ``__v_<name>`` columns hold what the earlier blocks of the group amount to."""
+    ``__v_<name>`` columns hold what the earlier blocks of the group amount to.
+
+    With ``hot_rows`` only groups beyond that size are cut; the rest are one block each, so
+    fine blocks cost ordinary groups nothing but a count of the keys.
+    """
     values = {f"__v_{name}": s for name, s in scans.items()}
-    base = df.withColumn(BLOCK, block).withColumns({c: s.value for c, s in values.items()})
+    base = _with_blocks(df, keys, block, hot_rows).withColumns({c: s.value for c, s in values.items()})
     position = F.struct(*order)
-    groups = base.groupBy(*keys, BLOCK)
     if values:
-        folded = groups.agg(*[s.fold(F.col(c), position).alias(c) for c, s in values.items()])
+        folded = base.groupBy(*keys, BLOCK).agg(
+            *[s.fold(F.col(c), position).alias(c) for c, s in values.items()]
+        )
     else:
         folded = base.select(*keys, BLOCK).distinct()
     across = Window.partitionBy(*keys).orderBy(BLOCK)
@@ -108,10 +134,11 @@ def scan(
     order: list[str],
     block: Column,
     scans: dict[str, Scan],
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add one column per scan. ``order`` is a total ascending order inside ``keys``, and
     ``block`` must not decrease along it."""
-    seeded = seed_blocks(df, keys, order, block, scans)
+    seeded = seed_blocks(df, keys, order, block, scans, hot_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(ROW, *order)
     result = seeded.select(
         *df.columns,
@@ -129,8 +156,9 @@ def rank(
     names: tuple[str, str] = ("rank", "dense_rank"),
     descending: bool = False,
 ) -> DataFrame:
-    """Rank and dense rank. ``block`` must be a function of the first order column, so rows
-    that tie never lie in two blocks; ``descending`` says which way blocks follow each other."""
+    """Rank and dense rank. ``block`` must be a function of the order columns that grows with
+    them (a struct of the first and a range of the second, say), so rows that tie never lie
+    in two blocks; ``descending`` is the direction of all order columns and of the blocks."""
     base = df.withColumn(BLOCK, block)
     ties = F.struct(*[c for c in order])
     folded = (

@@ -63,17 +63,18 @@ def reduce_rows(
     produce: str,
     using: RowsFn,
     state: dict[str, Scan] | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``REDUCE X ON k PRESORT cols PRODUCE cols USING f``.
 
-    A group is cut into blocks along the presort order (``block`` does not decrease along
-    it), so one task never has to take a whole group. What ``f`` must know about the rows
+    A group (with ``hot_rows``: a group beyond that size) is cut into blocks along the presort
+    order (``block`` does not decrease along it), so one task never has to take all of it. What ``f`` must know about the rows
     before a block is its ``state``: each entry is a scan whose fold and merge run natively,
     and its value before the block comes with every row as a column of that name (null in
     the first block). ``f`` gets frames of many whole blocks, sorted, with the column
     ``group`` numbering the blocks of the frame, and works on them in a vectorised way.
     """
-    seeded = seed_blocks(df, on, presort, block, state or {})
+    seeded = seed_blocks(df, on, presort, block, state or {}, hot_rows)
     inside = Window.partitionBy(*on, BLOCK).orderBy(ROW, *presort)
     through = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ready = seeded.select(
@@ -93,16 +94,6 @@ def reduce_rows(
     return ready.mapInPandas(batches, produce)
 
 
-def hot_shares(df: DataFrame, on: list[str], target_rows: int) -> DataFrame:
-    """Keys with more than ``target_rows`` rows and the number of shares they are cut into.
-    There are at most rows / ``target_rows`` of them."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.filter(F.col("__n") > target_rows).select(
-        *[F.col(k).alias(f"__hot_{k}") for k in on],
-        F.ceil(F.col("__n") / target_rows).cast("int").alias("__shares"),
-    )
-
-
 def combine(
     left: DataFrame,
     right: DataFrame,

@@ -29,7 +29,9 @@ def by_position() -> Column:
     return F.floor(F.col("pos") / BLOCK)
 
 
-def bind_versions(lookups: DataFrame, defs: DataFrame, block: Column | None = None) -> DataFrame:
+def bind_versions(
+    lookups: DataFrame, defs: DataFrame, block: Column | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """The version of each looked-up name: the latest definition strictly before.
 
     ``lookups(script, name, pos, …)`` and ``defs(script, name, pos)`` are read in one ordered
@@ -47,6 +49,7 @@ def bind_versions(lookups: DataFrame, defs: DataFrame, block: Column | None = No
         ["pos", "__k"],
         block if block is not None else by_position(),
         {"version": max_before(F.col("__def"))},
+        hot_rows,
     )
     version = F.coalesce("version", F.lit(EXTERNAL).cast(defs.schema["pos"].dataType))
     return bound.filter(F.col("__k") == 0).withColumn("version", version).drop("__k", "__def")

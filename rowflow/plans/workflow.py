@@ -207,10 +207,15 @@ def node_colour(type_: Column, interval: Column) -> Column:
 
 
 def rollup(members: DataFrame, chunk: int = 1000) -> DataFrame:
-    """``(master, group, part, processes)``: sorted process names, long groups in parts."""
-    rows = members.select("master", "group", "process").distinct()
-    first = F.substring("process", 1, 4)
-    return list_of(rows, ["master", "group"], ["process"], F.col("process"), first, "processes", chunk)
+    """``(master, group, part, processes)``: process names of a group, sorted within a part; a
+    group longer than ``chunk`` has several parts. Groups are cut by the hash of the name, which
+    balances whatever the names look like."""
+    rows = members.select("master", "group", "process").distinct().withColumn("__h", F.xxhash64("process"))
+    lists = list_of(
+        rows, ["master", "group"], ["__h", "process"], F.col("process"), F.shiftright("__h", 50), "processes", chunk,
+        hot_rows=1_000_000,
+    )
+    return lists.withColumn("processes", F.array_sort("processes"))
 
 
 def targets(procs: DataFrame, folder: str | None = None, names: list[str] | None = None) -> DataFrame:

@@ -33,8 +33,8 @@ def lin_version_edges(spark, d):
         "event_id", c("user_id").alias("script"), c("event_type").alias("made"), reads.alias("name"), pos.alias("pos")
     )
     defs = s.select("script", c("made").alias("name"), "pos")
-    day = F.floor(c("pos") / 86_400_000_000)
-    bound = L.bind_versions(s.drop("made"), defs, day)
+    minute = F.floor(c("pos") / 60_000_000)
+    bound = L.bind_versions(s.drop("made"), defs, minute, hot_rows=1_000_000)
     return bound.select("event_id", c("script").alias("user_id"), "name", "version")
 
 

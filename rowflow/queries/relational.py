@@ -495,7 +495,8 @@ def agg_having(spark, d):
 def agg_list(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     block = F.floor(F.col("o_orderkey") / 1_000_000)
-    lists = A.list_of(o, ["o_custkey"], ["o_orderkey"], F.col("o_orderkey").cast("string"), block, "orders")
+    text = F.col("o_orderkey").cast("string")
+    lists = A.list_of(o, ["o_custkey"], ["o_orderkey"], text, block, "orders", hot_rows=1_000_000)
     return lists.withColumn("orders", F.array_join("orders", ","))
 
 
@@ -509,7 +510,8 @@ def agg_list(spark, d):
 def agg_list_struct(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     node = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
-    lists = A.list_of(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], node, F.date_trunc("year", "o_orderdate"), "nodes")
+    day = F.date_trunc("day", "o_orderdate")
+    lists = A.list_of(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], node, day, "nodes", hot_rows=1_000_000)
     text = F.transform("nodes", lambda n: F.concat_ws(":", n["id"].cast("string"), n["state"]))
     return lists.withColumn("nodes", F.array_join(text, ";"))
 

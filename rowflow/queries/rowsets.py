@@ -18,8 +18,12 @@ def customer_orders(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-def by_year():
-    return F.date_trunc("year", "o_orderdate")
+# Customers with more orders than this are cut by day.
+HOT = 1_000_000
+
+
+def by_day():
+    return F.date_trunc("day", "o_orderdate")
 
 
 def net_price(rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,10 +81,11 @@ def rs_reduce(spark, d):
         customer_orders(spark, d).select("o_custkey", "o_orderdate", "o_orderkey", cents.alias("cents")),
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        by_year(),
+        by_day(),
         "o_custkey bigint, o_orderkey bigint, balance bigint",
         running_rows,
         state={"before": O.running_sum(c("cents"))},
+        hot_rows=HOT,
     )
 
 
@@ -102,7 +107,8 @@ def rs_reduce_topn(spark, d):
 )
 def rs_reduce_rank(spark, d):
     l = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
-    ranked = O.rank(l, ["l_returnflag"], [c("l_quantity"), c("l_suppkey")], c("l_quantity"), descending=True)
+    block = F.struct("l_quantity", F.floor(c("l_suppkey") / 16).alias("stripe"))
+    ranked = O.rank(l, ["l_returnflag"], [c("l_quantity"), c("l_suppkey")], block, descending=True)
     return ranked.drop("l_suppkey")
 
 
@@ -113,7 +119,7 @@ def rs_reduce_rank(spark, d):
 )
 def rs_reduce_sample(spark, d):
     o = customer_orders(spark, d).select("o_custkey", "o_orderdate", "o_orderkey")
-    numbered = O.scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], by_year(), {"rn": O.row_number()})
+    numbered = O.scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], by_day(), {"rn": O.row_number()}, HOT)
     return R.every_nth(numbered, "rn", 3).select("o_custkey", "o_orderkey", "rn")
 
 
@@ -128,8 +134,9 @@ def rs_reduce_monotone(spark, d):
         customer_orders(spark, d),
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        by_year(),
+        by_day(),
         {"before": O.max_before(c("o_totalprice"))},
+        HOT,
     )
     keep = c("before").isNull() | (c("o_totalprice") >= c("before"))
     return seen.filter(keep).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -144,7 +151,7 @@ def rs_reduce_monotone(spark, d):
 def rs_reduce_pack(spark, d):
     node = F.struct(c("o_orderkey").alias("id"), c("o_orderstatus").alias("state"))
     lists = A.list_of(
-        customer_orders(spark, d), ["o_custkey"], ["o_orderdate", "o_orderkey"], node, by_year(), "record"
+        customer_orders(spark, d), ["o_custkey"], ["o_orderdate", "o_orderkey"], node, by_day(), "record", hot_rows=HOT
     )
     return lists.withColumn("record", F.to_json("record"))
 

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowflow.operators.rowset import hot_shares
+from rowflow.operators.ordered import hot_keys
 
 EXPIRES = "_expires_on"
 
@@ -14,8 +14,9 @@ EXPIRES = "_expires_on"
 def cluster(df: DataFrame, column: str, files: int, target_rows: int = 1_000_000) -> DataFrame:
     """``[HASH] CLUSTERED BY``: the rows of a key share one file. A key beyond ``target_rows``
     continues in further files instead of making one long task."""
-    hot = hot_shares(df, [column], target_rows)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce("__shares", F.lit(1)))
+    hot = hot_keys(df, [column], target_rows)
+    shares = F.ceil(F.coalesce("__n", F.lit(1)) / target_rows)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), shares)
     shared = df.join(hot, df[column].eqNullSafe(hot[f"__hot_{column}"]), "left")
     return (
         shared.select(*df.columns, spread.alias("__share"))

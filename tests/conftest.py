@@ -17,7 +17,7 @@ def shared_folder(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def spark(shared_folder):
-    session = harness.session(**{"spark.checkpoint.dir": shared_folder})
+    session = harness.session(**{"spark.checkpoint.dir": shared_folder, "spark.sql.warehouse.dir": f"{shared_folder}/tables"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -30,21 +30,33 @@ def same(a, b):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
-def test_scans_equal_plain_windows(skewed):
+@pytest.mark.parametrize("hot_rows", [None, 200, 10_000])
+def test_scans_equal_plain_windows(skewed, hot_rows):
     w = Window.partitionBy("k").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     through = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     got = O.scan(
         skewed, ["k"], ["pos"], F.floor(F.col("pos") / 50),
-        {"n": O.row_number(), "s": O.running_sum(F.col("w")), "m": O.max_before(F.col("v")), "l": O.last_before(F.col("w"))},
+        {"n": O.row_number(), "s": O.running_sum(F.col("w")), "m": O.max_before(F.col("v")), "l": O.last_before(F.col("w")),
+         "t": O.group_total(F.col("v"))},
+        hot_rows,
     )
     want = skewed.select(
         "*", F.row_number().over(w).cast("long").alias("n"), F.sum("w").over(through).alias("s"),
         F.max("v").over(before).alias("m"), F.last("w", ignorenulls=True).over(before).alias("l"),
+        F.sum("v").over(Window.partitionBy("k")).alias("t"),
     )
     same(got, want)
 
 
+def test_rank_with_blocks_of_two_columns(skewed):
+    order = [F.col("v"), F.col("w")]
+    rows = skewed.filter(F.col("w").isNotNull())
+    got = O.rank(rows, ["k"], order, F.struct("v", F.floor(F.col("w") / 6).alias("s")), descending=True)
+    w = Window.partitionBy("k").orderBy(*[c.desc() for c in order])
+    same(got, rows.select("*", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense_rank")))
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_rank_equals_plain_window(skewed, descending):
     v = F.col("v").desc() if descending else F.col("v").asc()

@@ -73,6 +73,18 @@ def test_hot_cluster_key_continues_in_other_files(spark, tmp_path):
     assert spread.pop(0) > 1 and set(spread.values()) == {1}
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("b1", "b2"):
+            sinks.output_bucketed(spark.range(50).toDF("k"), name, "k", 4, sorted_by="k")
+        joined = spark.table("b1").join(spark.table("b2"), "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sorted_output(spark, tmp_path):
     df = spark.range(100).select((F.col("id") * 37 % 11).alias("k"))
     path = sinks.output(df, str(tmp_path / "s"), clustered_by="k", files=3, sorted_by="k")
