@@ -119,3 +119,28 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
             yield len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest()
 
     return per_text(table(spark, folder, "documents"), digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+
+
+@query("op1_html_text")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def extract(parts):
+        import pandas as pd
+
+        from rowflow.llm.html import main_text
+
+        for part in parts:
+            yield pd.Series([main_text(x) for x in part.tolist()], dtype=object)
+
+    pages = table(spark, folder, "pages").select("page_id", "url", extract(F.coalesce("html", F.lit(""))).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, severity (expected grade), p_toxic, grade and toxic of every document."""
+    from rowflow.llm import toxicity
+
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.with_scores(docs.select("doc_id", "text"), model).drop("text")
