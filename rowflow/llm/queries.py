@@ -144,3 +144,36 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.with_scores(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query("op6_forest_neighbours")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm import forest
+
+    vectors = table(spark, folder, "embeddings")
+    return forest.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query(
+    "op10_block_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm import blocks
+
+    vectors = table(spark, folder, "embeddings")
+    return blocks.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
