@@ -177,3 +177,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     vectors = table(spark, folder, "embeddings")
     return blocks.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query("op3_bagminhash")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and class_id of every document."""
+    from rowflow.llm.bagminhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
