@@ -185,3 +185,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from rowflow.llm.bagminhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm.pii import personal_data
+
+    return personal_data(table(spark, folder, "documents"))
