@@ -10,8 +10,10 @@ Jaccard similarity. Only points up to a text's stop time are made, which is rais
 texts whose registers are not yet full.
 
 Texts equal word for word are one node. Nodes that agree in a band of ROWS registers are
-candidates. Per bucket everyone is compared with one leader; where the links found leave a
-bucket in several components, with a second leader; and what is still apart pair by pair. Pairs
+candidates. Per bucket everyone is compared with one leader. Where the links found leave a
+bucket in several components, its members are dealt into blocks of BLOCK, and for every two
+blocks a task compares members of different components until they are joined or all are
+compared; it returns only links that join components, never all pairs. Pairs
 whose signatures agree in fewer than LEAST of the registers (six standard deviations under the
 threshold) are dropped, all others are verified on their whole texts. Classes are the connected
 components of the verified links.
@@ -38,7 +40,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 30
 REGISTERS = ROWS * BANDS
 LEAST = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-BATCH_WORDS = 1 << 17
+BATCH_WORDS, BLOCK = 1 << 17, 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = None
 
@@ -208,15 +210,40 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(sign, "doc_id long, node long, bands array<long>, digest binary")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of the shingles of two lists of word hashes."""
-    one, two = (counted(*shingles(x, np.array([len(x)])))[1:] for x in (a, b))
+def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of one text, sorted, and their counts."""
+    return counted(*shingles(words, np.array([len(words)])))[1:]
+
+
+def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags."""
     _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
     both = int(np.minimum(one[1][i], two[1][j]).sum())
     total = int(one[1].sum() + two[1].sum()) - both
     return both / total if total else 1.0
 
 
+def open_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the likely pairs of one task, the likeliest first: of different components, of
+    different blocks if the task has two, and with no earlier band in common than this one."""
+    bands = np.stack(frame["bands"].to_numpy())
+    digests = np.frombuffer(b"".join(frame["digest"]), dtype=np.uint8).reshape(-1, REGISTERS)
+    root, block = frame["root"].to_numpy(), frame["block"].to_numpy()
+    mixed_blocks = frame["i"].iloc[0] != frame["j"].iloc[0]
+    left, right, alike = [], [], []
+    for a in range(len(frame) - 1):
+        b = a + 1 + np.flatnonzero((root[a + 1 :] != root[a]) & ((block[a + 1 :] != block[a]) | (not mixed_blocks)))
+        same = (digests[b] == digests[a]).mean(axis=1)
+        b, same = b[same >= LEAST], same[same >= LEAST]
+        shared = bands[b] == bands[a]
+        here = bands[a][np.argmax(shared, axis=1)] == frame["band"].iloc[0]
+        left.append(np.full(here.sum(), a))
+        right.append(b[here])
+        alike.append(same[here])
+    order = np.argsort(-np.concatenate(alike), kind="stable") if alike else np.zeros(0, dtype=int)
+    return tuple(np.concatenate(x)[order] if alike else order for x in (left, right))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node in ``links(a, b)``."""
     both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -247,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = nodes.select("node", F.explode("bands").alias("band"))
     leaders = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = stored(rows.join(leaders, "band"), "buckets")
-    digests = marks.join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "digest")
+    digests = marks.join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "bands", "digest")
     digests = stored(digests, "digests")
 
     def likely(frames):
@@ -258,39 +285,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def linked(frames):
         for frame in frames:
             sides = [list(word_hashes(frame[c].tolist())) for c in ("x", "y")]
-            good = [node_of(p) == a and node_of(q) == b and similarity(p, q) >= THRESHOLD for p, q, a, b in zip(*sides, frame["a"], frame["b"])]
+            good = [node_of(p) == a and node_of(q) == b and similarity(bag(p), bag(q)) >= THRESHOLD for p, q, a, b in zip(*sides, frame["a"], frame["b"])]
             yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     def side(of: DataFrame, key: str, value: str, name: str) -> DataFrame:
         return of.select(F.col("node").alias(key), F.col(value).alias(name))
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node and text; rows that share the id of the wanted one may come with it."""
+        texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+        return texts.join(wanted.join(reps, "node"), "rep").select("node", "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(side(digests, "a", "digest", "x"), "a").join(side(digests, "b", "digest", "y"), "b")
         pairs = stored(pairs.select("a", "b", "x", "y").mapInPandas(likely, "a long, b long"), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
-        texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep").select("node", "text")
-        texts = stored(texts, "texts")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = stored(texts_of(wanted), "texts")
         full = pairs.join(side(texts, "a", "text", "x"), "a").join(side(texts, "b", "text", "y"), "b").select("a", "b", "x", "y")
         return stored(full.mapInPandas(linked, "a long, b long").distinct(), "links")
 
     links = verified(buckets.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     found = components(links)
-    for last in (False, True):
-        placed = buckets.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        apart = placed.groupBy("band").agg(F.min("root").alias("least"), F.max(F.struct("root", "node")).alias("top")).where("least < top.root")
-        placed = placed.join(apart, "band")
-        if last:
-            other = placed.select("band", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = placed.withColumnRenamed("node", "a").join(other, "band").where("a < b AND root != other")
-        else:
-            pairs = placed.where("root != top.root").select(F.col("node").alias("a"), F.col("top.node").alias("b"))
-        pairs = stored(pairs.select("a", "b").distinct(), "apart")
-        if pairs.isEmpty():
-            break
-        new = verified(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
+
+    placed = buckets.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    placed = placed.join(apart.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    members = placed.join(digests, "node").select("band", "node", "root", "block", "i", "j", "bands", "digest")
+
+    def still_open(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[np.unique(np.concatenate(open_pairs(frame)))]
+
+    def joining(frame: pd.DataFrame) -> pd.DataFrame:
+        words = list(word_hashes(frame["text"].tolist()))
+        nodes, root = frame["node"].to_numpy(), frame["root"].tolist()
+        whole = [node_of(w) == n for w, n in zip(words, nodes)]
+        bags, owner, out = [bag(w) for w in words], {r: r for r in root}, []
+
+        def top(r: int) -> int:
+            while owner[r] != r:
+                owner[r] = r = owner[owner[r]]
+            return r
+
+        for a, b in zip(*(x.tolist() for x in open_pairs(frame))):
+            x, y = top(root[a]), top(root[b])
+            if x != y and whole[a] and whole[b] and similarity(bags[a], bags[b]) >= THRESHOLD:
+                owner[x] = y
+                out.append((nodes[a], nodes[b]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    keys = ["band", "i", "j"]
+    waiting = stored(members.groupBy(keys).applyInPandas(still_open, members.schema), "apart")
+    if not waiting.isEmpty():
+        texts = stored(texts_of(waiting.select("node").distinct()), "texts")
+        new = stored(waiting.join(texts, "node").groupBy(keys).applyInPandas(joining, "a long, b long"), "links")
+        found = components(links.unionByName(new))
 
     owners = reps.join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     classes = owners.groupBy("root").agg(F.min("rep").alias("class_id"))
