@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 def per_text(docs: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Rows of ``fn(texts)`` (an iterator in, an iterator of tuples out) beside their doc_id."""
-    import pandas as pd
-
     names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(frames):
@@ -124,9 +123,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_html_text")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     @F.pandas_udf("string")
-    def extract(parts):
-        import pandas as pd
-
+    def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from rowflow.llm.html import main_text
 
         for part in parts:
