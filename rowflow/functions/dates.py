@@ -69,7 +69,7 @@ def fill_path_tokens(path: Column, at: Column) -> Column:
 def fill_ymd_token(text: Column, at: Column) -> Column:
     """Render the first distinct ``{yyyy-MM-dd}``-like token, in all its copies."""
     token = F.regexp_extract(text, YMD_TOKEN, 0)
-    body = F.substring(token, 2, 100)
+    body = token.substr(F.lit(2), F.length(token))
     body = F.regexp_replace(body, r"\}$", "")
     return F.when(token == "", text).otherwise(F.replace(text, token, format_date(at, body)))
 
@@ -99,7 +99,7 @@ def _put_dated(at: Column, text: Column, start: int):
     """Replaces one placeholder ``{i:fmt}``, whose format begins at ``start``."""
 
     def put(filled: Column, token: Column) -> Column:
-        fmt = F.regexp_replace(F.substring(token, start, 1000), r"\}$", "")
+        fmt = F.regexp_replace(token.substr(F.lit(start), F.length(token)), r"\}$", "")
         value = F.when(is_date_format(fmt), format_date(at, fmt)).otherwise(text)
         return F.replace(filled, token, value)
 

@@ -25,6 +25,14 @@ def master_key(token: Column) -> Column:
     return F.regexp_replace(token, r"^\$\(|\)$", "")
 
 
+def last_values(params: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key of ``params``: of repeated ones the value with the largest ``pos``, or
+    the largest value where there is no ``pos``. Null values don't count."""
+    known = params.filter(F.col("value").isNotNull())
+    last = F.max_by("value", "pos") if "pos" in params.columns else F.max("value")
+    return known.groupBy(*keys).agg(last.alias("value"))
+
+
 def substitute(
     df: DataFrame,
     ids: list[str],
@@ -35,7 +43,8 @@ def substitute(
     scope: list[str],
 ) -> DataFrame:
     """Replace each token of ``text`` by its value in ``params(*scope, key, value)``; tokens
-    without a value stay. One pass: values are not searched again. ``ids`` identify a row.
+    without a value stay, of repeated keys the last one counts. One pass: values are not
+    searched again. ``ids`` identify a row.
 
     The tokens of all texts are looked up by one join; only the hits of one text, which its
     own length bounds, are gathered.
@@ -43,7 +52,7 @@ def substitute(
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     keys = list(dict.fromkeys([*ids, *scope]))
     used = df.select(*keys, F.explode(tokens).alias("__token")).withColumn("key", key_of(F.col("__token")))
-    found = used.join(params.filter(F.col("value").isNotNull()), [*scope, "key"])
+    found = used.join(last_values(params, [*scope, "key"]), [*scope, "key"])
     hits = found.groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct("__token", "value"))).alias("__hits")
     )
@@ -83,14 +92,15 @@ def resolve_master(job: DataFrame, masters: DataFrame) -> DataFrame:
 
 def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> DataFrame:
     """``@name`` inside the values of ``params(script, key, value)``, by the values of the same
-    script. A bounded number of passes, so a value that names itself cannot run on.
+    script; one row per key, a repeated one with its last value (by ``pos`` if there is one).
+    A bounded number of passes, so a value that names itself cannot run on.
 
     Each pass is checkpointed and goes on with the values it changed; the others are final.
     """
-    defs = params.filter(F.col("value").isNotNull()).select(
-        "script", F.concat(F.lit("@"), "key").alias("__token"), F.col("value").alias("__value")
-    )
-    open_ = params.select("script", "key", F.col("value").alias("text"))
+    last = cut_lineage(last_values(params, ["script", "key"]))
+    defs = last.select("script", F.concat(F.lit("@"), "key").alias("__token"), F.col("value").alias("__value"))
+    unset = params.select("script", "key").distinct().join(last, ["script", "key"], "left_anti")
+    open_ = last.unionByName(unset.withColumn("value", F.lit(None).cast("string"))).withColumnRenamed("value", "text")
     final = open_.filter(F.col("text").isNull() | ~F.col("text").contains("@"))
     open_ = open_.filter(F.col("text").contains("@"))
     for _ in range(passes):
@@ -100,7 +110,7 @@ def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> Dat
         done = cut_lineage(
             used.join(defs, ["script", "__token"], "left")
             .groupBy("script", "key")
-            .agg(F.first("text").alias("text"), F.map_from_entries(F.collect_list(hit)).alias("__hits"))
+            .agg(F.min("text").alias("text"), F.map_from_entries(F.collect_list(hit)).alias("__hits"))
             .select(
                 "script", "key", _put_values("text", REFERENCE).alias("text"), (F.size("__hits") > 0).alias("changed")
             )

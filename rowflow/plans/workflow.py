@@ -89,7 +89,7 @@ def workflow_params(parsed: DataFrame) -> DataFrame:
 
 def first_masters(parsed: DataFrame) -> DataFrame:
     """Master files; of several with the same key the first path counts."""
-    rows = parsed.filter(F.col("valid") & F.col("is_master")).withColumn("master", master_key(F.col("path")))
+    rows = parsed.filter(F.col("valid") & F.col("is_master") & ~excluded(F.col("path"), [])).withColumn("master", master_key(F.col("path")))
     return rows.groupBy("master").agg(F.min_by(F.struct("plain", "empty", "members"), "path").alias("m"))
 
 
@@ -145,7 +145,8 @@ def script_processes(procs: DataFrame) -> DataFrame:
 def process_params(parsed: DataFrame, masters: DataFrame) -> DataFrame:
     """``(process, key, master, value)``: the job parameters of each process that a master lists,
     with the master's values filled in. Of several masters the last one counts."""
-    items = parsed.filter(F.col("valid") & ~F.col("is_master")).select(
+    runners = F.col("class_name").contains(RUNNER) & ~excluded(F.col("path"), [])
+    items = parsed.filter(F.col("valid") & ~F.col("is_master") & runners).select(
         F.regexp_replace(file_name(F.col("path")), r"\.config", "").alias("process"),
         F.get(F.filter("lists", lambda v: v["name"] == LIST_PARAMS[1]), F.lit(0))["values"].alias("items"),
         "path",
@@ -233,5 +234,5 @@ def failures(parsed: DataFrame) -> DataFrame:
     message = F.when(~F.col("valid"), "not well-formed").when(
         ~F.col("is_master") & (F.col("process") == ""), "no process"
     )
-    bad = parsed.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), message.alias("message"))
+    bad = parsed.filter(~excluded(F.col("path"), [])).select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), message.alias("message"))
     return bad.filter(F.col("message").isNotNull()).groupBy("folder", "message").agg(F.count(F.lit(1)).alias("files"))

@@ -83,7 +83,7 @@ LISTED = "s_acctbal >= 0 AND s_suppkey % 4 <> 0"
     "wf_process_params",
     f"""SELECT 'P' || s_suppkey AS process, key, 'N' || s_nationkey || '##M' || s_suppkey || '.config' AS master,
          CASE key WHEN 'Base' THEN '/b/' || s_name || '/' || s_suppkey ELSE '{{HH}}' END AS value
-       FROM supplier, (VALUES ('Base'), ('hour')) t(key) WHERE {LISTED}""",
+       FROM supplier, (VALUES ('Base'), ('hour')) t(key) WHERE {LISTED} AND s_suppkey % 7 <> 0""",
 )
 def wf_process_params(spark, d):
     files = cut_lineage(parsed(spark, d))

@@ -21,13 +21,14 @@ def extract(
     spark: SparkSession, path: str | list[str], columns: str, sep: str = "\t", silent: bool = False
 ) -> DataFrame:
     """Read delimited text. ``silent`` drops lines that do not fit the schema; otherwise such a
-    line fails the job. A silent read parses whole lines, so that the rows kept do not depend
-    on which columns the query uses (a pruned CSV scan would check only those)."""
+    line fails the job. Whole lines are parsed, so that neither depends on which columns the
+    query uses (a pruned CSV scan would check only those)."""
     schema = declared_schema(columns)
-    if not silent:
-        return spark.read.schema(schema).option("sep", sep).option("mode", "FAILFAST").csv(path)
     checked = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
     options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
     parsed = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in checked), options)
     lines = spark.read.text(path).select(parsed.alias("row"))
-    return lines.filter(F.col("row.__bad").isNull()).select(*[f"row.{f.name}" for f in schema])
+    fits = F.col("row.__bad").isNull()
+    if not silent:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("a line does not fit: "), "row.__bad")).cast("boolean"))
+    return lines.filter(fits).select(*[f"row.{f.name}" for f in schema])

@@ -135,3 +135,13 @@ def test_loops_and_conditionals(spark):
     row = C.prepare(spark.createDataFrame([("s", text)], "script string, text string")).first()
     kept = [line for line in row.text.split("\n") if line]
     assert kept == ["#DECLARE N int = 2;", "A;", "B;", 'C0 = string.Format("{0}", 1);', 'C1 = string.Format("{0}", 1);', "D"]
+
+
+def test_hints_leave_indexing_alone(spark):
+    from pyspark.sql import functions as F
+
+    from rowflow.plans import corpus as C
+
+    text = "X = SELECT a[0] AS k FROM T [ROWCOUNT=100];"
+    got = spark.createDataFrame([(text,)], "t string").select(C.strip_hints(F.col("t")).alias("x")).first().x
+    assert "a[0] AS k FROM T" in got and "ROWCOUNT" not in got

@@ -145,3 +145,26 @@ def test_reference_chain_depth(spark):
     # Each pass replaces by the value as written, so five passes follow five references.
     assert got["K5"] == "v"
     assert got["K7"] == "@K1"
+
+
+def test_repeated_keys_take_the_last_value(spark):
+    from rowflow.plans import params as P
+
+    scripts = spark.createDataFrame([("s", "a @@k@@ b")], "script string, text string")
+    values = spark.createDataFrame([("k", "1", 1), ("k", "2", 2)], "key string, value string, pos int")
+    assert P.resolve_external(scripts, values).first().text == "a 2 b"
+    declares = spark.createDataFrame(
+        [("s", "Out", "x", 1), ("s", "Out", "@In/y", 2), ("s", "In", "root", 3), ("s", "None", None, 4)],
+        "script string, key string, value string, pos int",
+    )
+    got = {r.key: r.value for r in P.resolve_references(declares).collect()}
+    assert got == {"Out": "root/y", "In": "root", "None": None}
+
+
+def test_long_tokens_are_read_whole(spark):
+    from rowflow.functions import dates as D
+
+    body = "yyyy" + "-" * 1100 + "MM"
+    rows = spark.createDataFrame([("{0:" + body + "}",)], "t string")
+    at = F.to_timestamp(F.lit("2020-03-01")).cast("timestamp_ntz")
+    assert rows.select(D.string_format(F.col("t"), [("date", at)]).alias("x")).first().x.endswith("-03")
