@@ -55,17 +55,21 @@ def trace(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> tuple[
     return (all_nodes.distinct(), all_edges.distinct()) if both else (all_nodes, all_edges)
 
 
-def contract(edges: DataFrame, keep: str = "SCRIPT", root: str = "EVENT") -> DataFrame:
-    """``edges(src, src_type, dst, dst_type)`` -> direct edges between nodes of type ``keep`` over
-    one node of another type, and the edges out of root nodes of type ``root``.
+def contract(edges: DataFrame, keep: str = "SCRIPT", root: str = "EVENT") -> tuple[DataFrame, DataFrame]:
+    """``edges(src, src_type, dst, dst_type)`` -> ``(nodes(name), edges(src, dst))``: direct edges
+    between nodes of type ``keep`` over one node of another type, and the edges out of root nodes
+    of type ``root``. Nodes are the roots and every node of type ``keep`` with an edge out of it,
+    also where nobody consumes what that leads to, and the ends of the edges.
 
     Both sides are distinct before they meet, so a middle node brings together its producers
     (one in a workflow: a script owns its event) and its consumers, once each.
     """
-    links = edges.select("src", "src_type", "dst", "dst_type").distinct()
+    links = cut_lineage(edges.select("src", "src_type", "dst").distinct())
     into = links.filter(F.col("src_type") == keep).select("src", F.col("dst").alias("mid"))
     out = links.select(F.col("src").alias("mid"), "dst")
     direct = into.join(out, "mid").select("src", "dst")
     entered = links.select(F.col("dst").alias("src"))
     roots = links.filter(F.col("src_type") == root).join(entered, "src", "left_anti").select("src", "dst")
-    return direct.unionAll(roots).distinct()
+    found = direct.unionAll(roots).distinct()
+    ends = found.select(F.explode(F.array("src", "dst")).alias("name"))
+    return ends.unionAll(into.select(F.col("src").alias("name"))).distinct(), found

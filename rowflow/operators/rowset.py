@@ -7,10 +7,15 @@ mergeable state, so that a large group is reduced block by block in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowflow.operators.ordered import BLOCK, ROW, Scan, seed_blocks
 
@@ -124,6 +129,68 @@ def combine(
     return joined.mapInPandas(batches, produce)
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup sorted Arrow batches so that each table holds whole groups; ``__start`` marks the first rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch["__start"].to_numpy(zero_copy_only=False))
+        if len(starts):
+            if held or starts[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            batch, held = batch.slice(starts[-1]), []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def combine_rows(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    produce: str,
+    using: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    presort: list[str] | None = None,
+    right_presort: list[str] | None = None,
+    blocks: tuple[Column, Column] | None = None,
+) -> DataFrame:
+    """``COMBINE L WITH R ON keys PRESORT cols USING f`` where ``f`` sees the rows of both sides.
+
+    Both rowsets are shuffled once, on the keys, and ``f`` gets two frames with the left and the
+    right rows of many whole keys, sorted by the keys and the presorts, with the names they had.
+    A key may be missing on either side; null keys match nothing, and their left rows come alone.
+    A task holds one Arrow batch and the rest of a key. Where a key may be large, ``blocks`` gives
+    the block of a left row and the array of blocks of the left side that need a right row; a
+    block then takes the place of the key, so it is for the caller to say what must meet.
+    """
+    own, needed = blocks or (F.lit(0), F.array(F.lit(0)))
+
+    def side(df: DataFrame, prefix: str, turn: int, block: Column) -> DataFrame:
+        values = [F.col(c).alias(prefix + c) for c in df.columns if c not in on]
+        return df.withColumn(BLOCK, block).select(*on, BLOCK, F.lit(turn).alias(ROW), *values)
+
+    pair = side(right.dropna(subset=on), "__r_", 0, F.explode(needed)).unionByName(
+        side(left, "__l_", 1, own), allowMissingColumns=True
+    )
+    order = [ROW, *[f"__r_{c}" for c in right_presort or []], *[f"__l_{c}" for c in presort or []]]
+    first = F.row_number().over(Window.partitionBy(*on, BLOCK).orderBy(*order)) == 1
+    ready = pair.withColumn("__start", first).sortWithinPartitions(*on, BLOCK, *order)
+
+    def rows_of(part: pa.Table, prefix: str, turn: int) -> pd.DataFrame:
+        names = [n for n in part.column_names if n in on or n.startswith(prefix)]
+        rows = part.filter(pc.equal(part[ROW], turn)).select(names)
+        return rows.rename_columns([n.removeprefix(prefix) for n in names]).to_pandas()
+
+    target = T.StructType.fromDDL(produce) if isinstance(produce, str) else produce
+    shape = to_arrow_schema(target)
+
+    def batches(parts):
+        for part in whole_keys(parts):
+            made = using(rows_of(part, "__l_", 1), rows_of(part, "__r_", 0))
+            yield from pa.Table.from_pandas(made, shape, preserve_index=False).to_batches()
+
+    return ready.mapInArrow(batches, target)
+
+
 def every_nth(numbered: DataFrame, column: str, n: int) -> DataFrame:
     """Per-group sample after presort: rows 1, n + 1, 2n + 1, ... of a row number."""
     return numbered.filter(F.pmod(F.col(column) - 1, F.lit(n)) == 0)

@@ -50,12 +50,18 @@ def size_pretty(text: Column) -> Column:
 
 
 def size_cache(log: DataFrame) -> DataFrame:
-    """``log(url, key, value, ok, ts)`` -> ``(url, key, value, failures)``: the last value looked up,
-    ``NA`` after more than three failures, empty when there is neither."""
-    good = F.max_by(F.when(F.col("ok"), F.col("value")), F.when(F.col("ok"), F.col("ts")))
-    failed = F.count_if(~F.col("ok"))
-    value = F.when(failed > MAX_FAILURES, F.lit("NA")).otherwise(F.coalesce(good, F.lit("")))
-    return log.groupBy("url", "key").agg(value.alias("value"), failed.alias("failures"))
+    """``log(url, key, value, ok, ts)`` -> ``(url, key, value, failures)``. What is found first stays:
+    the value of the first success, or ``NA`` if more than three failures come before it; empty
+    when there is neither. ``failures`` are those before the first success; of equal times the
+    success comes first, and of successes the smallest value."""
+    good = F.min(F.when(F.col("ok"), F.struct("ts", F.coalesce("value", F.lit("")).alias("value"))))
+    first = log.groupBy("url", "key").agg(good.alias("good"))
+    bad = log.filter(~F.col("ok")).alias("b").join(first.alias("f"), ["url", "key"])
+    bad = bad.filter(F.col("good").isNull() | (F.col("b.ts") < F.col("good.ts")))
+    failed = bad.groupBy("url", "key").agg(F.count(F.lit(1)).alias("failures"))
+    failures = F.coalesce("failures", F.lit(0))
+    value = F.when(failures > MAX_FAILURES, F.lit("NA")).otherwise(F.coalesce("good.value", F.lit("")))
+    return first.join(failed, ["url", "key"], "left").select("url", "key", value.alias("value"), failures.alias("failures"))
 
 
 def info_url(url: Column) -> Column:

@@ -74,10 +74,11 @@ def cat_size_pretty(spark, d):
 
 @query(
     "cat_size_cache",
-    """SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS url, 'size' AS key,
-         CASE WHEN COUNT(*) FILTER (event_type = 'error') > 3 THEN 'NA'
-           ELSE COALESCE(arg_max(props, ts) FILTER (event_type <> 'error'), '') END AS value,
-         COUNT(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1""",
+    """WITH log AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS url, event_type = 'error' AS bad, ts, props FROM events),
+         f AS (SELECT url, MIN(ts) FILTER (NOT bad) AS good_ts FROM log GROUP BY url),
+         n AS (SELECT url, COUNT(*) FILTER (bad AND (good_ts IS NULL OR ts < good_ts)) AS failures,
+                 MIN(COALESCE(props, '')) FILTER (NOT bad AND ts = good_ts) AS good FROM log JOIN f USING (url) GROUP BY url)
+       SELECT url, 'size' AS key, CASE WHEN failures > 3 THEN 'NA' ELSE COALESCE(good, '') END AS value, failures FROM n""",
 )
 def cat_size_cache(spark, d):
     day = F.substring(c("ts").cast("string"), 1, 10)

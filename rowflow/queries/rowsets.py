@@ -181,6 +181,26 @@ def rs_combine(spark, d):
     )
 
 
+def price_steps(orders: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    step = lines.groupby("key")["l_extendedprice"].diff().abs().groupby(lines["key"]).max()
+    return orders.assign(step=orders["key"].map(step))[["key", "o_custkey", "step"]]
+
+
+@query(
+    "rs_combine_steps",
+    """SELECT o_orderkey AS key, ANY_VALUE(o_custkey) AS o_custkey, MAX(step) AS step FROM orders LEFT JOIN
+         (SELECT l_orderkey, ABS(l_extendedprice - LAG(l_extendedprice) OVER (PARTITION BY l_orderkey
+            ORDER BY l_linenumber, l_extendedprice)) AS step FROM lineitem) ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+)
+def rs_combine_steps(spark, d):
+    """The largest step between the prices of an order's successive lines."""
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("key"), "o_custkey")
+    l = table(spark, d, "lineitem").select(c("l_orderkey").alias("key"), "l_linenumber", "l_extendedprice")
+    return R.combine_rows(
+        o, l, ["key"], "key bigint, o_custkey bigint, step double", price_steps, right_presort=["l_linenumber", "l_extendedprice"]
+    )
+
+
 def name_lines(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["l_suppkey", "l_orderkey", "l_linenumber", "s_name"]]
 

@@ -154,12 +154,18 @@ def snk_output(spark, d):
     return spark.read.parquet(path)
 
 
-@query("snk_clustered", "SELECT l_partkey, COUNT(*) AS n, 1::BIGINT AS files FROM lineitem GROUP BY l_partkey")
+@query(
+    "snk_clustered",
+    f"""SELECT l_partkey, COUNT(*) AS n, CEIL(COUNT(*) / {sinks.SHARE_ROWS}.0)::BIGINT AS shares, TRUE AS in_shares
+       FROM lineitem GROUP BY l_partkey""",
+)
 def snk_clustered(spark, d):
     l = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
     path = sinks.output(l, scratch_path(spark, "clustered"), clustered_by="l_partkey")
     rows = spark.read.parquet(path).select("l_partkey", c("_metadata.file_path").alias("file"))
-    return rows.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+    found = rows.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+    shares = F.ceil(c("n") / sinks.SHARE_ROWS)
+    return found.select("l_partkey", "n", shares.alias("shares"), (c("files") <= shares).alias("in_shares"))
 
 
 @query("snk_clustered_sorted", "SELECT l_partkey, l_orderkey, l_quantity FROM lineitem")

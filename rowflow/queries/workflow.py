@@ -244,16 +244,30 @@ def gr_trace_both(spark, d):
     return G.trace(star_edges(spark, d), seeds, "both")[1]
 
 
+def typed_edges(spark, d):
+    """Customers and suppliers are scripts, orders the events between them, nations root events."""
+    kind = lambda name: F.when(F.substring(name, 1, 1).isin("C", "S"), "SCRIPT").otherwise("EVENT")
+    edges = star_edges(spark, d).filter(~c("src").startswith("R"))
+    return edges.select("src", kind("src").alias("src_type"), "dst", kind("dst").alias("dst_type"))
+
+
 @query(
     "gr_contract",
     """SELECT DISTINCT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
        UNION SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer""",
 )
 def gr_contract(spark, d):
-    """Customers and suppliers are scripts, orders the events between them, nations root events."""
-    kind = lambda name: F.when(F.substring(name, 1, 1).isin("C", "S"), "SCRIPT").otherwise("EVENT")
-    edges = star_edges(spark, d).filter(~c("src").startswith("R"))
-    return G.contract(edges.select("src", kind("src").alias("src_type"), "dst", kind("dst").alias("dst_type")))
+    return G.contract(typed_edges(spark, d))[1]
+
+
+@query(
+    "gr_contract_nodes",
+    """SELECT DISTINCT 'C' || o_custkey AS name FROM orders
+       UNION SELECT 'S' || l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+       UNION SELECT 'N' || c_nationkey FROM customer UNION SELECT 'C' || c_custkey FROM customer""",
+)
+def gr_contract_nodes(spark, d):
+    return G.contract(typed_edges(spark, d))[0]
 
 
 KEYS = """SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(replace(p_name, ' ', ''), '.script')

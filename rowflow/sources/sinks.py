@@ -9,20 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rowflow.operators.ordered import hot_keys
 
 EXPIRES = "_expires_on"
+SHARE_ROWS = 1_000_000
 
 
-def cluster(df: DataFrame, column: str, files: int, target_rows: int = 1_000_000) -> DataFrame:
-    """``[HASH] CLUSTERED BY``: the rows of a key share one file. A key beyond ``target_rows``
-    continues in further files instead of making one long task."""
+def cluster(df: DataFrame, column: str, files: int | None = None, target_rows: int = SHARE_ROWS) -> DataFrame:
+    """``[HASH] CLUSTERED BY``: a key of n rows lies in at most ceil(n / ``target_rows``) files, so a
+    very large one isn't one long task. Without ``files`` the number of files follows from the
+    amount of data: Spark merges small shuffle partitions at run time, which keeps keys whole."""
     hot = hot_keys(df, [column], target_rows)
     shares = F.ceil(F.coalesce("__n", F.lit(1)) / target_rows)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), shares)
     shared = df.join(hot, df[column].eqNullSafe(hot[f"__hot_{column}"]), "left")
-    return (
-        shared.select(*df.columns, spread.alias("__share"))
-        .repartition(files, column, "__share")
-        .drop("__share")
-    )
+    shared = shared.select(*df.columns, spread.alias("__share"))
+    keys = [column, "__share"]
+    return (shared.repartition(files, *keys) if files else shared.repartition(*keys)).drop("__share")
 
 
 def output(
@@ -30,7 +30,7 @@ def output(
     path: str,
     where: Column | None = None,
     clustered_by: str | None = None,
-    files: int = 8,
+    files: int | None = None,
     sorted_by: str | None = None,
     partitioned_by: str | None = None,
     expires: tuple[date, int] | None = None,

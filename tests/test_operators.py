@@ -128,6 +128,44 @@ def test_combine_reduces_a_hot_right_side(spark, skewed):
     same(got, left.join(skewed.groupBy("k").agg(F.sum("v").alias("s")), "k").select("k", "pos", "s"))
 
 
+def test_combine_sees_the_right_rows(spark, skewed):
+    def spans(left, right):
+        high, low = right.groupby("k")["v"].max(), right.groupby("k")["v"].min()
+        return left.assign(span=left["k"].map(high - low).astype("Int64"))[["k", "pos", "span"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        left = skewed.select("k", "pos")
+        got = R.combine_rows(left, skewed, ["k"], "k int, pos int, span long", spans, presort=["pos"], right_presort=["pos"])
+        right = skewed.groupBy("k").agg((F.max("v") - F.min("v")).alias("span"))
+        same(got, left.join(right, "k", "left").select("k", "pos", "span"))
+        empty = R.combine_rows(left, skewed.limit(0), ["k"], "k int, pos int, span long", spans)
+        same(empty, left.select("k", "pos", F.lit(None).cast("long").alias("span")))
+        assert R.combine_rows(left.limit(0), skewed, ["k"], "k int, pos int, span long", spans).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_combine_splits_a_hot_key_in_blocks(spark, skewed):
+    """Each left row's value before it; the last right row of a block also goes to the next."""
+
+    def before(left, right):
+        right = right.drop_duplicates(["k", "pos"]).assign(prev=lambda r: r.groupby("k")["v"].shift())
+        return left.merge(right[["k", "pos", "prev"]], how="left", on=["k", "pos"]).astype({"prev": "Int64"})
+
+    rows = skewed.filter("k IS NOT NULL").select("k", "pos", F.col("v").cast("long").alias("v")).dropDuplicates(["k", "pos"])
+    last = rows.groupBy("k", F.floor(F.col("pos") / 50).alias("b")).agg(F.max("pos").alias("pos"))
+    after = last.select("k", "pos", F.lead("b").over(Window.partitionBy("k").orderBy("b")).alias("next"))
+    marked = rows.join(after, ["k", "pos"], "left").select(
+        "k", "pos", "v", F.array_compact(F.array(F.floor(F.col("pos") / 50), "next")).alias("need")
+    )
+    left = rows.select("k", "pos")
+    got = R.combine_rows(
+        left, marked, ["k"], "k int, pos int, prev long", before, ["pos"], ["pos"], (F.floor(F.col("pos") / 50), F.col("need"))
+    )
+    same(got, rows.select("k", "pos", F.lag("v").over(Window.partitionBy("k").orderBy("pos")).alias("prev")))
+
+
 # ---- joins -------------------------------------------------------------------------------
 
 
@@ -230,9 +268,12 @@ def test_trace_of_nothing(spark):
 
 def test_contract(spark):
     rows = [("s1", "SCRIPT", "e1", "EVENT"), ("e1", "EVENT", "s2", "SCRIPT"), ("e1", "EVENT", "s3", "SCRIPT"),
-            ("s2", "SCRIPT", "e2", "EVENT"), ("r", "EVENT", "s1", "SCRIPT"), ("e1", "EVENT", "s2", "SCRIPT")]
-    got = G.contract(spark.createDataFrame(rows, "src string, src_type string, dst string, dst_type string"))
+            ("s2", "SCRIPT", "e2", "EVENT"), ("r", "EVENT", "s1", "SCRIPT"), ("e1", "EVENT", "s2", "SCRIPT"),
+            ("alone", "SCRIPT", "e3", "EVENT")]
+    nodes, got = G.contract(spark.createDataFrame(rows, "src string, src_type string, dst string, dst_type string"))
     assert pairs(got) == {"s1>s2", "s1>s3", "r>s1"}
+    assert sorted(r.name for r in nodes.collect()) == ["alone", "r", "s1", "s2", "s3"]
+    assert plan(got).split("Initial Plan")[0].count("Scan ") <= 4
 
 
 # ---- closest names -----------------------------------------------------------------------

@@ -146,5 +146,9 @@ def test_sizes(spark, raw, want):
 
 def test_size_cache(spark):
     log = [("a", "s", "1", True, 1), ("a", "s", "2", True, 2)] + [("b", "s", None, False, i) for i in range(4)] + [("c", "s", None, False, 1)]
+    log += [("d", "s", "9", True, 3)] + [("d", "s", None, False, i) for i in (1, 3, 4, 5, 6, 7)]
+    log += [("e", "s", "9", True, 9)] + [("e", "s", None, False, i) for i in range(4)]
     got = H.size_cache(spark.createDataFrame(log, "url string, key string, value string, ok boolean, ts int"))
-    assert {(r.url, r.value, r.failures) for r in got.collect()} == {("a", "2", 0), ("b", "NA", 4), ("c", "", 1)}
+    assert {(r.url, r.value, r.failures) for r in got.collect()} == {
+        ("a", "1", 0), ("b", "NA", 4), ("c", "", 1), ("d", "9", 1), ("e", "NA", 4)
+    }
