@@ -79,6 +79,11 @@ def last_before(value: Column) -> Scan:
     )
 
 
+def by_position(statements: int = 1000) -> Column:
+    """Scripts are cut into blocks of statements, so one long script is not one task."""
+    return F.floor(F.col("pos") / statements)
+
+
 def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
     """Keys with more than ``more_than`` rows, as ``__hot_<key>``, and their row counts ``__n``. There
     are at most rows / ``more_than`` of them."""

@@ -25,13 +25,6 @@ CONDITIONALS = [
 CONDITIONAL_BLOCK = r"(?s)#IF.*?\n(.*?)#ENDIF"
 LOOP = r"LOOP\s*\(\s*(\w+)\s*,\s*(@?\s*\w+)\s*\)\s*\{((?s:.*?))\n([^\n{}]*)\}"
 DECLARED_INT = r"#DECLARE[ \t]+(\w+)[ \t]+int[ \t]+=[ \t]+(\d+)"
-DATA_HINTS = [
-    r"\[[^\[\]]+= ?[0-9]+\]",
-    r"\[LOWDISTINCTNESS *\([^\[\]]*\)\]",
-    r"\[[^\[\]]+=\([^\[\]]+=[^\[\]]+\)\]",
-    r"\[Privacy\.[^\[\]]+\]",
-    r"\[[ ]*[a-zA-Z\(\), ]+[ ]*\]",
-]
 STATEMENT_KEYWORDS = "OUTPUT REDUCE SELECT PROCESS COMBINE SSTREAM EXTRACT VIEW IMPORT USING".split()
 NOT_A_TABLE = "SELECT USING SSTREAM VIEW EXTRACT PRODUCE ON PRESORT STREAMEXPIRY TO".split()
 DECLARED_TYPES = "string String int long byte bool double float decimal DateTime".split()
@@ -41,6 +34,27 @@ VALUE = r'@?"[^"]*"|@@\w+@@|@\w+'
 MODULE_VIEWS = r"(?s)VIEW(.*?)RETURN.*?BEGIN(.*?)END VIEW"
 VIEW_BODY = r"(?s)CREATE VIEW.*?AS BEGIN(.*)END;"
 
+# A hint is a bracketed list of items ``Name``, ``Name(…)``, ``Name = 7`` or ``Name = (…)``. An index
+# has brackets too, but follows a word or a closing bracket and assigns nothing.
+HINT_NAME = r"[A-Za-z][\w.]*"
+HINT_VALUE = rf"{HINT_NAME}\s*=\s*(?:\d+|\([^\[\]]*\))"
+HINT_ITEM = rf"(?:{HINT_VALUE}|{HINT_NAME}(?:\s*\([^\[\]]*\))?)"
+HINT_REST = rf"(?:\s*,\s*{HINT_ITEM})*\s*\]"
+HINT = rf"\[\s*{HINT_VALUE}{HINT_REST}|(?<![\w\])])\[\s*{HINT_ITEM}{HINT_REST}"
+
+NESTING = 4
+
+
+def _inside_parentheses(depth: int = NESTING) -> str:
+    """Pattern of what stands between two parentheses, ``depth`` further levels included."""
+    inside = r"[^()]*+"
+    for _ in range(depth):
+        inside = rf"[^()]*+(?:\({inside}\)[^()]*+)*+"
+    return inside
+
+
+INSIDE = _inside_parentheses()
+
 # ---- passes over one text ----------------------------------------------------------------
 
 
@@ -94,18 +108,12 @@ def expand_loops(text: Column) -> Column:
 
 
 def strip_hints(text: Column) -> Column:
-    for pattern in DATA_HINTS:
-        text = F.regexp_replace(text, pattern, "")
-    return text
+    return F.regexp_replace(text, HINT, "")
 
 
 def list_hints(text: Column) -> Column:
-    """The hints that :func:`strip_hints` removes, in the order of its patterns."""
-    found = []
-    for pattern in DATA_HINTS:
-        found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        text = F.regexp_replace(text, pattern, "")
-    return F.concat(*found)
+    """The hints that :func:`strip_hints` removes, in the order of the text."""
+    return F.regexp_extract_all(text, F.lit(HINT), F.lit(0))
 
 
 def drop_quoted_semicolons(text: Column) -> Column:
@@ -185,7 +193,7 @@ def _blank_strings(text: Column) -> Column:
 def _tables(flat: Column) -> Column:
     """Names after FROM, JOIN and the rowset keywords, comma lists included. Strings are blanked
     first, and the lists of ``IN (SELECT …)`` are not sources of the statement."""
-    code = F.regexp_replace(_blank_strings(flat), r"IN ?\( ?SELECT [^()]*\)", "")
+    code = F.regexp_replace(_blank_strings(flat), rf"\bIN ?\( ?SELECT {INSIDE}\)", "")
     member = rf"{NAME}(?: AS \w+)?"
     lists = _all(
         code,
@@ -217,7 +225,7 @@ def _sources(flat: Column, kind_: Column) -> Column:
         _named(having("VIEW", rf"\bVIEW ({VALUE})"), "VIEW_", "VIEW"),
         _named(having("IMPORT", rf"\bIMPORT ({VALUE})"), "IMPORT_", "IMPORT"),
         _named(called, "MODULE_", "MODULE"),
-        _named(having("CROSS APPLY", rf"CROSS APPLY ({NAME}(?:<[^<>]*>)?\([^()]*\)(?:\.\w+)*)"), "FUNC_", "FUNC"),
+        _named(having("CROSS APPLY", rf"CROSS APPLY ({NAME}(?:<[^<>]*>)?\({INSIDE}\)(?:\.\w+)*)"), "FUNC_", "FUNC"),
         _named(_tables(flat), "", "table"),
     )
     return F.array_distinct(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import fill_path_tokens
-from rowflow.operators.ordered import last_before, max_before, scan
+from rowflow.operators.ordered import by_position, last_before, max_before, scan
 
 # Name of the rowset a script without any named rowset builds, node classes by
 # name prefix with their colours, and the colours of outputs and of user operators.
@@ -21,12 +21,6 @@ NODE_COLOURS = {
 IMPLICIT_COLOUR, OUTPUT_COLOUR, USING_COLOUR = "gray", "tomato", "yellow"
 
 EXTERNAL = -1
-BLOCK = 1000
-
-
-def by_position() -> Column:
-    """Scripts are cut into blocks of statements, so one long script is not one task."""
-    return F.floor(F.col("pos") / BLOCK)
 
 
 def bind_versions(

@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import format_date
+from rowflow.operators.ordered import by_position, max_before, scan
 from rowflow.session import cut_lineage
 
 EXTERNAL = r"@@.*?@@"
@@ -93,10 +94,15 @@ def resolve_master(job: DataFrame, masters: DataFrame) -> DataFrame:
 def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> DataFrame:
     """``@name`` inside the values of ``params(script, key, value)``, by the values of the same
     script; one row per key, a repeated one with its last value (by ``pos`` if there is one).
-    A bounded number of passes, so a value that names itself cannot run on.
+    A bounded number of passes, so a value that names itself cannot run on. With ``pos`` a name
+    means its latest earlier line, see :func:`resolve_definitions`; only names without one are
+    then looked up among the last values.
 
     Each pass is checkpointed and goes on with the values it changed; the others are final.
     """
+    if "pos" in params.columns:
+        known = F.when(F.col("value").isNotNull(), F.col("pos"))
+        params = resolve_definitions(params).groupBy("script", "key").agg(F.max_by("value", known).alias("value"))
     last = cut_lineage(last_values(params, ["script", "key"]))
     defs = last.select("script", F.concat(F.lit("@"), "key").alias("__token"), F.col("value").alias("__value"))
     unset = params.select("script", "key").distinct().join(last, ["script", "key"], "left_anti")
@@ -122,6 +128,47 @@ def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> Dat
     return final.unionAll(open_).select("script", "key", F.col("text").alias("value"))
 
 
+def resolve_definitions(params: DataFrame) -> DataFrame:
+    """``params(script, key, value, pos)`` with every ``@name`` replaced by the resolved value of
+    the latest earlier line of the script that gives ``name`` a value; ``pos`` identifies a line.
+    Names without such a line stay. What is put in is not searched again.
+
+    Bound strictly backwards, lines cannot form a ring: each round closes the lines whose
+    names are all closed, as many rounds as the longest chain, each written once.
+    """
+    lines = params.select("script", "key", "pos", F.col("value").alias("text"))
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)))
+    used = lines.select("script", "pos", F.explode(tokens).alias("__token")).filter(~F.col("__token").startswith("@@"))
+    used = used.withColumn("key", F.substring("__token", 2, 1 << 30)).withColumn("__given", F.lit(0))
+    given = lines.filter(F.col("text").isNotNull())
+    given = given.select("script", "pos", "key", F.lit(1).alias("__given"), F.col("pos").alias("__at"))
+    bound = scan(
+        used.unionByName(given, allowMissingColumns=True),
+        ["script", "key"],
+        ["pos", "__given"],
+        by_position(),
+        {"__line": max_before(F.col("__at"))},
+    )
+    links = bound.filter((F.col("__given") == 0) & F.col("__line").isNotNull()).select("script", "pos", "__token", "__line")
+    links = cut_lineage(links)
+    waits = links.select("script", "pos").distinct()
+    closed = cut_lineage(lines.join(waits, ["script", "pos"], "left_anti"))
+    open_ = cut_lineage(lines.join(waits, ["script", "pos"], "left_semi"))
+    while not open_.isEmpty():
+        values = closed.select("script", F.col("pos").alias("__line"), F.col("text").alias("__value"))
+        hits = (
+            links.join(open_.select("script", "pos"), ["script", "pos"], "left_semi")
+            .join(values, ["script", "__line"], "left")
+            .groupBy("script", "pos")
+            .agg(F.map_from_entries(F.collect_list(F.struct("__token", "__value"))).alias("__hits"), F.count_if(F.col("__value").isNull()).alias("__left"))
+        )
+        tried = cut_lineage(open_.join(hits, ["script", "pos"]))
+        done = tried.filter("__left = 0").withColumn("text", _put_values("text", REFERENCE))
+        closed = cut_lineage(closed.unionByName(done.select(closed.columns)))
+        open_ = tried.filter("__left > 0").select(lines.columns)
+    return closed.select("script", "key", "pos", F.col("text").alias("value"))
+
+
 def job_params(jobs: DataFrame) -> DataFrame:
     """``jobs(process, items array<string>)`` -> ``(process, key, value)`` of the items with
     ``-params k=v,k2=v2``; the last value of a key wins."""

@@ -193,29 +193,29 @@ def lin_export(spark, d):
     return L.export_edges(corpus_edges(spark, d))
 
 
-TWO_INPUTS = """#DECLARE FirstIn string = "/in/#K/a.ss";~#DECLARE SecondIn string = "/in/#K/b.ss";~
-#DECLARE Joined string = "/out/#K.ss";~#DECLARE Copied string = "/out/#K-1.ss";~
-Left = SELECT Id, Amount AS Sum FROM (SSTREAM @FirstIn);~Right = SELECT Id, Amount AS Sum FROM (SSTREAM @SecondIn);~
-Both = SELECT Id, Sum FROM Left JOIN Right ON Left.Id == Right.Id WHERE Sum != 0;~
-OUTPUT TO SSTREAM @Joined;~OUTPUT Left TO SSTREAM @Copied;~"""
+SAMPLE = """#DECLARE Feed string = "/shop/#K.txt";~Lines = EXTRACT Sku:string, Q:int FROM @Feed USING DefaultTextExtractor();~
+Few = SELECT Sku, Q FROM Lines WHERE Q < 10;~Many = REDUCE Lines ON Sku USING Shop.Bulk();~
+OUTPUT Many TO SSTREAM "/shop/#K.ss";~All = SELECT Sku FROM Few UNION ALL SELECT Sku FROM Many;~OUTPUT TO SSTREAM @Skus;~"""
 
 
 @query(
     "lin_sample_script",
     expected(
         [
-            ("SSTREAM_@FirstIn", "Left"),
-            ("SSTREAM_@SecondIn", "Right"),
-            ("Left", "Both"),
-            ("Right", "Both"),
-            ("Both", "@Joined"),
-            ("Left", "@Copied"),
+            ("EXTRACT_@Feed", "Lines"),
+            ("Lines", "Few"),
+            ("Lines", "Many"),
+            ("Many", '"/shop/#K.ss"'),
+            ("Few", "All"),
+            ("Many", "All"),
+            ("All", "@Skus"),
         ],
         "src, dst",
+        (1,),
     ),
 )
 def lin_sample_script(spark, d):
-    """Two stored inputs, a join, an implicit and a named output: 7 nodes and 6 edges a script."""
-    scripts = source(spark, d, spliced(TWO_INPUTS.replace("\n", "")), "part").select("script", "text")
+    """One source read twice, user code, a union of both branches, a named output and one of the latest rowset."""
+    scripts = source(spark, d, spliced(SAMPLE.replace("\n", "")), "part").select("script", "text")
     facts = cut_lineage(C.facts(C.statements(C.prepare(scripts))))
     return L.export_edges(L.edges(facts)).drop("line")

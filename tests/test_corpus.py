@@ -5,49 +5,40 @@ from pyspark.sql import functions as F
 from rowflow.plans import corpus as C, lineage as L
 
 CASES = [
-    ("R = SELECT Day, 0L AS Cnt FROM Daily;", "R", {"Daily"}),
-    ("a = SELECT * FROM One UNION ALL SELECT * FROM Two", "a", {"One", "Two"}),
-    ("M = SELECT Day, SUM(X) AS X FROM ( SELECT * FROM One UNION ALL SELECT * FROM Two )", "M", {"One", "Two"}),
-    ("SELECT L.Day, R.Pos FROM Raw AS L INNER JOIN Raw AS R ON L.Id == R.Id WHERE L.X != R.X;", None, {"Raw"}),
-    ("d = SELECT L.Day FROM Lefts AS L INNER JOIN Rights AS R ON L.Id == R.Id", "d", {"Lefts", "Rights"}),
-    ("SELECT L.Day, IF(L.P < R.P, 0, 1) AS A FROM Table1, Table2", None, {"Table1", "Table2"}),
-    ("SELECT X FROM( Mods.Impressions( BASE = @Path, FROM_TIME = @T.AddHours(-2) ) )", None, {"MODULE_Mods.Impressions"}),
-    ("F = SELECT * FROM Mods.Views(BASE = @P, END = @E) WHERE NOT (A == null AND B == null)", "F", {"MODULE_Mods.Views"}),
-    ("R = SELECT Day, FIRST(X) AS X, SUM(Y) AS Y", "R", set()),
-    ("A = SELECT long.Parse(Id) AS Id FROM ( SSTREAM @Final )", "A", {"SSTREAM_@Final"}),
-    ("L = SELECT A.* FROM (SSTREAM @L) AS A LEFT SEMIJOIN Ctx ON A.Id == Ctx.Id;", "L", {"SSTREAM_@L", "Ctx"}),
-    ("L = SELECT DISTINCT Id FROM L AS A CROSS APPLY Ext.Read<Scape>(A.Result).Points AS P;", "L", {"L", "FUNC_Ext.Read<Scape>(A.Result).Points"}),
-    ('S = SELECT "a" AS Tag, COUNT(DISTINCT (Id)) AS N FROM B UNION ALL SELECT "b" AS Tag, COUNT( * ) AS N FROM B', "S", {"B"}),
-    ("S = SELECT A. *, D.N FROM S AS A INNER JOIN E AS B ON A.X == B.X AND A.Y == B.Y LEFT OUTER JOIN C AS D ON A.X == D.X", "S", {"S", "E", "C"}),
-    ("B = SELECT X.*, Bad FROM X CROSS JOIN Cfg;", "B", {"X", "Cfg"}),
-    ('B = SELECT DISTINCT Id FROM R1 WHERE Id != - 1 UNION DISTINCT SELECT DISTINCT E AS Id FROM R2 WHERE V == "C" UNION DISTINCT SELECT DISTINCT Id FROM R3', "B", {"R1", "R2", "R3"}),
-    ('R = SELECT Id FROM (VIEW @Rules) WHERE T.Contains("x") AND C IN("A", "B");', "R", {"VIEW_@Rules"}),
-    ('M = SELECT *, __serialnum AS N FROM (SSTREAM STREAMSET @Path PATTERN @"F%n.ss" RANGE __serialnum=["0", "6"] );', "M", {"SSTREAM<STREAMSET>_@Path"}),
-    ('D = (SELECT Id AS E FROM B1 UNION DISTINCT SELECT * FROM B2 ) EXCEPT ALL (SELECT E FROM Dd WHERE V == "C" )', "D", {"B1", "B2", "Dd"}),
-    ("C = SELECT A.*,B.Name FROM C1 AS A LEFT OUTER JOIN C2 AS B ON A.Id == B.Id", "C", {"C1", "C2"}),
-    ("U = SELECT * FROM U WHERE T NOT IN(@A, @B) UNION ALL SELECT * FROM G1 UNION ALL SELECT * FROM G2;", "U", {"U", "G1", "G2"}),
-    ("E = SELECT COUNT() AS C FROM (EXTRACT A:string FROM @Txt USING DefaultTextExtractor)", "E", {"EXTRACT_@Txt"}),
-    ("A = (SELECT A. * FROM A LEFT OUTER JOIN Ops ON A.N == Ops.N WHERE Ops.N == null ) UNION ALL SELECT * FROM Bulk", "A", {"A", "Ops", "Bulk"}),
-    ("M = SELECT D, (long)T AS T FROM M AS L INNER PAIR JOIN N AS R ON L.K == R.K;", "M", {"M", "N"}),
-    ("SELECT P.* , B.X FROM Perf AS P INNER JOIN Budget AS B ON ALL ( P.C == B.C, P.D == B.D )", None, {"Perf", "Budget"}),
-    ("P = SELECT (B.X == NULL ? (S.Y.Any() && S.Z.Where(p=>p.Id == (ulong)Id).FirstOrDefault()!= NULL ? 1 : 0) : B.C) AS K FROM Auct AS A LEFT OUTER JOIN Dem AS B ON A.I == B.I", "P", {"Auct", "Dem"}),
-    ("P = REDUCE Full ON A, B USING Prop(\"x\", \"y\");", "P", {"Full"}),
-    ("S = REDUCE ( SELECT A, B FROM Sugg ) ON B PRESORT C DESC USING Utils.TopN(@N)", "S", {"Sugg"}),
-    ("S = REDUCE S USING Lvl(@T, @C) ON A PRESORT B DESC", "S", {"S"}),
-    ("W = COMBINE Sugg AS L WITH Bag AS R ON L.O == R.O USING Tf(\"X\");", "W", {"Sugg", "Bag"}),
-    ("W = COMBINE W AS L WITH (SSTREAM@File) AS R ON L.O == R.O USING Tf(\"X\")", "W", {"W", "(SSTREAM@File)"}),
-    ("N = COMBINE Pv PRESORT C WITH Map PRESORT C USING Naf;", "N", {"Pv", "Map"}),
-    ('B = PROCESS B USING Stripe("Config.xml")', "B", {"B"}),
-    ('A = PROCESS Prep PRODUCE A, B USING Adj() HAVING G != "";', "A", {"Prep"}),
-    ("PROCESS (SELECT * FROM Inner1) USING Adj()", None, {"Inner1"}),
-    ("PROCESS USING Bsc(@Histogram ); ", None, set()),
-    ("T = VIEW @TMView PARAMS( START = @S, END = @E );", "T", {"VIEW_@TMView"}),
-    ('L = EXTRACT Bad:string FROM "/x/List.txt" USING DefaultTextExtractor();', "L", {'EXTRACT_"/x/List.txt"'}),
-    ('D = Mod.Assign ( Input = Src, Config = Acc, Mode = "config" );', "D", {"MODULE_Mod.Assign"}),
-    ("O = SSTREAM @Neg", "O", {"SSTREAM_@Neg"}),
-    ('IMPORT "/s/Feature.script" AS Rel PARAMS D = @D;', "Rel", {'IMPORT_"/s/Feature.script"'}),
-    ("Q = SELECT * FROM Big WHERE Id IN (SELECT Id FROM Hidden)", "Q", {"Big"}),
-    ('Q = SELECT "FROM Nowhere" AS T FROM Real', "Q", {"Real"}),
+    # plain names, aliases, comma lists and joins
+    ("Cheap = SELECT Sku, Price FROM Shelf WHERE Price < 3", "Cheap", {"Shelf"}),
+    ("SELECT T.Sku FROM Shelf AS T, Stock AS U, Depot WHERE T.Sku == U.Sku AND Depot.Id == U.Id", None, {"Shelf", "Stock", "Depot"}),
+    ("Full = SELECT V.Van, D.City FROM Vans AS V FULL OUTER JOIN Drivers AS D ON V.Id == D.Van", "Full", {"Vans", "Drivers"}),
+    ("Self = SELECT P.Id, Q.Id AS Next FROM Stops AS P INNER JOIN Stops AS Q ON P.Next == Q.Id", "Self", {"Stops"}),
+    ("Gone = SELECT Sku FROM Shelf LEFT ANTISEMIJOIN Recalls ON Shelf.Sku == Recalls.Sku", "Gone", {"Shelf", "Recalls"}),
+    ("Grid = SELECT * FROM Hours CROSS JOIN Lanes", "Grid", {"Hours", "Lanes"}),
+    ("Top = SELECT TOP 9 Route, SUM(Km) AS Km", "Top", set()),
+    # nested rowsets and set operators
+    ("Net = SELECT City, SUM(Q) AS Q FROM (SELECT City, Q FROM Sent UNION ALL SELECT City, 0 - Q AS Q FROM Back)", "Net", {"Sent", "Back"}),
+    ("Rest = SELECT Sku FROM Shelf EXCEPT (SELECT Sku FROM Sold INTERSECT SELECT Sku FROM Paid)", "Rest", {"Shelf", "Sold", "Paid"}),
+    # lists of a subquery are not sources, at any depth of parentheses; neither are strings
+    ("Q = SELECT Sku FROM Shelf WHERE Sku IN (SELECT Sku FROM Recalls) AND Price > 1", "Q", {"Shelf"}),
+    ("Q = SELECT Sku FROM Shelf WHERE Sku IN (SELECT Sku FROM Recalls WHERE Norm(Year(Day) + (1)) == 1)", "Q", {"Shelf"}),
+    ('Note = SELECT "sent FROM Depot" AS Msg, Sku FROM Sent', "Note", {"Sent"}),
+    # stored streams, streamsets, texts, views and imports
+    ("Old = SSTREAM @Archive", "Old", {"SSTREAM_@Archive"}),
+    ('Km = SELECT Van, Km FROM (SSTREAM "/fleet/km.ss") AS K INNER JOIN Vans ON K.Van == Vans.Id', "Km", {'SSTREAM_"/fleet/km.ss"', "Vans"}),
+    ('Days = SELECT * FROM (SSTREAM STREAMSET @Root PATTERN @"day%n.ss" RANGE __serialnum=["1", "7"])', "Days", {"SSTREAM<STREAMSET>_@Root"}),
+    ("Lines = EXTRACT Sku:string, Q:int FROM @Feed USING DefaultTextExtractor", "Lines", {"EXTRACT_@Feed"}),
+    ("Late = SELECT Van FROM (VIEW @Delays PARAMS(MIN = 5)) WHERE Van != null", "Late", {"VIEW_@Delays"}),
+    ('IMPORT "/lib/fleet.script" AS Fleet PARAMS Day = @Today', "Fleet", {'IMPORT_"/lib/fleet.script"'}),
+    # modules and functions
+    ("Legs = Geo.Split(Input = Routes, Max = @Max)", "Legs", {"MODULE_Geo.Split"}),
+    ("Fuel = SELECT Van FROM Geo.Refuel(DAY = @Day)", "Fuel", {"MODULE_Geo.Refuel"}),
+    ("Pts = SELECT P.X FROM Routes CROSS APPLY Geo.Parse(Routes.Blob).Points AS P", "Pts", {"Routes", "FUNC_Geo.Parse(Routes.Blob).Points"}),
+    ("Pts = SELECT P.X FROM Routes CROSS APPLY Geo.Parse(Zip.Open(Routes.Blob)).Points AS P", "Pts", {"Routes", "FUNC_Geo.Parse(Zip.Open(Routes.Blob)).Points"}),
+    # user code
+    ("Best = REDUCE Bids ON Lane PRESORT Price USING Auction.First(1)", "Best", {"Bids"}),
+    ("Best = REDUCE (SELECT Lane, Price FROM Offers) ON Lane USING Auction.First", "Best", {"Offers"}),
+    ("Due = COMBINE Bills AS B WITH Payments AS P ON B.Id == P.Bill USING Ledger.Match", "Due", {"Bills", "Payments"}),
+    ("Due = COMBINE Bills AS B WITH (SSTREAM @Paid) AS P ON B.Id == P.Bill USING Ledger.Match", "Due", {"Bills", "(SSTREAM@Paid)"}),
+    ("Tidy = PROCESS Addresses PRODUCE Street, City USING Post.Clean() HAVING City != null", "Tidy", {"Addresses"}),
+    ("PROCESS USING Post.Clean()", None, set()),
 ]
 
 
@@ -63,17 +54,15 @@ def test_references(spark):
 
 
 OUTPUT_CASES = [
-    ('OUTPUT data TO SSTREAM "/local/tt.ss"', [("data", '"/local/tt.ss"', True, False)]),
-    ('OUTPUT TO SSTREAM "@@Top@@" HASH CLUSTERED BY F WITH STREAMEXPIRY "15";', [(None, '"@@Top@@"', True, False)]),
-    ('OUTPUT Imp TO @Report PARTITIONED BY S WITH STREAMEXPIRY @E USING CSVFileOutputter(@M, "d")', [("Imp", "@Report", False, True)]),
-    ("OUTPUT (SELECT * FROM Sugg WHERE b == true) TO SSTREAM @Out CLUSTERED BY O", [("Sugg", "@Out", True, False)]),
-    ("OUTPUT (SELECT TOP 1 *) TO @OutputFile USING SchemaOutputter", [(None, "@OutputFile", False, False)]),
-    ('OUTPUT Res.Lost TO SSTREAM @R CLUSTERED BY C WITH STREAMEXPIRY "30"', [("Res", "@R", True, False)]),
+    ("OUTPUT Net TO SSTREAM @Ledger CLUSTERED BY City SORTED BY Q", [("Net", "@Ledger", True, False)]),
+    ('OUTPUT TO "/tmp/routes.txt"', [(None, '"/tmp/routes.txt"', False, False)]),
+    ('OUTPUT Legs TO SSTREAM "/fleet/legs.ss" PARTITIONED BY Day WITH STREAMEXPIRY "90"', [("Legs", '"/fleet/legs.ss"', True, True)]),
+    ("OUTPUT (SELECT Van FROM Vans WHERE Km > 0) TO @Active USING Post.Writer()", [("Vans", "@Active", False, False)]),
     (
-        "OUTPUT ( SELECT * FROM B1 UNION ALL SELECT * FROM B2 UNION ALL SELECT * FROM KKK ) TO SSTREAM @O;",
-        [("B1", "@O", True, False), ("B2", "@O", True, False), ("KKK", "@O", True, False)],
+        'OUTPUT (SELECT Sku FROM Sold UNION ALL SELECT Sku FROM Sent) TO SSTREAM "/shop/@@Day@@.ss"',
+        [("Sold", '"/shop/@@Day@@.ss"', True, False), ("Sent", '"/shop/@@Day@@.ss"', True, False)],
     ),
-    ('OUTPUT All USING A.B.Opp("aa", "bb") TO @Recs WITH STREAMEXPIRY @E', [("All", "@Recs", False, False)]),
+    ("OUTPUT Split.Rejected TO @Rejects", [("Split", "@Rejects", False, False)]),
 ]
 
 
@@ -92,21 +81,21 @@ def lineage(spark, text):
     return facts, L.edges(facts)
 
 
-def test_two_input_script(spark):
-    text = """\ufeff#DECLARE In1 string = "/p/1.ss";
-#DECLARE Out1 string = "/p/o.ss";
-D1 =
-SELECT A, B AS C FROM (SSTREAM @In1);
-D2 = SELECT A FROM (SSTREAM @In2);
-D = SELECT A FROM D1 JOIN D2 ON D1.A == D2.A WHERE C != 0;
-OUTPUT TO SSTREAM @Out;
-OUTPUT D1 TO SSTREAM @Out1;
+def test_branching_script(spark):
+    """One source read twice, user code, a union of both branches and an output of the latest rowset."""
+    text = """#DECLARE Feed string = "/shop/feed.txt";
+Lines = EXTRACT Sku:string, Q:int FROM @Feed USING DefaultTextExtractor();
+Few = SELECT Sku, Q FROM Lines WHERE Q < 10;
+Many = REDUCE Lines ON Sku USING Shop.Bulk();
+OUTPUT Many TO "/shop/bulk.txt";
+All = SELECT Sku FROM Few UNION ALL SELECT Sku FROM Many;
+OUTPUT TO SSTREAM @Skus;
 """
     facts, edges = lineage(spark, text)
     assert {(r.src, r.dst) for r in edges.collect()} == {
-        ("SSTREAM_@In1", "D1"), ("SSTREAM_@In2", "D2"), ("D1", "D"), ("D2", "D"), ("D", "@Out"), ("D1", "@Out1"),
+        ("EXTRACT_@Feed", "Lines"), ("Lines", "Few"), ("Lines", "Many"), ("Many", '"/shop/bulk.txt"'),
+        ("Few", "All"), ("Many", "All"), ("All", "@Skus"),
     }
-    assert L.nodes(edges, facts).count() == 7
 
 
 def test_reassignment_reads_the_old_version(spark):
@@ -138,10 +127,7 @@ def test_loops_and_conditionals(spark):
 
 
 def test_hints_leave_indexing_alone(spark):
-    from pyspark.sql import functions as F
-
-    from rowflow.plans import corpus as C
-
-    text = "X = SELECT a[0] AS k FROM T [ROWCOUNT=100];"
-    got = spark.createDataFrame([(text,)], "t string").select(C.strip_hints(F.col("t")).alias("x")).first().x
-    assert "a[0] AS k FROM T" in got and "ROWCOUNT" not in got
+    text = "X = SELECT a[0] AS k, m[key] AS l, f(x)[i] AS n FROM T[ROWCOUNT=100] [SKEW=(A=1)] [Few(a), Pinned] ON a == b[j];"
+    got = spark.createDataFrame([(text,)], "t string").select(C.strip_hints(F.col("t")).alias("x"), C.list_hints(F.col("t")).alias("h")).first()
+    assert got.x == "X = SELECT a[0] AS k, m[key] AS l, f(x)[i] AS n FROM T   ON a == b[j];"
+    assert got.h == ["[ROWCOUNT=100]", "[SKEW=(A=1)]", "[Few(a), Pinned]"]
