@@ -17,22 +17,31 @@ def right_semi(left: DataFrame, right: DataFrame, on, anti: bool = False) -> Dat
     return semi(right, left, on, anti)
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than it needs to know."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes as text; one pass that
+    reads at most a row beyond the bound."""
+    head = df.limit(max_rows + 1)
+    wide = [F.octet_length(F.to_json(F.struct(F.col(f"`{c}`").alias("v")))) for c in df.columns]
+    size = F.sum(sum(wide, F.lit(16)).cast("long"))
+    rows, used = head.agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and (used or 0) <= max_bytes
 
 
 def broadcast_right(
-    left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000
+    left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000, max_bytes: int = 64 << 20
 ) -> DataFrame:
-    """``BROADCASTRIGHT`` join: the hint is used only while the right side is within its bound,
+    """``BROADCASTRIGHT`` join: the hint is used only while the right side is within its bounds,
     otherwise the join is a plain shuffled one that AQE may still improve."""
-    return left.join(F.broadcast(right) if is_small(right, max_rows) else right, on, how)
+    return left.join(F.broadcast(right) if is_small(right, max_rows, max_bytes) else right, on, how)
 
 
-def hash_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """``HASH`` / ``PAIR`` join: same rows as an equi-join, built as a shuffled hash join."""
-    return left.join(right.hint("SHUFFLE_HASH"), on, how)
+def hash_join(
+    left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 2_000_000, max_bytes: int = 256 << 20
+) -> DataFrame:
+    """``HASH`` / ``PAIR`` join: same rows as an equi-join, built as a shuffled hash join while the
+    right side fits into one task even if all its rows share a key; beyond that Catalyst's
+    choice, which can spill."""
+    return left.join(right.hint("SHUFFLE_HASH") if is_small(right, max_rows, max_bytes) else right, on, how)
 
 
 def attach_rows(df: DataFrame, config: DataFrame, max_rows: int = 1000) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,7 +24,26 @@ def build_session(app: str = "rowflow", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they run; once per application. The
+    archive lies in the folder from which Spark hands files to executors."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.join(SparkFiles.getRootDirectory(), "shipped")
+    path = os.path.join(folder, "rowflow_package.zip")
+    if not os.path.isdir(home) or os.path.exists(path):
+        return
+    os.makedirs(folder, exist_ok=True)
+    with zipfile.ZipFile(path, "w") as archive:
+        for at, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(at, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_root(spark: SparkSession) -> str:

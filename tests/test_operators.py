@@ -191,7 +191,10 @@ def test_broadcast_hint_only_within_bound(spark):
         l, r = spark.range(100).toDF("a"), spark.range(50).toDF("b")
         assert "BroadcastHashJoin" in plan(J.broadcast_right(l, r, l.a == r.b, max_rows=50))
         assert "BroadcastHashJoin" not in plan(J.broadcast_right(l, r, l.a == r.b, max_rows=49))
+        assert "BroadcastHashJoin" not in plan(J.broadcast_right(l, r, l.a == r.b, max_bytes=1000))
         assert "ShuffledHashJoin" in plan(J.hash_join(l, r, l.a == r.b))
+        assert "ShuffledHashJoin" not in plan(J.hash_join(l, r, l.a == r.b, max_rows=49))
+        assert "ShuffledHashJoin" not in plan(J.hash_join(l, r, l.a == r.b, max_bytes=1000))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
