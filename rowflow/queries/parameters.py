@@ -169,6 +169,23 @@ def prm_ref_chain(spark, d):
     return P.resolve_references(source(spark, d, REFERENCES, "part"))
 
 
+REFERENCE_LINES = """SELECT concat('s', CAST(p_partkey AS STRING)) AS script, t.pos, t.key,
+    replace(replace(t.value, '#P', p_name), '#B', p_brand) AS value
+  FROM part, (VALUES (0, 'Root', '/#P'), (1, 'One', '@Root/#B'), (2, 'Root', '@Root/b'), (3, 'Two', '@Root;@One'),
+    (4, 'Early', '@Later'), (5, 'Later', '#B'), (6, 'Own', '@Own')) t(pos, key, value)"""
+
+
+@query(
+    "prm_ref_lines",
+    """SELECT 's' || p_partkey AS script, k AS key, CASE k WHEN 'Root' THEN '/' || p_name || '/b' WHEN 'One' THEN '/' || p_name || '/' || p_brand
+         WHEN 'Two' THEN '/' || p_name || '/b;/' || p_name || '/' || p_brand WHEN 'Own' THEN '@Own' ELSE p_brand END AS value
+       FROM part, (VALUES ('Root'), ('One'), ('Two'), ('Early'), ('Later'), ('Own')) t(k)""",
+)
+def prm_ref_lines(spark, d):
+    """Keys set twice: a name means its latest earlier line."""
+    return P.resolve_references(source(spark, d, REFERENCE_LINES, "part"))
+
+
 @query(
     "prm_string_funcs",
     """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name || '.ss', '.ss', '_fake.ss')
