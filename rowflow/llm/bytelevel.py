@@ -2,7 +2,7 @@
 
 Its pre-tokenizer splits a text by character classes, and merges stay inside a split, so the
 splits are found for a whole batch at once and each worker asks the library for every distinct
-split only once.
+split only once. The file's added tokens are cut out before, as the library does.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -101,8 +103,36 @@ def splits_alike(path: str) -> bool:
     return before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec["normalizer"]
 
 
-def ids_of_texts(texts: Iterable[str], path: str) -> Iterator[np.ndarray]:
-    """The ids (unsigned 32 bit) that the library gives to each text, without special tokens."""
+@functools.cache
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern of the file's added tokens (the longest at a place counts), and their ids."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens") or []
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in found):
+        raise ValueError(f"{path} has added tokens that depend on what is around them")
+    ids = {x["content"]: x["id"] for x in found if x["content"]}
+    names = sorted(ids, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None, ids
+
+
+def ids_of_texts(texts: Iterable[str], path: str, added: bool = False) -> Iterator[np.ndarray]:
+    """The ids (unsigned 32 bit) that the library gives to each text, without special tokens
+    around it. ``added``: the file's added tokens in a text get their own ids, as the library
+    does by default; without it they are text like any other (``encode_special_tokens``)."""
     if not splits_alike(path):
         raise ValueError(f"{path} is no plain byte-level tokenizer")
-    return numbers_of_texts(texts, functools.partial(segments, classes(path)), table(path))
+    cut, names = added_tokens(path) if added else (None, {})
+    inside: deque[list[str]] = deque()  # the added tokens of the texts under way
+
+    def parts() -> Iterator[str]:
+        for text in texts:
+            found = cut.split(text) if cut else [text]
+            inside.append(found[1::2])
+            yield from found[::2]
+
+    numbers = numbers_of_texts(parts(), functools.partial(segments, classes(path)), table(path))
+    for ids in numbers:
+        out = [ids]
+        for name in inside.popleft():
+            out += [np.array([names[name]], dtype=ids.dtype), next(numbers)]
+        yield ids if len(out) == 1 else np.concatenate(out)

@@ -42,7 +42,7 @@ def byte_level(path: str, end: int):
     def encode(texts):
         from rowflow.llm.bytelevel import ids_of_texts
 
-        for ids in ids_of_texts(texts, path):
+        for ids in ids_of_texts(texts, path, added=True):
             yield np.append(ids, np.uint32(end))
 
     return encode

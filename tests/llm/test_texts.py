@@ -34,6 +34,16 @@ def test_byte_level_ids(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_their_ids_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    plain, end = Tokenizer.from_file(BPE), "<|endoftext|>"
+    given = [f"a {end} b", end, end * 3, f"{end}it's{end} we'll", f"x <|endoftext| {end}>", "none", "", f"word {end}\n" * 30_000]
+    given += [x.replace("e", end) for x in texts("ab 'e\n\t.,;|<>é日strl😀", 400)]
+    for text, ids in zip(given, byte_level(BPE, 7)(iter(given)), strict=True):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 7]
+
+
 def test_piece_ids_spans_and_decoding():
     given = texts("ab  \n\t.,;1é日strevl▁<s>😀\x00")
     model = pieces.model(PIECE)[0]
