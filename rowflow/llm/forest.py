@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample (SAMPLE rows with the smallest hashes of their ids): a
+The trees are fitted on a bounded sample (the SAMPLE ids with the smallest hashes, one row each): a
 node's direction is the difference of two of its sample rows, its offset the median, until
 leaves hold about LEAF rows of the whole table (at most DEPTH levels, so that the model has a
 fixed size). For inner products a further component makes all vectors equally long. Every row
@@ -13,7 +13,7 @@ leaves are ranked exactly, in double precision.
 
 A leaf is searched in blocks of at most BLOCK rows for at most QUERIES queries, so neither a
 leaf full of equal vectors nor a long list of queries meets in one task. The sample's k-th best
-score is a lower bound of the answer's, which keeps short what blocks return.
+score of different ids is a lower bound of the answer's, which keeps short what blocks return.
 
 Rows without an id and vectors that are null, zero, or hold null or non-finite components take
 no part; vectors of different lengths are filled up with zeros; of rows with the same id the
@@ -86,7 +86,9 @@ def fit(rows: DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, target: f
     count, width, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("values")), F.max(squares)).first()
     if not count:
         return None
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    order = [F.xxhash64("vec_id"), F.col("vec_id")]
+    chosen = rows.select("vec_id").distinct().orderBy(*order).limit(SAMPLE)
+    taken = rows.join(F.broadcast(chosen), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("values").alias("values")).orderBy(*order).collect()
     ids, sample = np.array([r.vec_id for r in taken]), matrix([r["values"] for r in taken], width)
     depth = min(DEPTH, max(0, int(np.ceil(np.log2(count / leaf)))))
     rng = np.random.default_rng(seed)
@@ -124,6 +126,15 @@ def fit(rows: DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, target: f
     return forest
 
 
+def best_ids(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """``kept_best`` of different ids: of a query's rows with the same id the best one counts."""
+    order = np.lexsort((-score, ids, query))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (query[order[1:]] != query[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])
+    own = order[new]
+    return own[kept_best(query[own], score[own], ids[own], k)]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each row of
     ``queries`` among the other rows of ``vectors`` (both with vec_id and embedding)."""
@@ -178,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | None
             other = owners[at + row] != ids[column]
             row, column = row[other], column[other]
             score = (q[at + row] * v[column]).sum(axis=1)  # equal for equal vectors
-            best = kept_best(row, score, ids[column], k)
+            best = best_ids(row, score, ids[column], k)
             out.append(pd.DataFrame({"query_id": owners[at + row[best]], "vec_id": ids[column[best]], "score": score[best]}))
         return pd.concat(out)
 
@@ -191,7 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | None
                 least = np.partition(near, len(forest.ids) - k, axis=1)[:, len(forest.ids) - k] if len(forest.ids) > k else np.full(len(near), -np.inf)
                 row, column = np.nonzero((near >= least[:, None] - SLACK) & (near > -np.inf))
                 score = (x[at + row] * forest.rows[column]).sum(axis=1)
-                best = kept_best(row, score, forest.ids[column], k)
+                best = best_ids(row, score, forest.ids[column], k)
                 yield pd.DataFrame({"query_id": owners[at + row[best]], "vec_id": forest.ids[column[best]], "score": score[best]})
 
     keys = ["leaf", "block", "group"]

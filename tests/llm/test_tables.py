@@ -149,6 +149,21 @@ def test_forest_recall(spark):
     assert forest.search(table.limit(0), table, 20).count() == 0
 
 
+def test_forest_with_repeated_ids(spark):
+    x, table = vectors(spark)
+    many = spark.createDataFrame([(7, (x[40] * f).tolist()) for f in (0.5, 1.0, 2.0) for _ in range(40)], table.schema)
+    asked = np.arange(0, len(x), 20)
+    scores = x[asked] @ x.T
+    scores[:, 7] = np.maximum(scores[:, 7], (x[asked] @ np.outer([0.5, 1, 2], x[40]).T).max(axis=1))
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = {int(q): set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()) for q, s in zip(asked, scores.round(9))}
+    found = {}
+    for r in forest.search(table.unionByName(table).unionByName(many), table.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(best) and all(len(own) == len(set(own)) == 20 for own in found.values())
+    assert np.mean([len(set(found[q]) & best[q]) / 20 for q in best]) >= 0.9
+
+
 def test_block_search_is_exact(spark):
     x, table = vectors(spark, 1500)
     whole = np.floor(1024 * np.concatenate([x, np.zeros((1, 16))])).astype(int)
