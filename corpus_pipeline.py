@@ -28,13 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; of rows that share it,
-    one, the smallest by its columns. Rows without an id stay."""
-    kept = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi")
-    return first.select(docs.columns).groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("rest")).select(
-        *("doc_id" if c == "doc_id" else F.col(f"rest.{c}").alias(c) for c in docs.columns)
-    ).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each near-duplicate class: the one with the smallest id (then text_key), or one
+    without an id if the class has no other; of its repeats the smallest by its columns."""
+    rows = docs.withColumn("kept key", bagminhash.text_key())
+    kept = bagminhash.classified(docs).where("chosen").select(F.col("doc_id").alias("kept id"), F.col("text_key").alias("kept text")).distinct()
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.col("kept key") == F.col("kept text")), "left_semi")
+    first = rows.groupBy("doc_id", "kept key").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("rest"))
+    return first.select(*("doc_id" if c == "doc_id" else F.col(f"rest.{c}").alias(c) for c in docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

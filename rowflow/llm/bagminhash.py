@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowflow.llm.ragged import batches, joined, mixed, segment_hashes
@@ -183,8 +183,22 @@ def node_of(words: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, which name a row up to repeats of it."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key"))
+
+
+def smallest(doc_id: str) -> Column:
+    """The smallest id and text_key; null ids come last."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("rep"), "text_key"))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (64-bit hash of the words), bands and digest (both null without words)."""
+    """doc_id, text_key, node (64-bit hash of the words), bands and digest (both null without words)."""
 
     def sign(frames):
         for frame in frames:
@@ -199,6 +213,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     yield pd.DataFrame(
                         {
                             "doc_id": owners[first : i + 1].astype("Int64").to_numpy(dtype=object, na_value=None),
+                            "text_key": frame["text_key"].iloc[first : i + 1].to_numpy(),
                             "node": [node_of(x) for x in held],
                             "bands": [b if n else None for b, n in zip(bands, lengths)],
                             "digest": [d.tobytes() if n else None for d, n in zip(digest, lengths)],
@@ -206,8 +221,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     )
                     held, first = [], i + 1
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, node long, bands array<long>, digest binary")
+    return keyed(docs).mapInPandas(sign, "doc_id long, text_key long, node long, bands array<long>, digest binary")
 
 
 def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +275,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) of every row."""
+    return classified(docs).select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and class_id of every row, and ``chosen``: whether it is the row of its
+    class with the smallest id and text_key (or a repeat of it)."""
     spark = docs.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -269,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return spark.read.schema(df.schema).parquet(path)
 
     marks = stored(signed(docs), "signatures")
-    reps = marks.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = marks.groupBy("node").agg(smallest("doc_id").alias("first")).select("node", "first.rep", "first.text_key")
     nodes = marks.where("bands IS NOT NULL").dropDuplicates(["node"]).select("node", "bands", "digest")
     rows = nodes.select("node", F.explode("bands").alias("band"))
     leaders = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -292,9 +312,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return of.select(F.col("node").alias(key), F.col(value).alias(name))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """node and text; rows that share the id of the wanted one may come with it."""
-        texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-        return texts.join(wanted.join(reps, "node"), "rep").select("node", "text")
+        """node and text, once for every node."""
+        texts, rows = keyed(docs).withColumnRenamed("text_key", "key"), wanted.join(reps, "node")
+        same = texts.doc_id.eqNullSafe(rows.rep) & (texts.key == rows.text_key)
+        return texts.join(rows, same).select("node", "text").dropDuplicates(["node"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(side(digests, "a", "digest", "x"), "a").join(side(digests, "b", "digest", "y"), "b")
@@ -342,7 +363,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         new = stored(waiting.join(texts, "node").groupBy(keys).applyInPandas(joining, "a long, b long"), "links")
         found = components(links.unionByName(new))
 
-    owners = reps.join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    classes = owners.groupBy("root").agg(F.min("rep").alias("class_id"))
-    owned = owners.join(classes, "root").select("node", "class_id")
-    return marks.select("doc_id", "node").join(owned, "node").select("doc_id", "class_id")
+    owners = reps.join(found, "node", "left").select("node", "rep", "text_key", F.coalesce("root", "node").alias("root"))
+    classes = owners.groupBy("root").agg(smallest("rep").alias("first"))
+    owned = owners.join(classes, "root").select("node", F.col("first.rep").alias("class_id"), F.col("first.text_key").alias("class_key"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    return marks.select("doc_id", "text_key", "node").join(owned, "node").select("doc_id", "text_key", "class_id", chosen.alias("chosen"))

@@ -108,6 +108,28 @@ def test_near_duplicates(spark):
     assert B.near_duplicates(docs.limit(0)).count() == 0
 
 
+def varied(n, changes, seed):
+    rng = random.Random(seed)
+    words, out = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(150)], []
+    for i in range(n):
+        copy = list(words)
+        for k in range(changes if i else 0):
+            copy[rng.randrange(150)] = f"new{i}x{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_pipeline_keeps_one_row_per_class_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    others = [varied(1, 0, seed)[0] for seed in range(20, 30)]
+    a, b = varied(3, 1, 31), varied(2, 1, 32)
+    rows = [(0, t) for t in others] + [(5, a[0]), (7, a[1]), (8, a[2]), (5, b[0]), (3, b[1]), (0, others[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(map(tuple, corpus_pipeline.drop_copies(spark, docs, "").collect()))
+    assert kept == sorted([*((0, t) for t in others), (5, a[0]), (3, b[1])])
+
+
 def test_signatures_are_unbiased():
     rng, errors = np.random.default_rng(5), []
     for _ in range(40):
