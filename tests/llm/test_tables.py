@@ -130,6 +130,17 @@ def test_pipeline_keeps_one_row_per_class_with_repeated_ids(spark):
     assert kept == sorted([*((0, t) for t in others), (5, a[0]), (3, b[1])])
 
 
+def test_null_ids_have_classes(spark):
+    import corpus_pipeline
+
+    a, b = varied(4, 1, 41), varied(3, 1, 42)
+    rows = [(None, t) for t in [*a, *a[:2], *b[1:], *b[1:]]] + [(9, b[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r.class_id for r in B.near_duplicates(docs).where("doc_id IS NULL").collect()].count(9) == 4
+    kept = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {None, 9} and next(r.text for r in kept if r.doc_id is None) in a
+
+
 def test_signatures_are_unbiased():
     rng, errors = np.random.default_rng(5), []
     for _ in range(40):
