@@ -178,23 +178,28 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, if there, follows.
 
-    Null texts stay null."""
+    All spans are located in the original text; those that overlap become one, named after the
+    first. Null texts stay null."""
     rows = stored_spans(docs)
     added = found_in_context(rows).withColumnsRenamed({"doc_id": "redact id", "text_key": "redact key"})
     keyed = docs.withColumn("redact own", F.xxhash64("text"))
     keyed = keyed.join(added, F.col("doc_id").eqNullSafe(F.col("redact id")) & (F.col("redact own") == F.col("redact key")), "left")
-    text = F.col("text")
+    text, labels = F.col("text"), F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, "id")))
+
+    def placed(spans: Column, label: int) -> Column:
+        return F.transform(F.coalesce(spans, F.array().cast(SPANS)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
 
     def step(state: Column, x: Column) -> Column:
-        out = F.concat(state["out"], text.substr(state["at"] + 1, x["start"] - state["at"]), F.lit("[ID]"))
-        return F.struct(x["end"].alias("at"), out.alias("out"))
+        apart = F.concat(text.substr(state["at"] + 1, x["start"] - state["at"]), F.element_at(labels, x["label"]))
+        out = F.when(x["start"] >= state["at"], F.concat(state["out"], apart)).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
 
+    bases = (placed(F.filter(located(text, pattern, hint), lambda x: good(x["hit"])), i + 1) for i, (pattern, hint, good) in enumerate(RULES.values()))
+    context = F.transform("context", lambda x: F.struct(x["start"], x["end"], F.lit("").alias("hit"), F.lit("").alias("left")))
+    keyed = keyed.withColumn("redact spans", F.array_sort(F.concat(*bases, placed(context, len(KINDS) + 1))))
     rest = lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    keyed = keyed.withColumn("text", F.when(F.col("context").isNotNull(), F.aggregate("context", start, step, rest)).otherwise(text))
-    for kind, (pattern, hint, good) in RULES.items():
-        swap = lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").when(good(x["hit"]), f"[{kind.upper()}]").otherwise(x["hit"]))  # noqa: E731, B023
-        keyed = keyed.withColumn("text", F.when(text.rlike(hint), F.array_join(F.transform(parts(text, pattern), swap), "")).otherwise(text))
+    keyed = keyed.withColumn("text", F.when(F.size("redact spans") > 0, F.aggregate("redact spans", start, step, rest)).otherwise(text))
     if "n_chars" in docs.columns:
         keyed = keyed.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return keyed.select(docs.columns)

@@ -141,6 +141,13 @@ def test_null_ids_have_classes(spark):
     assert len(kept) == 2 and {r.doc_id for r in kept} == {None, 9} and next(r.text for r in kept if r.doc_id is None) in a
 
 
+def test_overlapping_spans_are_masked_whole(spark):
+    card = next(f"4 5678 9012 3456 78{i:02}" for i in range(100) if good("card", f"4 5678 9012 3456 78{i:02}"))
+    rows = [(1, f"x 1.2.3.{card} y"), (2, "x +1 10.0.0.1 5551234 y"), (3, "a@b.org 1.2.3.4, z@q.net"), (4, None)]
+    got = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "x [IP] y", 2: "x [PHONE] y", 3: "[EMAIL] [IP], [EMAIL]", 4: None}
+
+
 def test_signatures_are_unbiased():
     rng, errors = np.random.default_rng(5), []
     for _ in range(40):
