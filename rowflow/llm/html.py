@@ -4,8 +4,10 @@ Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 comments go first (by element, role, and words in class and id). Every remaining block of text
 is worth one point, one for each comma and up to three for its length; its container gets them
 whole, the next ancestor half, and further ones a third by distance. An element's points are
-discounted by the share of its text that is in links. The best container is kept with those of
-its siblings that look like part of it; inside an article or main element, all of that element.
+discounted by the share of its text that is in links. Inside an article or main element,
+all of that element is kept. Else containers nearly as good as the best share a frame with it;
+what they are in is kept, and every sibling there and beside the frame is judged on its whole, a
+heading by what follows it, and a title before the text stays.
 
 White space inside a block becomes one space, blocks follow each other by one line end, and
 nothing else is dropped or cut. Null pages, and pages without text, have an empty one. Repeated
@@ -53,6 +55,8 @@ UNWANTED = set(
 COMMENTS = set("comment comments commentlist disqus respond reply replies discussion".split())
 AROUND = {"has", "with", "no", "without"}  # "has-sidebar" names a layout, not a sidebar
 CONTAINERS = {"html", "body", "main"}
+WHOLE = {"article", "main", "body", "html", "#root"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?=[^a-zA-Z])[^>]*+(?:>|\Z)"
@@ -197,13 +201,21 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
     return blocks
 
 
+def within(x: Element | None, ancestor: Element) -> bool:
+    while x and x is not ancestor:
+        x = x.parent
+    return x is ancestor
+
+
 def main_blocks(blocks: list[tuple[Element, str]]) -> list[str]:
     """The texts of the blocks that belong to the best container."""
     touched: list[Element] = []
+    holders: dict[int, Element] = {}
     single = {"p", "pre", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "address", "summary"}
     for owner, line in blocks:
         points, level = 1 + line.count(",") + min(len(line) / 100, 3), 0
         at = owner.parent if owner.tag in single and owner.parent else owner
+        holders[id(at)] = at
         while at:
             if not at.points:
                 touched.append(at)
@@ -222,26 +234,57 @@ def main_blocks(blocks: list[tuple[Element, str]]) -> list[str]:
             top = at
             break
         at = at.parent
-    least = max(1.0, worth(best) * 0.2)
-    kept: dict[int, bool] = {id(top): True}
+    if top.tag in WHOLE:
+        return [line for owner, line in blocks if within(owner, top)]
 
-    def belongs(owner: Element, line: str) -> bool:
-        below, at, path = None, owner, []
-        while at:
-            if id(at) in kept:
-                below = kept[id(at)]
-                break
-            path.append(at)
-            if at.parent is top.parent and top.tag not in ("article", "main", "body", "html", "#root"):
-                dense = at.linked / at.chars if at.chars else 0.0
-                below = at.tag not in ("article", "main") and (worth(at) >= least or dense < 0.25 and (len(line) > 80 or line[-1:] in ".!?"))
-                break
-            at = at.parent
-        for x in path:
-            kept[id(x)] = bool(below)
-        return bool(below)
+    def dense(x: Element) -> float:
+        return x.linked / x.chars if x.chars else 0.0
 
-    return [line for owner, line in blocks if belongs(owner, line)]
+    # other containers nearly as good: what they share with the best is the frame of the text
+    high = [x for x in holders.values() if worth(x) >= worth(best) / 2 and dense(x) < 0.25 and not x.article]
+    core = [best, *(x for x in high if not within(x, best) and not within(best, x))]
+    above: dict[int, int] = {}  # how many of them an element holds
+    for x in core:
+        while x:
+            above[id(x)] = above.get(id(x), 0) + 1
+            x = x.parent
+    while above.get(id(top), 0) < len(core):
+        top = top.parent
+    frames = {id(top): top} if len(core) > 1 else {}
+    while top.tag not in WHOLE and top.parent.tag not in WHOLE and top.parent.chars == top.chars:
+        top = top.parent  # wrappers of nothing else
+    if top.tag not in WHOLE:
+        frames[id(top.parent)] = top.parent
+
+    units: dict[int, list] = {}  # children of the frames: element, lines, whether headings only
+    homes: list[int | None] = []
+    titles: set[int] = set()
+    for owner, line in blocks:
+        at, home = owner, None
+        while at and at.parent and id(at.parent) not in frames and id(at) not in frames:
+            at = at.parent
+        if at and at.parent and id(at) not in frames:
+            home = id(at)
+            unit = units.setdefault(home, [at, [], True])
+            unit[1].append(line)
+            unit[2] = unit[2] and owner.tag in HEADINGS
+            if owner.tag == "h1":
+                titles.add(home)
+        homes.append(home)
+    least, kept, after, ahead = max(1.0, worth(best) * 0.2), {}, {}, False
+    for key, (at, lines, headings) in reversed(units.items()):
+        parent = id(at.parent)
+        if key in above:
+            kept[key] = ahead = True
+        elif at.tag in ("article", "main"):
+            kept[key] = False
+        elif headings:  # a title before the text; others go with what follows them
+            kept[key] = dense(at) < 0.25 and (after.get(parent, False) or ahead and key in titles)
+            continue
+        else:
+            kept[key] = worth(at) >= least or dense(at) < 0.25 and any(len(x) > 80 or x[-1:] in ".!?" for x in lines)
+        after[parent] = kept[key]
+    return [line for (_, line), home in zip(blocks, homes) if kept.get(home, False)]
 
 
 def main_text(page: str | None) -> str:

@@ -274,6 +274,23 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+LINE = "A first part, a second part, and a third part that make one sentence of the page."
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        (f"<div id=content><h1>Title</h1><div class=entry-body><p>{LINE}</p><p>{LINE}</p></div></div>", f"Title\n{LINE}\n{LINE}"),
+        (f"<div id=c><div>{f'<p>{LINE}</p>' * 9}</div><div><h2>Heading</h2><p>Some text.</p></div></div>", "\n".join([LINE] * 9 + ["Heading", "Some text."])),
+        (f"<div id=c>{f'<div class=row><div class=col><p>{LINE}</p></div></div>' * 4}</div>", "\n".join([LINE] * 4)),
+        (f"<div id=c><h1>T</h1><div>{f'<div class=row><div class=col><p>{LINE}</p></div></div>' * 2}</div></div>", f"T\n{LINE}\n{LINE}"),
+        (f"<div id=c><div><p>{LINE}</p><p>{LINE}</p></div><h3>More</h3><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>", f"{LINE}\n{LINE}"),
+    ],
+)
+def test_main_text_without_article(body, text):
+    assert main_text(f"<html><body><div class=sidebar><p>{LINE}</p></div>{body}<footer>end</footer></body></html>") == text
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     import duckdb
