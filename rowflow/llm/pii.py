@@ -1,12 +1,13 @@
 """Personal data: base spans by pattern, and identifiers found by bootstrapped contexts.
 
-Base spans (email, ip, card, phone) come from the texts alone. What stands before a base span
-(one word, and two) together with its shape (runs of digits and letters) is a lexical pattern; the words
-with digits that follow the same pattern elsewhere are its instances. Patterns and instances
-form a graph that is scored in ROUNDS rounds: an instance is trusted when it is a base span
-somewhere, or as far as its patterns are precise; a pattern is as precise as the mean trust of
-its distinct instances, and counts only with LEAST_SUPPORT trusted ones and a precision of
-LEAST_PRECISION. Mentions of accepted patterns that aren't base spans are added as ``context``.
+Base spans (email, ip, card, phone) come from the texts alone. The words around a base span (one
+or two before, two after, or one on either side) are contexts, labelled with the kind most of
+their base spans have; what stands in the same context elsewhere are its instances: a word, a run
+of words of digits, or up to SPAN words between two context words. Contexts and instances form a
+graph that is scored in ROUNDS rounds: an instance is trusted when it is a base span, or as far as
+its best context says; a context is as precise as the mean trust of its distinct instances, and
+counts only with LEAST_SUPPORT trusted ones. A candidate is accepted where the precision, with
+FORM added if it looks loosely like the kind, reaches LEAST_PRECISION; it is added as ``context``.
 
 All of it is DataFrame functions: matches are located by splitting a text at its matches, and
 the graph is a table of distinct (pattern, instance) edges. Positions count code points, ends
@@ -30,10 +31,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 KINDS = ("email", "ip", "card", "phone")
-LEFT = 80  # characters in which the two words before a mention are looked for
+LEFT = 80  # characters of the gap that a span keeps
 ROUNDS, LEAST_SUPPORT, LEAST_PRECISION = 3, 5, 0.8
+FORM = 0.3  # what the loose form of its kind adds to a candidate's score
+RUN, SPAN, AROUND, LISTED = 8, 4, 80, 20_000
+MASK, EDGE = "\ue000", "\ue001"
 CHUNK = 256
 SPANS = "array<struct<start:int,end:int,hit:string,left:string>>"
 
@@ -99,45 +102,124 @@ def located(text: Column, pattern: str, hint: str) -> Column:
     return F.when(text.rlike(hint), F.when(F.size(pairs) > 0, found))
 
 
+def all_spans(spans: list[Column]) -> Column:
+    """start and end of all spans in order."""
+    return F.array_sort(F.concat(*(F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for x in spans)))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, a SPANS column for each kind, and the mentions of words with digits."""
+    """doc_id, text_key, a SPANS column for each kind, and the text with MASK for their characters."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
     for kind, (pattern, hint, good) in RULES.items():
         spans = located(F.col("text"), pattern, hint)
         rows = rows.withColumn(kind, F.filter(F.coalesce(spans, F.array().cast(SPANS)), lambda x: good(x["hit"])))
-    return rows.withColumn("mentions", located(F.col("text"), TOKEN, "[0-9]")).drop("text")
-
-
-def mentions_of(rows: DataFrame) -> DataFrame:
-    """One row per mention and pattern of it: where it is, and its value; ``seed`` if a base span
-    starts there. Mentions inside base spans are left out."""
-    spans = F.concat(*(F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS))
-    each = rows.select("doc_id", "text_key", spans.alias("spans"), F.explode("mentions").alias("m"))
-    value = F.regexp_replace("m.hit", r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$", "")
-    ahead = F.length(F.regexp_extract("m.hit", r"^[^\p{L}\p{N}+]*+", 0))
-    each = each.withColumn("value", value).withColumn("start", F.col("m.start") + ahead).withColumn("end", F.col("start") + F.length("value"))
-    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]+", "9"), r"\p{L}+", "a")
-    words = F.lower(F.regexp_extract("m.left", r"(\S+\s+\S+|\S+)\s*$", 1))
-    seed = F.exists("spans", lambda x: (x["start"] <= F.col("m.start") + ahead) & (x["end"] > F.col("m.start") + ahead) & (x["start"] >= F.col("m.start")))
-    within = F.exists("spans", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start")))
-    each = each.withColumn("left", F.regexp_replace(words, r"\s+", " ")).withColumn("shape", shape).withColumn("seed", seed).where("value != ''")
-    lefts = F.array_distinct(F.array(F.col("left"), F.substring_index("left", " ", -1)))
-    each = each.where(F.col("seed") | ~within).withColumn("left", F.explode(lefts))
-    return each.select("doc_id", "text_key", "start", "end", "seed", F.lower("value").alias("value"), F.concat("left", F.lit("\n"), "shape").alias("pattern"))
-
-
-def accepted_patterns(mentions: DataFrame) -> DataFrame:
-    """pattern and precision of those that count after ROUNDS rounds."""
-    edges = cut_lineage(mentions.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed")))
-    seeds = edges.groupBy("value").agg(F.max("seed").cast("double").alias("trust")).where("trust > 0")
-    trust = seeds
+    plain = F.translate("text", MASK, "�")
+
+    def step(state: Column, x: Column) -> Column:
+        start = F.greatest(state["at"], x["start"])
+        gap = plain.substr(state["at"] + 1, start - state["at"])
+        out = F.when(x["end"] > state["at"], F.concat(state["out"], gap, F.repeat(F.lit(MASK), x["end"] - start))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
+
+    rest = lambda state: F.concat(state["out"], plain.substr(state["at"] + 1, F.length("text")))
+    rows = rows.withColumn("spans", all_spans([F.col(k) for k in KINDS]))
+    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    return rows.withColumn("masked", F.when(F.size("spans") > 0, masked).otherwise(plain)).drop("text", "spans")
+
+
+def context_key(kind: str, *words: str) -> str:
+    """SQL: the number of a context; 0 where none of its words is a word."""
+    none = " AND ".join(f"{w} IN ('{MASK}', '{EDGE}')" for w in words)
+    return f"if({none}, 0L, xxhash64('{kind}', {', '.join(words)}))"
+
+
+def seeds_of(rows: DataFrame) -> DataFrame:
+    """key, value and kind of every base span that begins a word, for each of its contexts."""
+
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["hit"]).alias("value"), F.lit(kind).alias("kind")))
+
+    spans = F.concat(*map(of, KINDS))
+
+    def around(x: Column) -> Column:
+        size = F.length("masked")
+        before = F.col("masked").substr(F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
+        after = F.col("masked").substr(x["end"] + 1, F.lit(AROUND))
+        before = F.when(x["start"] <= AROUND, F.concat(F.lit(f"{EDGE} {EDGE} "), before)).otherwise(before)
+        after = F.when(x["end"] + AROUND >= size, F.concat(after, F.lit(f" {EDGE} {EDGE}"))).otherwise(after)
+        return F.struct(x["value"].alias("value"), x["kind"].alias("kind"), before.alias("before"), after.alias("after"))
+
+    each = rows.select(F.explode(F.transform(spans, around)).alias("s")).select("s.*")
+    for side in ("before", "after"):
+        each = each.withColumn(side, F.regexp_replace(F.lower(side), f"{MASK}+", MASK))
+    each = each.withColumn("before", F.regexp_replace("before", rf"(?<=\s)[^\p{{L}}\p{{N}}\s{MASK}{EDGE}]+$", "")).where(r"before rlike '\\s$'")
+    left, right = r"(\S+)\s+(\S+)\s+$", r"^\S*\s+(\S+)\s+(\S+)"
+    words = [F.regexp_extract("before", left, 1), F.regexp_extract("before", left, 2), F.regexp_extract("after", right, 1), F.regexp_extract("after", right, 2)]
+    each = each.select("value", "kind", *(w.alias(n) for w, n in zip(words, ("l2", "l1", "r1", "r2"))))
+    keys = F.expr(f"array({', '.join(context_key(k, *w) for k, w in (('L1', ['l1']), ('L2', ['l2', 'l1']), ('R2', ['r1', 'r2']), ('LR', ['l1', 'r1'])))})")
+    return each.select("value", "kind", F.explode(keys).alias("key")).where("key != 0")
+
+
+def occurrences(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """doc_id, text_key, at (word), words, key and value of what stands in a context, other than
+    base spans, where ``by`` (key, or name: the hash of the value) is in ``wanted(by)``. A
+    candidate is a word or a run of words of digits; between two words it has up to SPAN words."""
+    number = r"rlike '^[+(]*[0-9][0-9().+/-]*[,;.]?$'"
+    run = f"if(get(w, i) {number}, aggregate(sequence(1, {RUN - 1}), 1, (m, k) -> if(m = k AND coalesce(get(w, i + k) {number}, false), m + 1, m)), 1)"
+    value = r"regexp_replace(array_join(slice(w, i + 1, x.m), ' '), '^[^\\p{L}\\p{N}+]+|[^\\p{L}\\p{N}]+$', '')"
+    one = lambda kind, m, *at: f"struct({m} AS m, {context_key(kind, *(f'get(w, i + ({a}))' for a in at))} AS key)"
+    found = [one("L1", "r", "-1"), one("L2", "r", "-2", "-1"), one("R2", "r", "r", "r + 1"), one("LR", "r", "-1", "r"), *(one("LR", m, "-1", m) for m in range(1, SPAN + 1))]
+    count = wanted.limit(LISTED + 1).count()
+    listed = count <= LISTED and ", ".join(f"{r[0]}L" for r in wanted.collect()) or "0L"
+    test = "true" if count > LISTED else f"x.key IN ({listed})" if by == "key" else f"xxhash64({value}) IN ({listed})"
+    in_run = f"transform(array({run}), r -> filter(array({', '.join(found)}), x -> {test}))"
+    each = f"if(contains(get(w, i), '{MASK}'), NULL, transform(flatten({in_run}), x -> struct(i AS at, x.m AS words, x.key AS key, {value} AS value)))"
+    words = F.concat(F.array(F.lit(EDGE), F.lit(EDGE)), F.regexp_extract_all(F.regexp_replace(F.lower("masked"), f"{MASK}+", MASK), F.lit(r"\S+"), F.lit(0)), F.array(F.lit(EDGE), F.lit(EDGE)))
+    rows = rows.select("doc_id", "text_key", words.alias("w")).where("size(w) > 4")
+    rows = rows.select("doc_id", "text_key", F.explode(F.expr(f"flatten(filter(transform(sequence(2, size(w) - 3), i -> {each}), y -> y IS NOT NULL))")).alias("x")).select("doc_id", "text_key", "x.*")
+    rows = rows.where(f"key != 0 AND value != '' AND NOT contains(value, '{MASK}') AND NOT contains(value, '{EDGE}')").withColumn("name", F.xxhash64("value"))
+    return rows.join(wanted, by, "left_semi") if count > LISTED else rows
+
+
+def form(kind: Column, value: Column) -> Column:
+    """1 where a value has the loose form of the kind, else 0."""
+    number = value.rlike(r"^[0-9+() ./-]+$")
+    size = F.length(digits_of(value))
+    loose = F.when(kind == "email", value.contains("@")).when(kind == "ip", value.rlike(r"^[0-9a-f]*([.:][0-9a-f]*){2,}$")).when(kind == "card", number & (size >= 8))
+    return loose.otherwise(number & (size >= 5)).cast("double")
+
+
+def scored(edges: DataFrame, accepted: DataFrame) -> DataFrame:
+    """What stands in an accepted context, where precision and form together suffice."""
+    score = F.col("precision") + FORM * form(F.col("kind"), F.col("value"))
+    return edges.join(accepted, "key").withColumn("score", F.least(score, F.lit(1.0))).where(score >= LEAST_PRECISION)
+
+
+def accepted_contexts(rows: DataFrame) -> DataFrame:
+    """key, precision and kind of the contexts that count after ROUNDS rounds."""
+    support = cut_lineage(seeds_of(rows).groupBy("key", "value").agg(F.max("kind").alias("kind")).withColumn("trust", F.lit(1.0)))
+    known = None
     for turn in range(ROUNDS):
-        scored = edges.join(trust, "value", "left").groupBy("pattern").agg(F.sum(F.coalesce("trust", F.lit(0.0))).alias("support"), F.avg(F.coalesce("trust", F.lit(0.0))).alias("precision"))
-        accepted = cut_lineage(scored.where((F.col("support") >= LEAST_SUPPORT) & (F.col("precision") >= LEAST_PRECISION)).select("pattern", "precision"))
-        if turn + 1 < ROUNDS:
-            induced = edges.join(accepted, "pattern").groupBy("value").agg(F.max("precision").alias("trust"))
-            trust = cut_lineage(seeds.unionByName(induced).groupBy("value").agg(F.max("trust").alias("trust")))
+        contexts = cut_lineage(support.groupBy("key").agg(F.sum("trust").alias("support"), F.mode("kind", True).alias("kind")).where(F.col("support") >= LEAST_SUPPORT))
+        # a sketch leaves out contexts far too common; the others are counted
+        many = occurrences(rows, contexts.select("key"), "key").groupBy("key").agg(F.approx_count_distinct("value", 0.05).alias("n"))
+        rare = contexts.join(many, "key", "left").where(F.col("support") >= (LEAST_PRECISION - FORM) * 0.7 * F.coalesce("n", F.lit(0)))
+        rare = cut_lineage(rare.select("key", "support", "kind"))
+        edges = cut_lineage(occurrences(rows, rare.select("key"), "key").select("key", "value").distinct())
+        both = support.select("key", "value", "trust").join(rare, "key", "left_semi").unionByName(edges.withColumn("trust", F.lit(0.0)))
+        precise = both.groupBy("key", "value").agg(F.max("trust").alias("trust")).groupBy("key").agg(F.avg("trust").alias("precision"))
+        accepted = cut_lineage(rare.join(precise.where(F.col("precision") >= LEAST_PRECISION - FORM), "key").select("key", "precision", "kind"))
+        if turn + 1 == ROUNDS:
+            break
+        induced = scored(edges, accepted).groupBy("value").agg(F.max("score").alias("trust"), F.max_by("kind", "score").alias("kind"))
+        induced = cut_lineage(induced.withColumn("name", F.xxhash64("value")))
+        if (induced.join(known, "name", "left_anti") if known else induced).isEmpty():
+            break
+        known = induced.select("name")
+        seen = occurrences(rows, known, "name").select("key", "name", "value").distinct().join(induced.select("name", "trust", "kind"), "name")
+        support = support.where("trust = 1.0 AND key IS NOT NULL").unionByName(seen.select("key", "value", "kind", "trust"))
+        support = cut_lineage(support.groupBy("key", "value").agg(F.max("kind").alias("kind"), F.max("trust").alias("trust")))
     return accepted
 
 
@@ -146,10 +228,27 @@ def listed(name: str, spans: Column) -> Column:
 
 
 def found_in_context(rows: DataFrame) -> DataFrame:
-    """doc_id, text_key and ``context``: the spans the patterns add, in order."""
-    mentions = mentions_of(rows)
-    new = mentions.where("NOT seed").join(accepted_patterns(mentions), "pattern")
-    return new.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
+    """doc_id, text_key and ``context``: the spans the contexts add, in order; of spans that
+    overlap the longest from the first on."""
+    accepted = accepted_contexts(rows)
+    if accepted.isEmpty():
+        return rows.select("doc_id", "text_key", F.array().cast("array<struct<start:int,end:int>>").alias("context")).where("false")
+    new = scored(occurrences(rows, accepted.select("key"), "key"), accepted)
+    new = cut_lineage(new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "words")).alias("found")).withColumnsRenamed({"doc_id": "other_id", "text_key": "other_key"}))
+    texts = rows.join(new, rows.doc_id.eqNullSafe(new.other_id) & (rows.text_key == new.other_key)).dropDuplicates(["doc_id", "text_key"])
+    texts = texts.withColumn("tokens", located(F.col("masked"), r"\S+", r"\S"))
+
+    def span(x: Column) -> Column:
+        first, last = F.get("tokens", x["at"] - 2), F.get("tokens", x["at"] + x["words"] - 3)
+        start = first["start"] + F.length(F.regexp_extract(first["hit"], r"^[^\p{L}\p{N}+]*", 0))
+        return F.struct(start.alias("start"), (last["end"] - F.length(F.regexp_extract(last["hit"], r"[^\p{L}\p{N}]*$", 0))).alias("end"))
+
+    def longest(out: Column, x: Column) -> Column:
+        return F.when(x["start"] >= F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)), F.concat(out, F.array(x))).otherwise(out)
+
+    by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
+    spans = F.array_sort(F.filter(F.transform("found", span), lambda x: x["end"] > x["start"]), by_start)
+    return texts.select("doc_id", "text_key", F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), longest).alias("context"))
 
 
 def stored_spans(docs: DataFrame) -> DataFrame:

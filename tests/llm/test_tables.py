@@ -62,6 +62,23 @@ def test_contexts_find_new_identifiers_and_masking(spark):
     assert found[50] == "context:20:30"
 
 
+def test_contexts_find_unseen_forms(spark):
+    rng = random.Random(9)
+    word = lambda: "w" + rng.choice("abcdefgh") * rng.randint(1, 9) + rng.choice("xyz")
+    rows = [(i, f"{word()} it then contact mail: user{i}@site{i}.org today {word()}") for i in range(20)]
+    rows += [(20 + i, f"{word()} please call us: +1 (132) 555-13{i:02} soon {word()}") for i in range(20)]
+    planted = {100: ("they said contact mail: ", "someone7@intranet", " today"), 101: ("so contact mail: ", "bobsmith", " today")}
+    planted |= {102: ("now call us: ", "0132 555 1399", " soon"), 103: ("now call us: ", "1234 5678 9012 3456", ", soon"), 104: ("or contact mail: ", "mary ann at home", " today")}
+    rows += [(i, "".join(x)) for i, x in planted.items()] + [(105, "clean text of 1999 words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    for i, (before, hit, _) in planted.items():
+        assert f"context:{len(before)}:{len(before) + len(hit)}" in found[i].split(","), i
+    assert len(found) == len(rows) and all("context" not in found[i] for i in [*range(40), 105])
+    masked = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert masked[100] == "they said contact mail: [ID] today" and masked[102] == "now call us: [ID] soon"
+
+
 def brute_classes(rows):
     owner = {i: i for i, _ in rows}
 
