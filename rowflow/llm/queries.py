@@ -189,3 +189,52 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from rowflow.llm.pii import personal_data
 
     return personal_data(table(spark, folder, "documents"))
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Whole numbers below 2**53 are exact as doubles, so distances and quotients are too."""
+    parts = [
+        """
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = 64
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        f"""
+        c0 AS MATERIALIZED (
+            SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), e) - 1 AS k, e FROM v) WHERE k < {k}
+        )""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT v.rid, min({{'d': list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e), 'k': c.k}}) AS best
+            FROM v CROSS JOIN c{r} c GROUP BY v.rid
+        )""")
+        if r < rounds:
+            parts.append(f"""
+        c{r + 1} AS MATERIALIZED (
+            SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (
+                SELECT k, list(floor(s / n) ORDER BY i) AS e FROM (
+                    SELECT k, i, sum(x) AS s, count(*) AS n FROM (
+                        SELECT a.best.k AS k, unnest(v.e) AS x, generate_subscripts(v.e, 1) AS i FROM v JOIN a{r} a USING (rid)
+                    ) GROUP BY k, i
+                ) GROUP BY k
+            ) m ON m.k = c.k
+        )""")
+    return f"""
+        WITH {",".join(parts)}
+        SELECT v.vec_id, CAST(a.best.k AS INTEGER) AS cluster, CAST(a.best.d AS BIGINT) AS distance,
+               CAST(sum(a.best.d) OVER (PARTITION BY a.best.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} a USING (rid) JOIN c{rounds} c ON c.k = a.best.k
+    """
+
+
+@query("op12_subvector_clusters", _clusters_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm import clusters
+
+    return clusters.cluster(table(spark, folder, "embeddings"))
