@@ -238,3 +238,25 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from rowflow.llm import clusters
 
     return clusters.cluster(table(spark, folder, "embeddings"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm import alignment
+
+    one, two = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+
+    def encode_one(texts):
+        from rowflow.llm.bytelevel import ids_of_texts
+
+        return ids_of_texts(texts, one)
+
+    def encode_two(texts):
+        from rowflow.llm.pieces import ids_of_texts
+
+        return (ids[1:-1] for ids in ids_of_texts((x[1:] for x in texts), two))
+
+    def vocabularies():
+        return alignment.byte_level_vocabulary(one), alignment.piece_vocabulary(two)
+
+    return alignment.align(table(spark, folder, "documents"), encode_one, encode_two, vocabularies)
