@@ -260,3 +260,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         return alignment.byte_level_vocabulary(one), alignment.piece_vocabulary(two)
 
     return alignment.align(table(spark, folder, "documents"), encode_one, encode_two, vocabularies)
+
+
+@query("op13_repeated_bytes")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm import repeats
+
+    return repeats.remove_repeats(table(spark, folder, "documents"))

@@ -317,7 +317,7 @@ def test_queries_and_pipeline(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
     name = "op10_block_topk"
     assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == sorted(con.execute(ORACLES[name]).fetchall())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = corpus_pipeline.drop_toxic(spark, docs, folder)
     assert kept.columns == docs.columns
