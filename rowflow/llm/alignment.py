@@ -228,8 +228,9 @@ def chunk_rows(aligned: list[tuple[list, Aligned]], chunk: int) -> pd.DataFrame:
             span = slice(cuts[i], cuts[i + 1])
             rows.append((chunk, doc_id, int(x.n_a[i]), int(x.n_b[i]), int(x.n_groups[i]), int(x.n_links[i]), x.digest[i], own[span].tobytes(), x.times[span].astype("<i8").tobytes(), None, None))
     rows.append((chunk, None, None, None, None, None, None, None, None, known.tolist(), np.bincount(code, minlength=len(known)).tolist()))
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")])
-    return frame.astype({c: "Int64" for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")})
+    names = [c.split()[0] for c in ALIGNED.split(", ")]
+    whole = {"doc_id", "n_a", "n_b", "n_groups", "n_links"}  # with nulls, and all digits kept
+    return pd.DataFrame({c: pd.array(v, dtype="Int64") if c in whole else pd.Series(v, dtype=object) for c, v in zip(names, zip(*rows))})
 
 
 def align(docs: DataFrame, encode_a: Callable, encode_b: Callable, vocabularies: Callable[[], tuple[Vocabulary, Vocabulary]], chunk_links: int = CHUNK_LINKS) -> DataFrame:

@@ -240,11 +240,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.cluster(table(spark, folder, "embeddings"))
 
 
-@query("op11_token_alignment")
-def op11(spark: SparkSession, folder: str) -> DataFrame:
-    from rowflow.llm import alignment
-
-    one, two = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+def byte_level_and_pieces(one: str, two: str):
+    """Encoders of texts with a leading space by a byte-level file and by a piece model that adds
+    that space itself, and the bytes of their ids."""
 
     def encode_one(texts):
         from rowflow.llm.bytelevel import ids_of_texts
@@ -257,9 +255,19 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         return (ids[1:-1] for ids in ids_of_texts((x[1:] for x in texts), two))
 
     def vocabularies():
+        from rowflow.llm import alignment
+
         return alignment.byte_level_vocabulary(one), alignment.piece_vocabulary(two)
 
-    return alignment.align(table(spark, folder, "documents"), encode_one, encode_two, vocabularies)
+    return encode_one, encode_two, vocabularies
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from rowflow.llm import alignment
+
+    sides = byte_level_and_pieces(tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    return alignment.align(table(spark, folder, "documents"), *sides)
 
 
 @query("op13_repeated_bytes")

@@ -331,7 +331,8 @@ def put_together(row) -> pd.DataFrame:
         spans = int((own[1:] & ~own[:-1]).sum() + own[:1].sum())
         kept = data[end - size : end][~own] if spans else data[end - size : end]
         out.append((int(doc_id) if known else None, int(size), int(own.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    return pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "doc_id" else v for c, v in zip(names, map(list, zip(*out)))})
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
