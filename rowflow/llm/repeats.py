@@ -11,8 +11,9 @@ can be left out. The steps are:
 
 1. ``packed``: documents are written in chunks of about CHUNK bytes, one compressed row each.
 2. ``shared_keys``: every chunk names its keys once; keys that come twice go back to their chunks.
-3. ``segments``: the chunks cut out the segments of those keys. Copies within a chunk are removed
-   there, and their first one goes on. A key with more than HOT different segments (or with a very
+3. ``cut_out``: the chunks cut out the segments of those keys. Copies within a chunk are removed
+   there, and their first one goes on; its bytes go along only if the key has different segments
+   or may repeat within one (there is nothing to compare otherwise). A key with more than HOT different segments (or with a very
    long one) is split: its windows go on one by one, under the hash of the window.
 4. ``repeated``: tasks hold buckets of whole keys. The different segments of a part of a bucket are
    strung together, and on the transform of that text intervals are extended backwards, breadth
@@ -21,7 +22,8 @@ can be left out. The steps are:
 5. The removed ranges go back to the chunks, which put together what is left.
 
 A segment comes once per chunk at most, so the most frequent one has as many rows as chunks.
-Within a chunk, copies are told by 64-bit hashes of their bytes; in step 4 bytes decide.
+Copies of whole segments are told by key and a 64-bit hash of their bytes; between different
+segments bytes decide. Each step is written before the next one, so a lost executor repeats one.
 
 Null texts are empty. Rows without an id come before all others; rows that share an id come in
 the order of the 64-bit hashes of their texts, equal rows in any order (one of them stays whole).
@@ -41,10 +43,13 @@ from pyspark.sql import functions as F
 from rowflow.llm.ragged import segment_hashes
 from rowflow.session import scratch_path, spread
 
-LEAST, GRAM, CHUNK, PIECE, HOT, LONG, BUCKET, PART = 100, 32, 1 << 21, 1 << 20, 1024, 1 << 12, 1 << 23, 1 << 21
+LEAST, GRAM, CHUNK, PIECE, HOT, LONG, BUCKET, PART = 100, 32, 1 << 21, 1 << 20, 1 << 13, 1 << 12, 1 << 22, 1 << 21
+SAME, MIXED, SPLIT = range(3)
 APART = 0xFF  # no byte of UTF-8, and larger than all of them
+#: Spark's setting to delete the shuffle files of a query at its end.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PACKED = "chunk long, ids array<long>, known array<boolean>, ties array<long>, sizes array<long>, data binary"
-SEGMENT = "bucket long, key long, bytes binary, chunk long, known boolean, doc_id long, tie long, place long"
+SEGMENT = "bucket long, key long, bytes binary, size long, chunk long, known boolean, doc_id long, tie long, place long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -59,22 +64,32 @@ def joined_ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def order_of_suffixes(text: np.ndarray, least: int) -> np.ndarray:
-    """The suffixes by their first ``least`` bytes at least: prefixes of eight bytes, doubled."""
+    """The suffixes by their first ``least`` bytes at least: prefixes of
+    eight bytes, doubled for those that are still alike."""
     n = len(text)
     padded, key = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64), np.zeros(n, dtype=np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1], [True]])  # where a group of equal prefixes starts
+    rank = np.empty(n, dtype=np.int64)  # the row at which the group of a suffix starts
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(n), 0))
     span = 8
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
-        if span >= least or rank[order[-1]] == n:
-            return order
-        key = rank * (n + 1)
-        key[: n - span] += rank[span:]
+    while span < least:
+        rows = np.flatnonzero(~(new[:-1] & new[1:]))  # of groups of several
+        if not len(rows):
+            break
+        at = order[rows]
+        key = rank[at] * (n + 1) + np.where(at + span < n, rank[np.minimum(at + span, n - 1)] + 1, 0)
+        by_key = np.argsort(key)
+        key, at = key[by_key], at[by_key]
+        order[rows] = at
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        new[rows] = fresh
+        rank[at] = np.maximum.accumulate(np.where(fresh, rows, 0))
         span *= 2
+    return order
 
 
 def repeated(text: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -155,7 +170,7 @@ def packed(docs: DataFrame, chunk: int) -> DataFrame:
     def run(frames):
         import zstandard
 
-        pack, serial = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        pack, serial = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
         held, size = [], 0
 
         def closed() -> pd.DataFrame:
@@ -181,6 +196,18 @@ def packed(docs: DataFrame, chunk: int) -> DataFrame:
     return docs.sparkSession.read.schema(PACKED).parquet(path)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table; what was shuffled to make it is deleted as soon as it stands."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a chunk and where each document ends."""
     import zstandard
@@ -191,7 +218,8 @@ def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_keys(chunks: DataFrame, least: int, hot: int) -> DataFrame:
-    """chunk and keys (array of key, hot) of the keys that occur twice in the corpus."""
+    """chunk and keys (array of key, kind) of the keys that occur twice in the corpus. ``kind`` is
+    SAME if all their segments are copies of one, SPLIT if there are more than ``hot``, else MIXED."""
 
     def run(frames):
         for frame in frames:
@@ -206,26 +234,29 @@ def shared_keys(chunks: DataFrame, least: int, hot: int) -> DataFrame:
                 fresh = np.concatenate([[True], (content[1:] != content[:-1]) | (key[1:] != key[:-1])])
                 number = np.diff(np.append(new, len(key)))
                 contents = np.add.reduceat(fresh.astype(np.int64), new) + np.where(np.maximum.reduceat(long, new), hot + 1, 0)
-                yield pd.DataFrame({"key": key[new], "chunk": row.chunk, "contents": contents, "twice": (number > 1) | np.maximum.reduceat(again, new)})
+                yield pd.DataFrame({"key": key[new], "chunk": row.chunk, "content": content[new], "contents": contents, "several": number > 1, "again": np.maximum.reduceat(again, new)})
 
-    rows = chunks.select("chunk", "sizes", "data").mapInPandas(run, "key long, chunk long, contents long, twice boolean")
+    rows = chunks.select("chunk", "sizes", "data").mapInPandas(run, "key long, chunk long, content long, contents long, several boolean, again boolean")
     same = Window.partitionBy("key")  # at most one row per chunk
-    rows = rows.select("key", "chunk", (F.sum("contents").over(same) > hot).alias("hot"), (F.max("twice").over(same) | (F.count(F.lit(1)).over(same) > 1)).alias("shared"))
-    return rows.where("shared").groupBy("chunk").agg(F.collect_list(F.struct("key", "hot")).alias("keys"))
+    mixed = F.max("again").over(same) | (F.max("contents").over(same) > 1) | (F.min("content").over(same) != F.max("content").over(same))
+    shared = F.max(F.col("several") | F.col("again")).over(same) | (F.count(F.lit(1)).over(same) > 1)
+    kind = F.when(~mixed, SAME).when(F.sum("contents").over(same) > hot, SPLIT).otherwise(MIXED)
+    rows = rows.select("key", "chunk", kind.cast("byte").alias("kind"), shared.alias("shared"))
+    return rows.where("shared").groupBy("chunk").agg(F.collect_list(F.struct("key", "kind")).alias("keys"))
 
 
 def cut_out(row, least: int, buckets: int) -> pd.DataFrame:
-    """The first copies of the segments of shared keys in a chunk; the ranges of all other copies
-    in a row without a key."""
+    """The first copies of the segments of shared keys in a chunk, with their bytes unless the key
+    has no other segment; the ranges of all other copies in a row without a key."""
     data, ends = unpacked(row)
     keys = np.array([k["key"] for k in row.keys], dtype=np.int64)
     order = np.argsort(keys)
-    keys, hot = keys[order], np.array([k["hot"] for k in row.keys], dtype=bool)[order]
-    group, start, size, content = [], [], [], []
+    keys, kinds = keys[order], np.array([k["kind"] for k in row.keys], dtype=np.int64)[order]
+    group, start, size, content, alike = [], [], [], [], []
     for at, first, last, key, whole, _ in segments(data, ends, least):
         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         shared = keys[place] == key
-        split, kept = shared & hot[place], shared & ~hot[place]
+        split, kept = shared & (kinds[place] == SPLIT), shared & (kinds[place] != SPLIT)
         runs = (last - first + 1)[split]
         single = np.repeat(first[split] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
         part = data[at : at + PIECE + least - 1]
@@ -234,7 +265,8 @@ def cut_out(row, least: int, buckets: int) -> pd.DataFrame:
         start += [at + first[kept], at + single]
         size += [(last - first + least)[kept], np.full(len(single), least)]
         content += [whole[kept], hashes]
-    group, start, size, content = (np.concatenate(x) for x in (group, start, size, content))
+        alike += [kinds[place[kept]] == SAME, np.zeros(len(single), dtype=bool)]
+    group, start, size, content, alike = (np.concatenate(x) for x in (group, start, size, content, alike))
     order = np.lexsort((start, size, content))
     new = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])]) if len(order) else np.zeros(0, dtype=bool)
     first, other = order[new], order[~new]
@@ -244,7 +276,8 @@ def cut_out(row, least: int, buckets: int) -> pd.DataFrame:
     out = {
         "bucket": np.append((group[first].view(np.uint64) % np.uint64(buckets)).astype(np.int64), row.chunk % buckets),
         "key": pd.array([*group[first].tolist(), None], dtype="Int64"),
-        "bytes": [*(raw[a : a + n] for a, n in zip(start[first].tolist(), size[first].tolist())), np.stack([low, high]).astype("<i8").tobytes()],
+        "bytes": [*(None if same else raw[a : a + n] for same, a, n in zip(alike[first].tolist(), start[first].tolist(), size[first].tolist())), np.stack([low, high]).astype("<i8").tobytes()],
+        "size": np.append(size[first], 0),
         "chunk": row.chunk,
         "known": np.append(np.asarray(row.known, dtype=bool)[doc], False),
         "doc_id": np.append(np.asarray(row.ids, dtype=np.int64)[doc], 0),
@@ -269,10 +302,10 @@ def later_windows(texts: list[bytes], order: np.ndarray, place: np.ndarray, leas
     turn = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
     own = classes[offset[which][owner] + turn]
     when = (order[owner] << 32) + place[owner] + turn
-    by_class = np.lexsort((when, own))
-    new = np.concatenate([[True], own[by_class][1:] != own[by_class][:-1]])
-    later = np.ones(len(owner), dtype=bool)
-    later[by_class[new]] = False
+    twice = np.flatnonzero(np.bincount(own)[own] > 1)
+    by_class = twice[np.lexsort((when[twice], own[twice]))]
+    later = np.zeros(len(owner), dtype=bool)
+    later[by_class[1:]] = own[by_class[1:]] == own[by_class[:-1]]
     edge = np.concatenate([[True], (later[1:] != later[:-1]) | (owner[1:] != owner[:-1]), [True]])
     low, high = np.flatnonzero(edge[:-1] & later), np.flatnonzero(edge[1:] & later)
     return owner[low], turn[low], turn[high] + least
@@ -294,15 +327,23 @@ def bucket_ranges(frame: pd.DataFrame, least: int, part: int = PART) -> pd.DataF
         new = np.concatenate([[0], np.any([c[by_doc][1:] != c[by_doc][:-1] for c in columns], axis=0)])
         order = np.empty(len(rows), dtype=np.int64)
         order[by_doc] = np.cumsum(new)
-        keys, texts = rows["key"].to_numpy(dtype=np.int64), rows["bytes"].tolist()
-        chunk, place = rows["chunk"].to_numpy(), rows["place"].to_numpy()
-        size = np.cumsum([len(x) for x in texts])
-        new_key = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)).tolist()
+        keys, texts = rows["key"].to_numpy(dtype=np.int64), rows["bytes"].to_numpy(dtype=object)
+        chunk, place, wide = rows["chunk"].to_numpy(), rows["place"].to_numpy(), rows["size"].to_numpy()
+        alike = np.flatnonzero(rows["bytes"].isna().to_numpy())  # copies of one segment per key: the first stays
+        alike = alike[np.lexsort((place[alike], order[alike], keys[alike]))]
+        later = alike[1:][keys[alike][1:] == keys[alike][:-1]]
+        chunks.append(chunk[later])
+        lows.append(place[later])
+        highs.append(place[later] + wide[later])
+        mixed = np.flatnonzero(rows["bytes"].notna().to_numpy())
+        keys, texts, chunk, place, order, wide = (x[mixed] for x in (keys, texts, chunk, place, order, wide))
+        size = np.cumsum(wide)
+        new_key = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]), len(keys)).tolist()
         at = 0
         for stop in new_key[1:]:  # parts of whole keys, with about ``part`` bytes
             if stop < len(keys) and size[stop - 1] - (size[at - 1] if at else 0) < part:
                 continue
-            owner, low, high = later_windows(texts[at:stop], order[at:stop], place[at:stop], least)
+            owner, low, high = later_windows(texts[at:stop].tolist(), order[at:stop], place[at:stop], least)
             chunks.append(chunk[at + owner])
             lows.append(place[at + owner] + low)
             highs.append(place[at + owner] + high)
@@ -340,7 +381,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, hot:
     chunks = packed(docs, chunk)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(total // bucket) + 1
-    shared = shared_keys(chunks, least, hot)
+    shared = written(shared_keys(chunks, least, hot), "repeat-keys")
 
     def per_row(fn):
         def run(frames):
@@ -352,5 +393,5 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, hot:
 
     cut = chunks.join(shared, "chunk").mapInPandas(per_row(lambda row: cut_out(row, least, buckets)), SEGMENT)
     ranges = cut.groupBy("bucket").applyInPandas(lambda frame: bucket_ranges(frame, least), "chunk long, ranges binary")
-    ranges = ranges.groupBy("chunk").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = written(ranges.groupBy("chunk").agg(F.collect_list("ranges").alias("ranges")), "repeat-ranges")
     return chunks.join(ranges, "chunk", "left").mapInPandas(per_row(put_together), RESULT)
