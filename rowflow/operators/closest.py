@@ -1,13 +1,21 @@
 """Closest name by edit distance, exact at any size.
 
-A small catalog is compared as an array inside the row of each key. Beyond that, keys with a
-name within one or two edits find it by equality: two strings within d edits have a common
-string left when at most d characters are deleted from each. What is left is compared with the
-whole catalog in array chunks, one row per (key, chunk); no pair of names becomes a row.
+A small catalog is compared as an array inside the row of each key. Beyond that the distance is
+raised step by step, and keys that found a name leave:
+
+* Within one or two edits names are found by equality: two strings within d edits have a common
+  string left when at most d characters are deleted from each.
+* Within d edits a name cut into d + 1 pieces has a piece that stands unchanged in the key, moved
+  by no more than the edits on both sides of it allow. Keys look up the pieces at those places,
+  for each length a name may have, and are compared with the names behind the pieces they hit.
+
+The names behind a piece lie in arrays of a bounded size, one row per (key, array) that shares a
+piece; no pair of names becomes a row, and names without a common piece never meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,18 +33,68 @@ def _best(names: Column, key: Column) -> Column:
     )
 
 
-def _by_chunks(keys: DataFrame, names: DataFrame, chunks: int) -> DataFrame:
-    part = F.pmod(F.xxhash64("name"), F.lit(chunks))
-    packed = names.groupBy(part.alias("__part")).agg(F.collect_list("name").alias("__names"))
-    if chunks == 1:  # at most CHUNK names, as the caller has counted
-        packed = F.broadcast(packed)
-    each = keys.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
-    return (
-        each.join(packed, "__part")
-        .groupBy("key")
-        .agg(F.min(_best(F.col("__names"), F.col("key"))).alias("b"))
-        .select("key", "b.distance", "b.name")
+def _by_array(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """All names in one array, beside every key; the caller has counted them."""
+    packed = F.broadcast(names.agg(F.collect_list("name").alias("__names")))
+    best = keys.join(packed).select("key", _best(F.col("__names"), F.col("key")).alias("b"))
+    return best.filter("b IS NOT NULL").select("key", "b.distance", "b.name")
+
+
+def _pieces_of_name(name: Column, edits: int) -> Column:
+    """(length, number, piece) of a name's edits + 1 pieces; of a shorter name one empty piece."""
+    length, parts = F.length(name), edits + 1
+    base, short = F.floor(length / parts).cast("int"), F.lit(parts) - F.pmod(length, F.lit(parts))
+
+    def piece(i: Column) -> Column:
+        text = F.substring(name, _piece_start(i, base, short) + 1, base + (i >= short).cast("int"))
+        return F.struct(length.alias("length"), i.alias("number"), text.alias("piece"))
+
+    whole = F.array(F.struct(length.alias("length"), F.lit(0).alias("number"), F.lit("").alias("piece")))
+    return F.when(length < parts, whole).otherwise(F.transform(F.sequence(F.lit(0), F.lit(edits)), piece))
+
+
+def _piece_start(i: Column, base: Column, short: Column) -> Column:
+    """The first ``short`` pieces have ``base`` characters, the others one more."""
+    return i * base + F.greatest(i - short, F.lit(0))
+
+
+def _pieces_of_key(key: Column, edits: int) -> Column:
+    """(length, number, piece) that names within ``edits`` may share with the key. A piece moved by
+    s, in a name shorter by g, needs |s| edits before it and |g - s| behind it."""
+    size, parts = F.length(key), edits + 1
+
+    def of_length(length: Column) -> Column:
+        base, short = F.floor(length / parts).cast("int"), F.lit(parts) - F.pmod(length, F.lit(parts))
+        gap = size - length
+
+        def of_number(i: Column) -> Column:
+            start, wide = _piece_start(i, base, short), base + (i >= short).cast("int")
+            moves = F.filter(
+                F.sequence(F.lit(-edits), F.lit(edits)),
+                lambda s: (F.abs(s) + F.abs(gap - s) <= edits) & (start + s >= 0) & (start + s + wide <= size),
+            )
+            return F.transform(moves, lambda s: F.struct(length.alias("length"), i.alias("number"), F.substring(key, start + s + 1, wide).alias("piece")))
+
+        empty = F.array(F.struct(length.alias("length"), F.lit(0).alias("number"), F.lit("").alias("piece")))
+        return F.when(length < parts, empty).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), of_number)))
+
+    lengths = F.sequence(F.greatest(size - edits, F.lit(0)), size + edits)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
+def _by_pieces(keys: DataFrame, names: DataFrame, edits: int, arrays: int) -> DataFrame:
+    """The nearest name within ``edits`` of the keys that have one."""
+    place = ["length", "number", "piece"]
+    index = names.select("name", F.explode(_pieces_of_name(F.col("name"), edits)).alias("p")).select("name", "p.*")
+    salt = F.pmod(F.xxhash64("name"), F.lit(arrays)).alias("__salt")  # a piece that many names share lies in several arrays
+    index = index.groupBy(*place, salt).agg(F.collect_list("name").alias("__names"))
+    asked = keys.select("key", F.explode(_pieces_of_key(F.col("key"), edits)).alias("p")).select("key", "p.*")
+    near = F.filter(
+        F.transform("__names", lambda n: F.struct(F.levenshtein(n, F.col("key"), edits).alias("distance"), n.alias("name"))),
+        lambda x: x["distance"] >= 0,
     )
+    found = asked.join(index, place).select("key", F.array_min(near).alias("b")).filter("b IS NOT NULL")
+    return found.groupBy("key").agg(F.min("b").alias("b")).select("key", "b.distance", "b.name")
 
 
 def _deletions(text: Column, edits: int) -> Column:
@@ -73,19 +131,23 @@ def _within(keys: DataFrame, names: DataFrame, edits: int) -> DataFrame:
 
 
 def nearest(keys: DataFrame, names: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``keys(key)``, ``names(name)`` -> ``(key, distance, name)``; ties go to the smallest name."""
-    keys, names = keys.distinct(), names.distinct()
-    size = names.count()
+    """``keys(key)``, ``names(name)`` -> ``(key, distance, name)``; ties go to the smallest name. Null
+    keys and names take no part."""
+    keys, names = keys.dropna().distinct(), names.dropna().distinct()
+    size, longest = names.agg(F.count(F.lit(1)), F.max(F.length("name"))).first()
     if size <= chunk:
-        return _by_chunks(keys, names, 1)
+        return _by_array(keys, names)
     keys, names = cut_lineage(keys), cut_lineage(names)
-    done = []
-    for edits in (1, 2):
-        hit = cut_lineage(_within(keys, names, edits))
-        done.append(hit)
-        keys = cut_lineage(keys.join(hit, "key", "left_anti"))
-    rest = _by_chunks(keys, names, ceil(size / chunk))
-    return done[0].unionAll(done[1]).unionAll(rest)
+    done, edits, arrays = [], 1, ceil(size / chunk)
+    longest = max(longest, keys.agg(F.max(F.length("key"))).first()[0] or 0)
+    while not keys.isEmpty():
+        hit = _within(keys, names, edits) if edits <= 2 else _by_pieces(keys, names, edits, arrays)
+        done.append(cut_lineage(hit))
+        keys = cut_lineage(keys.join(done[-1], "key", "left_anti"))
+        if edits >= longest:
+            break
+        edits = edits + 1 if edits < 4 else min(2 * edits, longest)
+    return reduce(DataFrame.unionAll, done) if done else keys.select("key", F.lit(0).alias("distance"), F.col("key").alias("name"))
 
 
 def containing(cores: DataFrame, texts: DataFrame) -> DataFrame:

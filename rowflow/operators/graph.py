@@ -2,57 +2,93 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from rowflow.session import cut_lineage
+from rowflow.session import cut_lineage, scratch_path, task_count
 
-MERGE_EVERY = 8
+
+class Stored:
+    """Tables of one traversal, bucketed by node and dropped at its end (their files stay in the
+    shared folder). Joins on the node find them in place: nothing of them is shuffled."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.buckets, self.names = spark, task_count(spark), []
+
+    def write(self, rows: DataFrame, by: str) -> DataFrame:
+        name, path = self._new("graph")
+        rows.repartition(self.buckets, by).write.bucketBy(self.buckets, by).option("path", path).format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
+    def _new(self, kind: str) -> tuple[str, str]:
+        self.names.append(f"rowflow_{uuid.uuid4().hex}")
+        return self.names[-1], scratch_path(self.spark, kind)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def visit(self, links: DataFrame, seeds: DataFrame, here: str, there: str) -> tuple[str, str]:
+        """The table and the path of ``(name, level)``: the seeds and what they lead to.
+
+        One round per level: the links of the frontier, minus the nodes seen before. Links and
+        visited nodes lie in buckets, so only the reached names are shuffled; a round is one
+        written partition, which a lost executor repeats. Ends on cyclic graphs: the frontier
+        runs dry."""
+        table, path = self._new("visited")
+        rows, level = seeds.select("name").distinct(), 0
+        while True:
+            seen = Observation()
+            counted = rows.withColumn("level", F.lit(level)).observe(seen, F.count(F.lit(1)).alias("n"))
+            writer = counted.write.mode("append").partitionBy("level").bucketBy(self.buckets, "name").format("parquet")
+            writer.option("path", path).saveAsTable(table)
+            if not seen.get["n"]:
+                return table, path
+            visited = self.spark.table(table)
+            frontier = visited.filter(F.col("level") == level).select("name")
+            reached = links.join(frontier, F.col(here) == frontier["name"], "left_semi").select(F.col(there).alias("name")).distinct()
+            rows, level = reached.join(visited.select("name"), "name", "left_anti"), level + 1
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, down: bool = True) -> DataFrame:
     """``(name)``: the seeds and everything reached from them along (``down``) or against the
-    edges. ``edges`` must be materialised and distinct.
-
-    One round per level: the edges that touch the frontier (a semi join, which AQE turns into
-    a broadcast of the frontier while that is small and otherwise splits where one node has
-    many edges), minus what was seen before. Each round is checkpointed, so the plan does not
-    grow and a lost executor costs one round. Ends on cyclic graphs: the frontier runs dry.
-    """
+    edges."""
     here, there = ("src", "dst") if down else ("dst", "src")
-    frontier = cut_lineage(seeds.select("name").distinct())
-    seen = [frontier]
-    while True:
-        touched = edges.join(frontier, F.col(here) == frontier["name"], "left_semi")
-        reached = touched.select(F.col(there).alias("name")).distinct()
-        visited = reduce(DataFrame.unionAll, seen)
-        frontier = cut_lineage(reached.join(visited, "name", "left_anti"))
-        if frontier.isEmpty():
-            return visited
-        seen.append(frontier)
-        if len(seen) >= MERGE_EVERY:
-            seen = [cut_lineage(reduce(DataFrame.unionAll, seen))]
+    store = Stored(edges.sparkSession)
+    try:
+        links = store.write(edges.select("src", "dst").distinct(), here)
+        return _names(store, store.visit(links, seeds, here, there)[1], seeds)
+    finally:
+        store.drop()
+
+
+def _names(store: Stored, path: str, seeds: DataFrame) -> DataFrame:
+    kind = seeds.schema["name"].dataType.simpleString()
+    return store.spark.read.schema(f"name {kind}, level int").parquet(path).select("name")
 
 
 def trace(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> tuple[DataFrame, DataFrame]:
     """Everything up- and downstream of the seeds: ``(nodes(name), edges(src, dst))``. Seeds that
     are not in the graph are ignored."""
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    ends = links.select(F.explode(F.array("src", "dst")).alias("name"))
-    known = seeds.select("name").join(ends, "name", "left_semi")
+    store = Stored(edges.sparkSession)
+    ways = {"down": [("src", "dst")], "up": [("dst", "src")]}.get(direction, [("src", "dst"), ("dst", "src")])
     nodes, walked = [], []
-    if direction in ("down", "both"):
-        below = reachable(links, known, down=True)
-        nodes.append(below)
-        walked.append(links.join(below, links["src"] == below["name"], "left_semi"))
-    if direction in ("up", "both"):
-        above = reachable(links, known, down=False)
-        nodes.append(above)
-        walked.append(links.join(above, links["dst"] == above["name"], "left_semi"))
-    both = len(nodes) > 1
-    all_nodes, all_edges = reduce(DataFrame.unionAll, nodes), reduce(DataFrame.unionAll, walked)
-    return (all_nodes.distinct(), all_edges.distinct()) if both else (all_nodes, all_edges)
+    try:
+        links = {here: store.write(edges.select("src", "dst").distinct(), here) for here, _ in ways}
+        one = links[ways[0][0]]
+        ends = one.select(F.col("src").alias("name")).unionAll(one.select(F.col("dst").alias("name")))
+        known = ends.join(seeds.select("name"), "name", "left_semi")
+        for here, there in ways:
+            table, path = store.visit(links[here], known, here, there)
+            seen = store.spark.table(table).select("name")
+            walked.append(cut_lineage(links[here].join(seen, F.col(here) == seen["name"], "left_semi")))
+            nodes.append(_names(store, path, seeds))
+    finally:
+        store.drop()
+    if len(ways) == 1:
+        return nodes[0], walked[0]
+    return nodes[0].unionAll(nodes[1]).distinct(), walked[0].unionAll(walked[1]).distinct()
 
 
 def contract(edges: DataFrame, keep: str = "SCRIPT", root: str = "EVENT") -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import format_date
 from rowflow.operators.ordered import by_position, max_before, scan
-from rowflow.session import cut_lineage
+from rowflow.session import cut_lineage, partitioned
 
 EXTERNAL = r"@@.*?@@"
 MASTER = r"\$\(.*?\)"
@@ -17,6 +17,9 @@ REFERENCE = r"@@\w+@@|@\w+"
 # Fixed value: how often a value is searched for further references.
 REFERENCE_PASSES = 5
 
+#: A script of at most so many lines is one row while its names are resolved.
+ROW_LINES = 500
+
 
 def external_key(token: Column) -> Column:
     return F.regexp_replace(token, "@@", "")
@@ -62,17 +65,22 @@ def substitute(
 
 def _put_values(text: str, pattern: str) -> Column:
     """``text`` with the tokens of ``__hits`` replaced, in one pass over its pieces."""
+    done = put_tokens(F.col(text), F.col("__hits"), pattern)
+    return F.when(F.col("__hits").isNull(), F.col(text)).otherwise(done)
+
+
+def put_tokens(text: Column, hits: Column, pattern: str) -> Column:
+    """``text`` with the tokens that are keys of the map ``hits`` replaced by their values."""
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("piece"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"),
     )
 
     def put(z: Column) -> Column:
-        value = F.coalesce(F.try_element_at("__hits", z["token"]), z["token"], F.lit(""))
+        value = F.coalesce(F.try_element_at(hits, z["token"]), z["token"], F.lit(""))
         return F.concat(z["piece"], value)
 
-    done = F.array_join(F.transform(pieces, put), "")
-    return F.when(F.col("__hits").isNull(), F.col(text)).otherwise(done)
+    return F.array_join(F.transform(pieces, put), "")
 
 
 def resolve_external(scripts: DataFrame, params: DataFrame) -> DataFrame:
@@ -91,24 +99,55 @@ def resolve_master(job: DataFrame, masters: DataFrame) -> DataFrame:
     return done.select("process", F.col("param").alias("key"), "master", plain.alias("value"))
 
 
-def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> DataFrame:
+def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES, row_lines: int = ROW_LINES) -> DataFrame:
     """``@name`` inside the values of ``params(script, key, value)``, by the values of the same
     script; one row per key, a repeated one with its last value (by ``pos`` if there is one).
     A bounded number of passes, so a value that names itself cannot run on. With ``pos`` a name
     means its latest earlier line, see :func:`resolve_definitions`; only names without one are
     then looked up among the last values.
 
-    Each pass is checkpointed and goes on with the values it changed; the others are final.
+    A script of at most ``row_lines`` keys is one row, whose values search each other in place.
+    Longer ones go through a join per pass, which goes on with the values it changed.
     """
     if "pos" in params.columns:
         known = F.when(F.col("value").isNotNull(), F.col("pos"))
-        params = resolve_definitions(params).groupBy("script", "key").agg(F.max_by("value", known).alias("value"))
-    last = cut_lineage(last_values(params, ["script", "key"]))
+        params = resolve_definitions(params, row_lines).groupBy("script", "key").agg(F.max_by("value", known).alias("value"))
+    else:
+        params = params.groupBy("script", "key").agg(F.max("value").alias("value"))
+    params, short, long = short_and_long(params, row_lines)
+    found = short(F.struct("key", "value"))
+    defs = F.map_from_entries(F.transform(F.filter("lines", lambda x: x["value"].isNotNull()), lambda x: F.struct(F.concat(F.lit("@"), x["key"]), x["value"])))
+
+    def followed(hits: Column, text: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), text, lambda t, _: F.when(t.contains("@"), put_tokens(t, hits, REFERENCE)).otherwise(t))
+
+    lines = found.withColumn("__defs", defs).select("script", "__defs", F.explode("lines").alias("line"))
+    done = lines.select("script", "line.key", followed(F.col("__defs"), F.col("line.value")).alias("value"))
+    return done if long is None else done.unionAll(_references_by_join(long, passes))
+
+
+def short_and_long(params: DataFrame, row_lines: int):
+    """``params``, a function that gathers the scripts of at most ``row_lines`` lines into one row
+    each (script, lines), and the lines of longer scripts (None if there are none)."""
+    params = cut_lineage(params)
+    count = params.groupBy("script").agg(F.count(F.lit(1)).alias("__n"))
+    many = cut_lineage(count.filter(F.col("__n") > row_lines).select("script"))
+    some = not many.isEmpty()
+    rest = params.join(many, "script", "left_anti") if some else params
+
+    def short(line: Column) -> DataFrame:
+        # A stated number of partitions, which is not merged by size: little text, much work.
+        return partitioned(rest, "script").groupBy("script").agg(F.collect_list(line).alias("lines"))
+
+    return params, short, params.join(many, "script", "left_semi") if some else None
+
+
+def _references_by_join(params: DataFrame, passes: int) -> DataFrame:
+    """Each pass is checkpointed and goes on with the values it changed; the others are final."""
+    last = cut_lineage(params.filter(F.col("value").isNotNull()))
     defs = last.select("script", F.concat(F.lit("@"), "key").alias("__token"), F.col("value").alias("__value"))
-    unset = params.select("script", "key").distinct().join(last, ["script", "key"], "left_anti")
-    open_ = last.unionByName(unset.withColumn("value", F.lit(None).cast("string"))).withColumnRenamed("value", "text")
-    final = open_.filter(F.col("text").isNull() | ~F.col("text").contains("@"))
-    open_ = open_.filter(F.col("text").contains("@"))
+    open_ = last.withColumnRenamed("value", "text").filter(F.col("text").contains("@"))
+    final = params.withColumnRenamed("value", "text").filter(F.col("text").isNull() | ~F.col("text").contains("@"))
     for _ in range(passes):
         tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)))
         used = open_.select("*", F.explode_outer(tokens).alias("__token"))
@@ -128,18 +167,55 @@ def resolve_references(params: DataFrame, passes: int = REFERENCE_PASSES) -> Dat
     return final.unionAll(open_).select("script", "key", F.col("text").alias("value"))
 
 
-def resolve_definitions(params: DataFrame) -> DataFrame:
+def resolve_definitions(params: DataFrame, row_lines: int = ROW_LINES) -> DataFrame:
     """``params(script, key, value, pos)`` with every ``@name`` replaced by the resolved value of
     the latest earlier line of the script that gives ``name`` a value; ``pos`` identifies a line.
-    Names without such a line stay. What is put in is not searched again.
+    Names without such a line stay. What is put in is not searched again."""
+
+    def put(text: Column, names: Column) -> Column:
+        by_token = F.transform_keys(names, lambda k, _: F.concat(F.lit("@"), k))
+        return put_tokens(text, by_token, REFERENCE)
+
+    return in_order(params, put, "string", row_lines).select("script", "key", "pos", "value")
 
-    Bound strictly backwards, lines cannot form a ring: each round closes the lines whose
-    names are all closed, as many rounds as the longest chain, each written once.
+
+def in_order(params: DataFrame, evaluate: Callable[[Column, Column], Column], kind: str, row_lines: int = ROW_LINES) -> DataFrame:
+    """The lines ``params(script, key, value, pos)`` with their ``value`` renamed ``text`` and, as
+    ``value``, what ``evaluate(text, names)`` gives. ``names`` is a map from the names a line can
+    see - of the script's earlier lines with a text the latest of each key - to their values.
+
+    A script of at most ``row_lines`` lines is folded in its row. The lines of longer ones are
+    bound to the lines they name, strictly backwards, so they cannot form a ring: each round
+    closes the lines whose names are all closed, and is written once.
     """
     lines = params.select("script", "key", "pos", F.col("value").alias("text"))
+    lines, short, long = short_and_long(lines, row_lines)
+    ordered = short(F.struct("pos", "key", "text")).withColumn("lines", F.sort_array("lines"))
+    of = lines.schema
+    out = f"array<struct<key:{of['key'].dataType.simpleString()},pos:{of['pos'].dataType.simpleString()},text:string,value:{kind}>>"
+    start = F.struct(F.create_map().cast(f"map<string,{kind}>").alias("names"), F.array().cast(out).alias("done"))
+
+    def step(state: Column, line: Column) -> Column:
+        once = F.array(F.struct(evaluate(line["text"], state["names"]).cast(kind).alias("v")))
+        gives = line["text"].isNotNull() & line["key"].isNotNull()
+
+        def put(z: Column) -> Column:
+            others = F.map_filter(state["names"], lambda k, _: k != line["key"])
+            names = F.when(gives, F.map_concat(others, F.map_from_arrays(F.array(line["key"]), F.array(z["v"])))).otherwise(state["names"])
+            row = F.struct(line["key"].alias("key"), line["pos"].alias("pos"), line["text"].alias("text"), z["v"].alias("value"))
+            return F.struct(names.alias("names"), F.concat(state["done"], F.array(row)).alias("done"))
+
+        return F.get(F.transform(once, put), F.lit(0))
+
+    folded = ordered.select("script", F.explode(F.aggregate("lines", start, step, lambda s: s["done"])).alias("line"))
+    folded = folded.select("script", "line.key", "line.pos", "line.text", "line.value")
+    return folded if long is None else folded.unionByName(_in_rounds(long, evaluate, kind))
+
+
+def _in_rounds(lines: DataFrame, evaluate: Callable[[Column, Column], Column], kind: str) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)))
     used = lines.select("script", "pos", F.explode(tokens).alias("__token")).filter(~F.col("__token").startswith("@@"))
-    used = used.withColumn("key", F.substring("__token", 2, 1 << 30)).withColumn("__given", F.lit(0))
+    used = used.select("script", "pos", F.substring("__token", 2, 1 << 30).alias("key"), F.lit(0).alias("__given"))
     given = lines.filter(F.col("text").isNotNull())
     given = given.select("script", "pos", "key", F.lit(1).alias("__given"), F.col("pos").alias("__at"))
     bound = scan(
@@ -149,24 +225,25 @@ def resolve_definitions(params: DataFrame) -> DataFrame:
         by_position(),
         {"__line": max_before(F.col("__at"))},
     )
-    links = bound.filter((F.col("__given") == 0) & F.col("__line").isNotNull()).select("script", "pos", "__token", "__line")
+    links = bound.filter((F.col("__given") == 0) & F.col("__line").isNotNull()).select("script", "pos", F.col("key").alias("__name"), "__line")
     links = cut_lineage(links)
     waits = links.select("script", "pos").distinct()
-    closed = cut_lineage(lines.join(waits, ["script", "pos"], "left_anti"))
+    none = F.create_map().cast(f"map<string,{kind}>")
+    closed = cut_lineage(lines.join(waits, ["script", "pos"], "left_anti").withColumn("value", evaluate(F.col("text"), none).cast(kind)))
     open_ = cut_lineage(lines.join(waits, ["script", "pos"], "left_semi"))
     while not open_.isEmpty():
-        values = closed.select("script", F.col("pos").alias("__line"), F.col("text").alias("__value"))
+        values = closed.select("script", F.col("pos").alias("__line"), F.col("value").alias("__value"), F.lit(1).alias("__closed"))
         hits = (
             links.join(open_.select("script", "pos"), ["script", "pos"], "left_semi")
             .join(values, ["script", "__line"], "left")
             .groupBy("script", "pos")
-            .agg(F.map_from_entries(F.collect_list(F.struct("__token", "__value"))).alias("__hits"), F.count_if(F.col("__value").isNull()).alias("__left"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("__name", "__value"))).alias("__hits"), F.count_if(F.col("__closed").isNull()).alias("__left"))
         )
         tried = cut_lineage(open_.join(hits, ["script", "pos"]))
-        done = tried.filter("__left = 0").withColumn("text", _put_values("text", REFERENCE))
+        done = tried.filter("__left = 0").withColumn("value", evaluate(F.col("text"), F.col("__hits")).cast(kind))
         closed = cut_lineage(closed.unionByName(done.select(closed.columns)))
         open_ = tried.filter("__left > 0").select(lines.columns)
-    return closed.select("script", "key", "pos", F.col("text").alias("value"))
+    return closed.select("script", "key", "pos", "text", "value")
 
 
 def job_params(jobs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowflow.functions import dates as D
+from rowflow.plans import declares as R
 from rowflow.plans import params as P
 from rowflow.queries.registry import query, table
 from rowflow.session import spread
@@ -186,6 +187,47 @@ def prm_ref_lines(spark, d):
     return P.resolve_references(source(spark, d, REFERENCE_LINES, "part"))
 
 
+#: Lines of a script: name, right side (#D a day, #N a number of days, #C a number), kind and value.
+DECLARE_LINES = [
+    ("Base", "'\"/c#C\"'", "text", "'/c' || c"),
+    ("Day", "'DateTime.Parse(\"#D\")'", "date", "strftime(d, '%Y-%m-%d 00:00:00')"),
+    ("Prev", "'@Day.AddDays( - #N )'", "date", "strftime(d - to_days(n), '%Y-%m-%d 00:00:00')"),
+    ("Stamp", "'@Prev.ToString(\"yyyyMMdd\")'", "text", "strftime(d - to_days(n), '%Y%m%d')"),
+    ("Num", "'int.Parse(\"#N\")'", "number", "CAST(n AS VARCHAR)"),
+    ("Sum", "'Math.Abs( - #C) + @Num + 1'", "number", "CAST(c + n + 1 AS VARCHAR)"),
+    ("Form", "'\"{1:yyyy/MM}/{0}_%d.ss?n=%n\"'", "text", "'{1:yyyy/MM}/{0}_%d.ss?n=%n'"),
+    (
+        "Path",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'string.Format(@Form, @Stamp, @Prev.AddDays(1))' WHEN 1 THEN '@Base + \"/\" + @Stamp + \".ss\"' "
+        "ELSE '@Base.Replace(\"/c\", \"/z\").TrimEnd(''0'') + @Num' END",
+        "text",
+        "CASE o % 3 WHEN 0 THEN strftime(d - to_days(n - 1), '%Y/%m') || '/' || strftime(d - to_days(n), '%Y%m%d') || strftime(d - to_days(n - 1), '_%d.ss?n=1') "
+        "WHEN 1 THEN '/c' || c || '/' || strftime(d - to_days(n), '%Y%m%d') || '.ss' ELSE rtrim('/z' || c, '0') || n END",
+    ),
+    ("Base", "'@Base + \"/b\"'", "text", "'/c' || c || '/b'"),
+    ("Nest", "'string.Format(\"{0}-{1}\", @Base, string.Format(\"{0:dd}\", @Day))'", "text", "'/c' || c || '/b-' || strftime(d, '%d')"),
+    ("Odd", "'Custom(@Base, 1)'", None, "'Custom(@Base, 1)'"),
+    ("Uses", "'@Odd + \"x\"'", None, "'@Odd + \"x\"'"),
+]
+DECLARES = " UNION ALL ".join(
+    f"SELECT concat('s', CAST(o_orderkey AS STRING)) AS script, {i} AS pos, '{key}' AS key, replace(replace(replace({text}, "
+    f"'#D', substr(CAST(o_orderdate AS STRING), 1, 10)), '#N', CAST(o_custkey % 30 AS STRING)), '#C', CAST(o_custkey AS STRING)) AS value FROM orders"
+    for i, (key, text, _, _) in enumerate(DECLARE_LINES)
+)
+
+
+@query(
+    "prm_resolve_declares",
+    " UNION ALL ".join(
+        f"SELECT 's' || o AS script, {i} AS pos, '{key}' AS key, {f"'{kind}'" if kind else 'NULL'} AS kind, {value} AS value, {bool(kind)} AS understood "
+        "FROM (SELECT o_orderkey AS o, o_orderdate AS d, o_custkey AS c, CAST(o_custkey % 30 AS INTEGER) AS n FROM orders)"
+        for i, (key, _, kind, value) in enumerate(DECLARE_LINES)
+    ),
+)
+def prm_resolve_declares(spark, d):
+    return R.resolve_declares(source(spark, d, DECLARES, "orders"))
+
+
 @query(
     "prm_string_funcs",
     """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name || '.ss', '.ss', '_fake.ss')

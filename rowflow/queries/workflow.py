@@ -290,7 +290,7 @@ KEYS = """SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1
 def wf_closest_match(spark, d):
     names = table(spark, d, "part").select(c("p_name").alias("process")).distinct()
     scripts = names.select(F.concat(F.replace("process", F.lit(" "), F.lit("")), F.lit(".script")).alias("script"), "process")
-    return closest_process(source(spark, d, KEYS, "part").select("key"), names, scripts)
+    return closest_process(source(spark, d, KEYS, "part").select("key"), names, scripts, chunk=200)  # a large catalog's way
 
 
 @query(

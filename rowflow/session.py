@@ -85,3 +85,13 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     cores is spread over them, any other is left where it is (no shuffle on a large input)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+
+
+def partitioned(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` to as many tasks as shuffles have, and one per core at least.
+    For work that is heavy for its bytes: unlike another shuffle it is not merged by size."""
+    return df.repartition(task_count(df.sparkSession), *columns)
+
+
+def task_count(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -264,6 +264,19 @@ def test_trace_long_chain(spark):
     assert G.trace(edges(spark, chain), names(spark, "n00"), "down")[1].count() == 12
 
 
+def test_trace_leaves_stored_links_in_place(spark):
+    """The join of a level shuffles neither the links nor the visited nodes."""
+    store = G.Stored(spark)
+    try:
+        links = store.write(edges(spark, " ".join(f"n{i}>n{i + 1}" for i in range(50))), "src")
+        seen = store.write(names(spark, "n3", "n9"), "name")
+        plan = links.join(seen.hint("merge"), F.col("src") == seen["name"], "left_semi")
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        store.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name in store.names]
+
+
 def test_trace_of_nothing(spark):
     nodes, walked = G.trace(edges(spark, "a>b"), names(spark, "zz"), "both")
     assert nodes.count() == 0 and walked.count() == 0
@@ -302,6 +315,18 @@ def test_nearest_equals_brute_force(spark, chunk):
     assert got == {k: min((distance(k, n), n) for n in catalog) for k in keys}
 
 
+def test_nearest_far_away(spark):
+    """Keys many edits from every name: found by pieces, and with names shorter than the edits."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    catalog = sorted({word(rng.randint(8, 24)) for _ in range(150)} | {"same start " + word(6) for _ in range(60)} | {"x", ""})
+    keys = [word(20) for _ in range(8)] + ["same start", "yyyyyy", catalog[5][2:-4] + "zz", "", "q" * 40]
+    frame = lambda vs, c: spark.createDataFrame([(v,) for v in [*vs, None]], f"{c} string")
+    got = {r.key: (r.distance, r.name) for r in nearest(frame(keys, "key"), frame(catalog, "name"), 40).collect()}
+    assert got == {k: min((distance(k, n), n) for n in catalog) for k in keys}
+    assert nearest(frame(keys, "key"), frame([], "name"), 40).count() == 0
+
+
 def test_closest_stages(spark):
     procs = spark.createDataFrame([("Alpha",), ("Beta",), ("Bets",)], "process string")
     scripts = spark.createDataFrame([("MPIPrepare3.script", "Alpha"), ("Other.script", "Beta")], "script string, process string")
