@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowflow.plans import nesting
 from rowflow.plans.params import resolve_external
 
 # ---- fixed values ------------------------------------------------------------------------
@@ -16,23 +17,13 @@ from rowflow.plans.params import resolve_external
 COMMENT_OR_STRING = (
     r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')|//[^\n]*|/\*(?s:.*?)\*/"""
 )
-CONDITIONALS = [
-    (r"(?s)#IF.*?\n(.*?)#ENDIF", "$1"),
-    (r"#ELSE", ""),
-    (r"#IF.*?\n", ""),
-    (r"#ENDIF.*?\n", ""),
-]
-CONDITIONAL_BLOCK = r"(?s)#IF.*?\n(.*?)#ENDIF"
-LOOP = r"LOOP\s*\(\s*(\w+)\s*,\s*(@?\s*\w+)\s*\)\s*\{((?s:.*?))\n([^\n{}]*)\}"
-DECLARED_INT = r"#DECLARE[ \t]+(\w+)[ \t]+int[ \t]+=[ \t]+(\d+)"
 STATEMENT_KEYWORDS = "OUTPUT REDUCE SELECT PROCESS COMBINE SSTREAM EXTRACT VIEW IMPORT USING".split()
 NOT_A_TABLE = "SELECT USING SSTREAM VIEW EXTRACT PRODUCE ON PRESORT STREAMEXPIRY TO".split()
 DECLARED_TYPES = "string String int long byte bool double float decimal DateTime".split()
 
 NAME = r"[A-Za-z_]\w*(?:\.\w+)*"
 VALUE = r'@?"[^"]*"|@@\w+@@|@\w+'
-MODULE_VIEWS = r"(?s)VIEW(.*?)RETURN.*?BEGIN(.*?)END VIEW"
-VIEW_BODY = r"(?s)CREATE VIEW.*?AS BEGIN(.*)END;"
+SUBQUERY = r"\bIN ?\( ?SELECT\b"
 
 # A hint is a bracketed list of items ``Name``, ``Name(…)``, ``Name = 7`` or ``Name = (…)``. An index
 # has brackets too, but follows a word or a closing bracket and assigns nothing.
@@ -42,19 +33,6 @@ HINT_ITEM = rf"(?:{HINT_VALUE}|{HINT_NAME}(?:\s*\([^\[\]]*\))?)"
 HINT_REST = rf"(?:\s*,\s*{HINT_ITEM})*\s*\]"
 HINT = rf"\[\s*{HINT_VALUE}{HINT_REST}|(?<![\w\])])\[\s*{HINT_ITEM}{HINT_REST}"
 
-NESTING = 4
-
-
-def _inside_parentheses(depth: int = NESTING) -> str:
-    """Pattern of what stands between two parentheses, ``depth`` further levels included."""
-    inside = r"[^()]*+"
-    for _ in range(depth):
-        inside = rf"[^()]*+(?:\({inside}\)[^()]*+)*+"
-    return inside
-
-
-INSIDE = _inside_parentheses()
-
 # ---- passes over one text ----------------------------------------------------------------
 
 
@@ -66,45 +44,13 @@ def strip_comments(text: Column) -> Column:
 
 
 def flatten_conditionals(text: Column, keep: bool = True) -> Column:
-    """``#IF … #ELSE … #ENDIF``: keep the text of both branches, or drop the block. Applied
-    twice, for one level of nesting."""
-    for _ in range(2):
-        if not keep:
-            text = F.regexp_replace(text, CONDITIONAL_BLOCK, "")
-        for pattern, put in CONDITIONALS:
-            text = F.regexp_replace(text, pattern, put)
-    return text
+    """``#IF … #ELSE … #ENDIF`` at any depth: keep the text of all branches, or drop the blocks."""
+    return nesting.keep_branches(text) if keep else nesting.drop_branches(text)
 
 
 def expand_loops(text: Column) -> Column:
-    """``LOOP(v, n) { … }``: n copies of the body with ``@@v@@`` = 0 … n-1; n is a number or a
-    declared int. A body whose count is unknown is kept once."""
-    everything = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    declared = F.arrays_zip(
-        everything(DECLARED_INT, 1).alias("name"), everything(DECLARED_INT, 2).alias("value")
-    )
-    loops = F.arrays_zip(
-        F.split(text, LOOP, -1).alias("before"),
-        everything(LOOP, 1).alias("var"),
-        everything(LOOP, 2).alias("count"),
-        everything(LOOP, 3).alias("body"),
-        everything(LOOP, 4).alias("tail"),
-    )
-
-    def expand(z: Column) -> Column:
-        name = F.regexp_replace(z["count"], r"[@\s]", "")
-        known = F.get(F.filter(declared, lambda v: v["name"] == name), F.lit(0))["value"]
-        n = F.when(z["count"].startswith("@"), known).otherwise(z["count"]).try_cast("int")
-        token = F.concat(F.lit("@@"), z["var"], F.lit("@@"))
-        copies = F.transform(
-            F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
-            lambda i: F.replace(z["body"], token, i.cast("string")),
-        )
-        body = F.when(n.isNull(), z["body"]).when(n < 1, F.lit("")).otherwise(F.array_join(copies, ""))
-        filled = F.concat(z["before"], body, F.lit("\n"), z["tail"])
-        return F.when(z["body"].isNull(), z["before"]).otherwise(filled)
-
-    return F.when(text.contains("LOOP"), F.array_join(F.transform(loops, expand), "")).otherwise(text)
+    """See :func:`rowflow.plans.nesting.expand_loops`."""
+    return nesting.expand_loops(text)
 
 
 def strip_hints(text: Column) -> Column:
@@ -193,7 +139,7 @@ def _blank_strings(text: Column) -> Column:
 def _tables(flat: Column) -> Column:
     """Names after FROM, JOIN and the rowset keywords, comma lists included. Strings are blanked
     first, and the lists of ``IN (SELECT …)`` are not sources of the statement."""
-    code = F.regexp_replace(_blank_strings(flat), rf"\bIN ?\( ?SELECT {INSIDE}\)", "")
+    code = nesting.without_groups(_blank_strings(flat), SUBQUERY)
     member = rf"{NAME}(?: AS \w+)?"
     lists = _all(
         code,
@@ -225,7 +171,7 @@ def _sources(flat: Column, kind_: Column) -> Column:
         _named(having("VIEW", rf"\bVIEW ({VALUE})"), "VIEW_", "VIEW"),
         _named(having("IMPORT", rf"\bIMPORT ({VALUE})"), "IMPORT_", "IMPORT"),
         _named(called, "MODULE_", "MODULE"),
-        _named(having("CROSS APPLY", rf"CROSS APPLY ({NAME}(?:<[^<>]*>)?\({INSIDE}\)(?:\.\w+)*)"), "FUNC_", "FUNC"),
+        _named(nesting.calls_behind(flat, "CROSS APPLY ", rf"{NAME}(?:<[^<>]*>)?"), "FUNC_", "FUNC"),
         _named(_tables(flat), "", "table"),
     )
     return F.array_distinct(found)
@@ -320,15 +266,12 @@ def outputs(fact_rows: DataFrame) -> DataFrame:
 
 
 def module_views(modules: DataFrame) -> DataFrame:
-    """``(module, text)`` -> ``(module, view, text)``, one row per view of a module file."""
-    views = F.arrays_zip(
-        _all(F.col("text"), MODULE_VIEWS, 1).alias("view"), _all(F.col("text"), MODULE_VIEWS, 2).alias("body")
-    )
-    each = modules.select("module", F.explode(views).alias("v"))
-    return each.select("module", F.trim(F.regexp_replace("v.view", r"\s+", " ")).alias("view"), F.col("v.body").alias("text"))
+    """``(module, text)`` -> ``(module, view, text)``, one row per view of a module file; a view inside
+    another one is a row of its own."""
+    each = modules.select("module", F.explode(nesting.views(F.col("text"))).alias("v"))
+    return each.select("module", "v.view", F.col("v.body").alias("text"))
 
 
 def view_body(text: Column) -> Column:
     """The statements of a view file; other text is returned as it is."""
-    body = F.regexp_extract(text, VIEW_BODY, 1)
-    return F.when(text.rlike(VIEW_BODY), body).otherwise(text)
+    return nesting.file_view_body(text)

@@ -53,7 +53,7 @@ BRANCHED = "a;~#IF (@X == #K)~b #P;~#ELSE~c;~#ENDIF~d;~#IF(1)~e~#IF(2)~f~#ENDIF~
 
 @query(
     "cor_conditionals",
-    expected([("a;~b #P;~~c;~~d;~e~f~~g~h", "a;~~d;~~g~h")], "kept, dropped", (0, 1)),
+    expected([("a;~b #P;~~c;~~d;~e~f~~g~~h", "a;~~d;~~h")], "kept, dropped", (0, 1)),
 )
 def cor_conditionals(spark, d):
     s = source(spark, d, spliced(BRANCHED), "part")
@@ -238,3 +238,42 @@ def cor_module_views(spark, d):
     files = source(spark, d, spliced("CREATE VIEW v AS BEGINplain #PEND;"), "part")
     bodies = files.select("script", C.view_body(c("text")).alias("body"))
     return views.withColumnRenamed("module", "script").join(bodies, "script")
+
+
+#: Texts that nest 1 to 10 deep, by row; n is a line end.
+DEEP = """SELECT concat('s', CAST(p_partkey AS STRING)) AS script, p_name, k,
+  concat('a;', n, repeat(concat('#IF (x)', n), k), 'in ', p_name, ';', n, repeat(concat('#ELSE', n, '#ENDIF', n), k), 'z;') AS branched,
+  concat(repeat(concat('LOOP(I, 2)', n, '{', n), k), 'x@@I@@ = "{";', repeat(concat(n, '}'), k), n, 'y;') AS looped,
+  concat('Q = SELECT a FROM T', CAST(k AS STRING), ' WHERE a IN (SELECT b FROM H WHERE ', repeat('f(', k), 'c', repeat(')', k),
+    ' == 1 AND b IN ', repeat('(SELECT e FROM G WHERE e IN ', k), '(SELECT h FROM K)', repeat(')', k), ') AND d == 1') AS asked,
+  concat('R = SELECT p FROM T CROSS APPLY Lib.Read(', repeat('g(', k), 'T.Blob', repeat(')', k), ', "((").Rows AS q') AS applied,
+  concat(repeat(concat('VIEW V RETURN x BEGIN', n, 'a;'), k), repeat(concat('b;', n, 'END VIEW', n), k)) AS module
+  FROM (SELECT p_partkey, p_name, CAST(p_partkey % 10 + 1 AS INT) AS k, chr(10) AS n FROM part)"""
+
+
+@query(
+    "cor_nesting",
+    f"""SELECT script, 'a;' || chr(10) || 'in ' || p_name || ';' || chr(10) || repeat(chr(10) || chr(10), k) || 'z;' AS kept,
+         'a;' || chr(10) || chr(10) || 'z;' AS dropped,
+         repeat('x0 = "{{";' || chr(10) || 'x1 = "{{";' || chr(10), CAST(2 ** (k - 1) AS INT)) || 'y;' AS looped,
+         'T' || k AS tables, 'FUNC_Lib.Read(' || repeat('g(', k) || 'T.Blob' || repeat(')', k) || ', "((").Rows,T' AS applied,
+         repeat('V:' || chr(10) || 'a;' || chr(10) || 'b;' || chr(10) || ';', k - 1) || 'V:' || chr(10) || 'a;b;' || chr(10) || ';' AS views
+       FROM ({DEEP.replace("STRING", "VARCHAR")})""",
+)
+def cor_nesting(spark, d):
+    rows = source(spark, d, DEEP, "part")
+
+    def names(text: str):
+        found = C.references(C.facts(rows.select("script", F.lit(0).alias("pos"), c(text).alias("text"))))
+        return found.groupBy("script").agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias(text))
+
+    views = C.module_views(rows.select(c("script").alias("module"), c("module").alias("text")))
+    shown = F.concat("view", F.lit(":"), "text", F.lit(";"))
+    views = views.groupBy(c("module").alias("script")).agg(F.array_join(F.sort_array(F.collect_list(shown)), "").alias("views"))
+    texts = rows.select(
+        "script",
+        C.flatten_conditionals(c("branched")).alias("kept"),
+        C.flatten_conditionals(c("branched"), keep=False).alias("dropped"),
+        C.drop_blank_lines(C.expand_loops(c("looped"))).alias("looped"),
+    )
+    return texts.join(names("asked").withColumnRenamed("asked", "tables"), "script").join(names("applied"), "script").join(views, "script")

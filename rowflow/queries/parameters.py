@@ -47,13 +47,13 @@ def prm_ymd_token(spark, d):
 
 FORMATS = """SELECT o_orderkey AS tid, o_orderdate AS d, concat('base', CAST(o_custkey AS STRING)) AS a0,
   CAST(o_orderkey % 24 AS STRING) AS a2,
-  CASE o_orderkey % 4 WHEN 0 THEN '{0}/Prep/{1:yyyy/MM/dd}/Info_{1:yyyyMMdd}.ss' WHEN 1 THEN '/{0}/{2}-{0}.ss'
+  CASE o_orderkey % 4 WHEN 0 THEN 'lot-{1:dd.MM.yyyy}/{0}/{2}/h{1:HH}.tsv' WHEN 1 THEN '/{0}/{2}-{0}.ss'
     WHEN 2 THEN '{2}_{1}.ss' ELSE '{0}/{1:HH}h/{1:yyyy-MM-dd HH:mm:ss}_{2:x}.ss' END AS t FROM orders"""
 
 
 @query(
     "prm_string_format",
-    f"""SELECT tid, CASE tid % 4 WHEN 0 THEN a0 || '/Prep/' || strftime(d, '%Y/%m/%d') || '/Info_' || strftime(d, '%Y%m%d') || '.ss'
+    f"""SELECT tid, CASE tid % 4 WHEN 0 THEN strftime(d, 'lot-%d.%m.%Y/') || a0 || '/' || a2 || strftime(d, '/h%H.tsv')
        WHEN 1 THEN '/' || a0 || '/' || a2 || '-' || a0 || '.ss' WHEN 2 THEN a2 || '_' || strftime(d, '%Y-%m-%d %H:%M:%S') || '.ss'
        ELSE a0 || '/' || strftime(d, '%H') || 'h/' || strftime(d, '%Y-%m-%d %H:%M:%S') || '_' || a2 || '.ss' END AS path FROM ({FORMATS})""",
 )

@@ -126,6 +126,15 @@ def test_loops_and_conditionals(spark):
     assert kept == ["#DECLARE N int = 2;", "A;", "B;", 'C0 = string.Format("{0}", 1);', 'C1 = string.Format("{0}", 1);', "D"]
 
 
+def test_open_and_stray_marks(spark):
+    texts = ["a\n#ENDIF b\n#IF x\nc", "LOOP(I, 2)\n{ x@@I@@", "} y {", "LOOP(I, @M) { z@@I@@ } w", "LOOP(I, 0)\n{\nq\n}r", 'p = "LOOP(I, 2) {"; }']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "i int, t string")
+    got = {r.i: (r.d, r.l) for r in rows.select("i", C.flatten_conditionals(F.col("t"), keep=False).alias("d"), C.expand_loops(F.col("t")).alias("l")).collect()}
+    assert got[0][0] == "a\n b\n" and got[1][1] == texts[1] and got[2][1] == texts[2]
+    assert got[3][1] == " z@@I@@  w" and got[4][1] == "\nr" and got[5][1] == texts[5]
+    assert got[6] == (None, None) and got[7] == ("", "")
+
+
 def test_hints_leave_indexing_alone(spark):
     text = "X = SELECT a[0] AS k, m[key] AS l, f(x)[i] AS n FROM T[ROWCOUNT=100] [SKEW=(A=1)] [Few(a), Pinned] ON a == b[j];"
     got = spark.createDataFrame([(text,)], "t string").select(C.strip_hints(F.col("t")).alias("x"), C.list_hints(F.col("t")).alias("h")).first()

@@ -33,12 +33,12 @@ def test_string_format(spark, template, args, want):
 
 
 def test_last_date_argument_fills_path_tokens(spark):
-    # Both range ends are date arguments: the last one is the implied date.
-    args = [("date", day("2017-12-26")), ("date", day("2018-01-01"))]
-    got = one(spark, D.string_format(F.lit("/%Y/%m/F_%Y%m%d.ss?d={0:yyyy}"), args))
-    assert got == "/2017/12/F_20171226.ss?d=2017"
-    got = one(spark, D.string_format(F.lit("/%Y/%m/F_%Y%m%d.ss"), args))
-    assert got == "/2018/01/F_20180101.ss"
+    # Two dates: a dated place wins over the last date argument.
+    args = [("date", day("2024-07-09")), ("text", F.lit("west")), ("date", day("2023-11-30"))]
+    got = one(spark, D.string_format(F.lit("{1}/%d.%m/{0:yyyy}"), args))
+    assert got == "west/09.07/2024"
+    got = one(spark, D.string_format(F.lit("{1}/%d.%m/%Y"), args))
+    assert got == "west/30.11/2023"
 
 
 @pytest.mark.parametrize(
