@@ -41,11 +41,15 @@ def list_of(
     item: Column,
     block: Column,
     name: str = "items",
-    chunk: int = 1000,
+    chunk: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """``LIST(x)`` in a fixed order. A group longer than ``chunk`` continues in further rows
-    (``part`` 0, 1, ...), so no row and no task ever holds an unbounded group."""
+    """``LIST(x)`` in a fixed order, whole and with ``part`` 0. With ``chunk`` a longer group continues
+    in further rows (``part`` 0, 1, ...), so that no row and no task holds an unbounded group."""
+    if chunk is None:
+        each = df.select(*keys, F.struct(*order, item.alias("__v")).alias("__p"))
+        whole = each.groupBy(*keys).agg(F.sort_array(F.collect_list("__p")).alias("__ps"))
+        return whole.select(*keys, F.lit(0).cast("long").alias("part"), F.transform("__ps", lambda p: p["__v"]).alias(name))
     numbered = scan(df, keys, order, block, {"__n": row_number()}, hot_rows)
     part = F.floor((F.col("__n") - 1) / chunk)
     pairs = numbered.select(

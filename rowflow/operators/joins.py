@@ -4,6 +4,8 @@ language has beyond that."""
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -17,6 +19,21 @@ def right_semi(left: DataFrame, right: DataFrame, on, anti: bool = False) -> Dat
     return semi(right, left, on, anti)
 
 
+def not_in(df: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
+    """``key NOT IN (SELECT …)`` by the rules of null: an empty list keeps every row, a list with a
+    null keeps none, and a null key is in no other list nor out of it. ``listed`` has one column.
+    One row about the list decides which plain anti join is left, so nothing is a nested loop."""
+    name = listed.columns[0]
+    rows, nulls = listed.agg(F.count(F.lit(1)), F.count_if(F.col(f"`{name}`").isNull())).first()
+    if not rows:
+        return df
+    if nulls:
+        return df.limit(0)
+    keyed = df.withColumn("__not_in", key).filter(F.col("__not_in").isNotNull())
+    values = listed.select(F.col(f"`{name}`").alias("__listed"))
+    return keyed.join(values, F.col("__not_in") == F.col("__listed"), "left_anti").drop("__not_in")
+
+
 def is_small(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes as text; one pass that
     reads at most a row beyond the bound."""
@@ -44,25 +61,27 @@ def hash_join(
     return left.join(right.hint("SHUFFLE_HASH") if is_small(right, max_rows, max_bytes) else right, on, how)
 
 
-def attach_rows(df: DataFrame, config: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """``CROSS JOIN`` of a fact rowset with a configuration rowset of a few rows.
+def attach_rows(df: DataFrame, config: DataFrame, max_rows: int = 1000, max_bytes: int = 1 << 20) -> DataFrame:
+    """``CROSS JOIN`` of a fact rowset with a configuration rowset.
 
-    The configuration is read once under a row bound and becomes a literal array that each
-    fact row explodes: no join and no shuffle. Two large sides are refused.
+    A configuration within the bounds on rows and bytes becomes a literal array that each fact
+    row explodes: no join and no shuffle. A larger one is packed into arrays of about
+    ``max_rows`` rows; each fact row meets each array by its number and explodes it there.
     """
-    rows = config.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"CROSS JOIN needs a side of at most {max_rows} rows")
-    if not rows:
-        return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in config.schema])
-    values = F.array(
-        *[
-            F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in config.schema])
-            for row in rows
-        ]
-    )
-    each = df.withColumn("__cfg", F.explode(values))
-    return each.select(*df.columns, "__cfg.*")
+    fields = config.schema
+    if is_small(config, max_rows, max_bytes):
+        rows = config.collect()
+        if not rows:
+            return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        literals = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
+        each = df.withColumn("__cfg", F.explode(F.array(*literals)))
+        return each.select(*df.columns, "__cfg.*")
+    arrays = ceil(config.count() / max_rows)
+    row = F.struct(*[F.col(f"`{f.name}`") for f in fields])
+    dealt = F.pmod(F.xxhash64(F.to_json(row), F.monotonically_increasing_id()), F.lit(arrays))
+    packed = config.select(dealt.alias("__array"), row.alias("r")).groupBy("__array").agg(F.collect_list("r").alias("__rows"))
+    met = df.withColumn("__array", F.explode(F.sequence(F.lit(0), F.lit(arrays - 1)).cast("array<bigint>"))).join(packed, "__array")
+    return met.select(*df.columns, F.explode("__rows").alias("__cfg")).select(*df.columns, "__cfg.*")
 
 
 def comma_tables(left: DataFrame, right: DataFrame, where: Column) -> DataFrame:

@@ -205,3 +205,14 @@ def quantile_block(df: DataFrame, column: str, blocks: int = 256) -> Column:
         return F.lit(0)
     steps = F.array(*[F.lit(b) for b in bounds])
     return F.size(F.filter(steps, lambda b: b <= F.col(column)))
+
+
+def text_block(df: DataFrame, column: str, blocks: int = 64, sampled: int = 20_000) -> Column:
+    """A block expression for a text order column: ranges between splitters that cut a sample of
+    its distinct values (those with the smallest hashes) evenly. Only splitters are kept."""
+    values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    some = sorted(r[0] for r in values.orderBy(F.xxhash64("v"), "v").limit(sampled).collect())
+    bounds = sorted({some[len(some) * i // blocks] for i in range(1, blocks)}) if some else []
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))

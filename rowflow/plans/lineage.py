@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import fill_path_tokens
 from rowflow.operators.ordered import by_position, last_before, max_before, scan
+from rowflow.plans.declares import resolve_declares
 
 # Name of the rowset a script without any named rowset builds, node classes by
 # name prefix with their colours, and the colours of outputs and of user operators.
@@ -217,6 +218,14 @@ def link(value: Column, at: Column, prefix: str, suffix: str = "?property=info")
     return F.concat(F.lit(prefix), F.regexp_replace(filled, '["\n]', ""), F.lit(suffix))
 
 
+def resolved(declared: DataFrame) -> DataFrame:
+    """``(script, key, value)`` of ``declared(script, pos, key, value)``: the evaluated value of the last
+    line of each key, if that line is understood."""
+    done = resolve_declares(declared.select("script", "key", "value", "pos"))
+    last = done.groupBy("script", "key").agg(F.max_by(F.struct("value", "understood"), "pos").alias("l"))
+    return last.filter("l.understood").select("script", "key", "l.value")
+
+
 def links(node_rows: DataFrame, declared: DataFrame, at: Column, prefix: str) -> DataFrame:
     """``(script, name, href)`` of stored inputs and of outputs that are not debug files.
     ``declared(script, key, value)`` holds the resolved parameters."""

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowflow.functions.dates import event_name, interval_code
 from rowflow.operators.aggregate import list_of
+from rowflow.operators.ordered import text_block
 from rowflow.plans.params import job_params, resolve_master
+from rowflow.session import cut_lineage
 
 # The runner class whose configs count, the parameters that hold lists, the path
 # part that is always skipped, and the node that stands for "depends on nothing".
@@ -207,16 +209,13 @@ def node_colour(type_: Column, interval: Column) -> Column:
     )
 
 
-def rollup(members: DataFrame, chunk: int = 1000) -> DataFrame:
-    """``(master, group, part, processes)``: process names of a group, sorted within a part; a
-    group longer than ``chunk`` has several parts. Groups are cut by the hash of the name, which
-    balances whatever the names look like."""
-    rows = members.select("master", "group", "process").distinct().withColumn("__h", F.xxhash64("process"))
-    lists = list_of(
-        rows, ["master", "group"], ["__h", "process"], F.col("process"), F.shiftright("__h", 50), "processes", chunk,
-        hot_rows=1_000_000,
-    )
-    return lists.withColumn("processes", F.array_sort("processes"))
+def rollup(members: DataFrame, chunk: int = 1000, hot_rows: int = 1_000_000) -> DataFrame:
+    """``(master, group, part, processes)``: process names of a group in order; a group longer than
+    ``chunk`` goes on in further parts. Groups of more than ``hot_rows`` names are cut into ranges
+    of names for the work, which changes nothing in the result."""
+    rows = cut_lineage(members.select("master", "group", "process").distinct())
+    ranges = text_block(rows, "process")
+    return list_of(rows, ["master", "group"], ["process"], F.col("process"), ranges, "processes", chunk, hot_rows)
 
 
 def targets(procs: DataFrame, folder: str | None = None, names: list[str] | None = None) -> DataFrame:

@@ -177,9 +177,31 @@ PORTAL = "https://portal.example/store"
 def lin_links(spark, d):
     facts = corpus_facts(spark, d)
     rows = L.nodes(L.edges(facts), facts)
-    # The last value of a parameter counts.
-    declared = C.declares(facts).groupBy("script", "key").agg(F.max_by("value", "pos").alias("value"))
-    return L.links(rows, declared, F.lit("2018-12-12").cast("timestamp_ntz"), PORTAL)
+    return L.links(rows, L.resolved(C.declares(facts)), F.lit("2018-12-12").cast("timestamp_ntz"), PORTAL)
+
+
+RESOLVED = """#DECLARE Root string = "/d/#P";~#DECLARE Day DateTime = DateTime.Parse("2018-03-04");~
+#DECLARE In string = string.Format("{0}/%Y/in_{1:yyyyMMdd}_#K.ss", @Root, @Day);~
+#DECLARE Out string = @Root + "/out_" + @Day.AddDays( - 1).ToString("yyyyMMdd") + ".ss";~#SET Root = "/late";~
+#DECLARE Odd string = Custom(@Root);~A = SELECT X FROM (SSTREAM @In);~OUTPUT A TO SSTREAM @Out;~OUTPUT A TO @Odd;~"""
+
+
+@query(
+    "lin_links_resolved",
+    expected(
+        [
+            ("SSTREAM_@In", PORTAL + "/d/#P/2018/in_20180304_#K.ss?property=info"),
+            ("@Out", PORTAL + "/d/#P/out_20180303.ss?property=info"),
+        ],
+        "name, href",
+        (1,),
+    ),
+)
+def lin_links_resolved(spark, d):
+    """Links over evaluated declares; a path that is not understood has none."""
+    scripts = source(spark, d, spliced(RESOLVED.replace("\n", "")), "part").select("script", "text")
+    facts = cut_lineage(C.facts(C.statements(C.prepare(scripts))))
+    return L.links(L.nodes(L.edges(facts), facts), L.resolved(C.declares(facts)), F.lit("2018-12-12").cast("timestamp_ntz"), PORTAL)
 
 
 @query(

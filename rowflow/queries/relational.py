@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from rowflow.functions import all_of, iff, literal
 from rowflow.operators import aggregate as A, joins as J, setops as S
@@ -88,16 +90,31 @@ def flt_in_subquery(spark, d):
     return J.semi(c, big, c.c_custkey == big.o_custkey).select("c_custkey", "c_name")
 
 
+NOT_IN_KEY = "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END"
+NOT_IN_LISTS = {
+    "plain": "SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
+    "nulls": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders WHERE o_totalprice > 400000",
+    "empty": "SELECT o_custkey FROM orders WHERE o_totalprice < 0",
+}
+
+
 @query(
     "flt_not_in_subquery",
-    """SELECT c_custkey, c_name FROM customer
-       WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_custkey IS NOT NULL)""",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS list, c_custkey, c_name FROM customer WHERE {NOT_IN_KEY} NOT IN ({listed})" for name, listed in NOT_IN_LISTS.items()
+    ),
 )
 def flt_not_in_subquery(spark, d):
-    # Nulls are removed from the list, so NOT IN is a plain anti join and not a null-aware one.
-    big = table(spark, d, "orders").filter((F.col("o_totalprice") > 400000) & F.col("o_custkey").isNotNull())
-    c = table(spark, d, "customer").filter(F.col("c_custkey").isNotNull())
-    return J.semi(c, big, c.c_custkey == big.o_custkey, anti=True).select("c_custkey", "c_name")
+    """Null keys against a list without nulls, one with nulls and an empty one."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    big = o.filter(F.col("o_totalprice") > 400000)
+    lists = {
+        "plain": big.select("o_custkey"),
+        "nulls": big.select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey")),
+        "empty": o.filter(F.col("o_totalprice") < 0).select("o_custkey"),
+    }
+    key = F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey"))
+    return reduce(DataFrame.unionAll, (J.not_in(c, key, x).select(F.lit(n).alias("list"), "c_custkey", "c_name") for n, x in lists.items()))
 
 
 @query(
@@ -120,26 +137,34 @@ def flt_not(spark, d):
 
 @query(
     "flt_null_after_outer",
-    """SELECT c.c_custkey FROM customer c LEFT OUTER JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o
-       ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL""",
+    """SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o
+       ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL OR o.o_totalprice > 400000""",
 )
 def flt_null_after_outer(spark, d):
-    # The outer join with a null test on the right is an anti join.
+    """Customers without a dear order, and those with a very dear one: an outer join and a test of its nulls."""
     c = table(spark, d, "customer")
-    o = table(spark, d, "orders").filter(F.col("o_totalprice") > 400000)
-    return J.semi(c, o, c.c_custkey == o.o_custkey, anti=True).select("c_custkey")
+    o = table(spark, d, "orders").filter(F.col("o_totalprice") > 300000)
+    both = c.join(o, c.c_custkey == o.o_custkey, "left")
+    return both.filter(F.col("o_orderkey").isNull() | (F.col("o_totalprice") > 400000)).select("c_custkey", "o_orderkey")
 
 
 @query(
     "prj_inner_select",
-    """SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
-       FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL
-             SELECT * FROM orders WHERE o_orderpriority = '2-HIGH') GROUP BY o_orderstatus""",
+    """SELECT status, tag, COUNT(*) AS n, CAST(SUM(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total
+       FROM (SELECT o_orderstatus AS status, 'urgent' AS tag, o_totalprice AS price FROM orders WHERE o_orderpriority = '1-URGENT'
+             UNION ALL SELECT l_linestatus, 'line', l_extendedprice FROM (SELECT * FROM lineitem WHERE l_quantity > 25) x WHERE l_discount < 0.05
+             UNION ALL SELECT * FROM (SELECT o_orderstatus, 'high', o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH') y)
+       GROUP BY status, tag""",
 )
 def prj_inner_select(spark, d):
-    # Two branches of one table become one scan with an OR.
-    o = table(spark, d, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    return o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), total("o_totalprice").alias("total"))
+    """A union of inner selects over two tables, one of them nested again."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    by = lambda p, tag: o.filter(F.col("o_orderpriority") == p).select(
+        F.col("o_orderstatus").alias("status"), F.lit(tag).alias("tag"), F.col("o_totalprice").alias("price")
+    )
+    lines = li.filter(F.col("l_quantity") > 25).filter(F.col("l_discount") < 0.05).select("l_linestatus", F.lit("line"), "l_extendedprice")
+    inner = by("1-URGENT", "urgent").unionAll(lines).unionAll(by("2-HIGH", "high"))
+    return inner.groupBy("status", "tag").agg(F.count(F.lit(1)).alias("n"), total("price").alias("total"))
 
 
 @query(
@@ -500,6 +525,16 @@ def agg_list(spark, d):
     return lists.withColumn("orders", F.array_join("orders", ","))
 
 
+@query(
+    "agg_list_whole",
+    "SELECT o_orderstatus, COUNT(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ';' ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY o_orderstatus",
+)
+def agg_list_whole(spark, d):
+    """Lists of thousands of items, each in one row."""
+    lists = A.list_of(table(spark, d, "orders"), ["o_orderstatus"], ["o_orderdate", "o_orderkey"], F.col("o_orderkey").cast("string"), F.lit(0))
+    return lists.select("o_orderstatus", F.size("items").cast("long").alias("n"), F.array_join("items", ";").alias("orders"))
+
+
 @query(
     "agg_list_struct",
     """SELECT o_custkey, (rn - 1) // 1000 AS part,

@@ -175,6 +175,29 @@ def snk_clustered_sorted(spark, d):
     return spark.read.parquet(path)
 
 
+@query("snk_sorted_files", "SELECT COUNT(*) AS n, 0 AS out_of_order FROM lineitem UNION ALL SELECT COUNT(*), 1 FROM orders")
+def snk_sorted_files(spark, d):
+    """Rows and files out of order: of a sorted output, and of one file in the order of its arrival."""
+    path = sinks.output(table(spark, d, "lineitem"), scratch_path(spark, "in-order"), clustered_by="l_partkey", sorted_by="l_partkey")
+    loose = sinks.output(table(spark, d, "orders").coalesce(1), scratch_path(spark, "loose"))
+    checks = [sinks.file_order(spark, path, "l_partkey"), sinks.file_order(spark, loose, "o_custkey")]
+    counts = [x.agg(F.sum("rows").alias("n"), F.count_if(~c("in_order")).cast("int").alias("out_of_order")) for x in checks]
+    return counts[0].unionAll(counts[1])
+
+
+@query(
+    "snk_partition_files",
+    "SELECT l_returnflag, COUNT(*) AS n, TRUE AS planned FROM lineitem GROUP BY 1",
+)
+def snk_partition_files(spark, d):
+    """Partition values have the files their rows ask for, though 16 tasks held rows of each."""
+    path, rows = scratch_path(spark, "planned"), 5000
+    sinks.output(table(spark, d, "lineitem").repartition(16), path, partitioned_by="l_returnflag", target_rows=rows)
+    stored = spark.read.parquet(path).select("l_returnflag", c("_metadata.file_path").alias("file"))
+    each = stored.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+    return each.select("l_returnflag", "n", (c("files") <= F.ceil(c("n") / rows)).alias("planned"))
+
+
 @query("snk_partitioned", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def snk_partitioned(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")

@@ -306,6 +306,20 @@ def wf_rollup(spark, d):
     return rows.select("master", c("group").alias("group_"), "part", F.array_join("processes", ",").alias("processes"))
 
 
+@query(
+    "wf_rollup_parts",
+    """SELECT master, group_, (rn - 1) // 1000 AS part, string_agg(process, ',' ORDER BY process) AS processes
+       FROM (SELECT *, row_number() OVER (PARTITION BY master, group_ ORDER BY process) AS rn
+             FROM (SELECT o_orderstatus AS master, 'all' AS group_, 'P' || o_orderkey AS process FROM orders)) GROUP BY 1, 2, 3""",
+)
+def wf_rollup_parts(spark, d):
+    """Groups of thousands of names, worked on in ranges and cut into parts in the order of names."""
+    name = F.concat(F.lit("P"), c("o_orderkey").cast("string"))
+    members = table(spark, d, "orders").select(c("o_orderstatus").alias("master"), F.lit("all").alias("group"), name.alias("process"))
+    rows = W.rollup(members, hot_rows=2000)
+    return rows.select("master", c("group").alias("group_"), "part", F.array_join("processes", ",").alias("processes"))
+
+
 @query("wf_targets", f"SELECT script AS name FROM ({PROCESS_SQL}) WHERE s_nationkey = 5 OR script IN ('S1.script', 'S2.script')")
 def wf_targets(spark, d):
     return W.targets(W.processes(parsed(spark, d)), folder="/N5/", names=["S1.script", "S2.script"])

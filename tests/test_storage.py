@@ -152,3 +152,35 @@ def test_size_cache(spark):
     assert {(r.url, r.value, r.failures) for r in got.collect()} == {
         ("a", "1", 0), ("b", "NA", 4), ("c", "", 1), ("d", "9", 1), ("e", "NA", 4)
     }
+
+
+def test_file_inventory_tells_path_and_length(spark, tmp_path):
+    import os
+
+    from rowflow.sources.streams import file_inventory
+
+    (tmp_path / "deep").mkdir()
+    for name, size in (("a.ss", 3), ("deep/b.ss", 0), ("deep/c.ss", 5000), ("d.txt", 9)):
+        (tmp_path / name).write_bytes(b"x" * size)
+        os.utime(tmp_path / name, (1_600_000_000, 1_600_000_000))
+    got = {r.path.split(str(tmp_path))[1]: (r.length, r.age_seconds) for r in file_inventory(spark, str(tmp_path), ".ss").collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"/a.ss": 3, "/deep/b.ss": 0, "/deep/c.ss": 5000}
+    import time
+
+    assert all(abs(age - (time.time() - 1_600_000_000)) < 600 for _, age in got.values())
+
+
+def test_disordered_files_are_found(spark, tmp_path):
+    from rowflow.sources import sinks
+
+    frames = {"up": [None, 1, 2, 2, 9], "down": [1, 3, 2], "null": [1, None, 2], "one": [5], "nulls": [None, None]}
+    for name, values in frames.items():
+        spark.createDataFrame([(v,) for v in values], "v int").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        (row,) = sinks.file_order(spark, f"{tmp_path}/{name}", "v").collect()
+        assert (row.rows, row.in_order) == (len(values), name not in ("down", "null"))
+    spark.range(0, 300_000).select(F.col("id").alias("v")).coalesce(1).write.option("parquet.block.size", 100_000).parquet(f"{tmp_path}/long")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert [(r.rows, r.in_order) for r in sinks.file_order(spark, f"{tmp_path}/long", "v").collect()] == [(300_000, True)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
