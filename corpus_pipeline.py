@@ -22,9 +22,10 @@ from rowflow.session import scratch_path  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the severity model doesn't call toxic; it is fitted on the labels."""
-    model = toxicity.fit(docs, table(spark, folder, "labels"))
-    return toxicity.with_scores(docs, model).where("NOT toxic").select(docs.columns)
+    """Documents that the severity model doesn't call toxic; it is fitted on the labels. Null and
+    empty texts stay, repeated rows stay or go together, other columns are kept, whatever their
+    names; without labels of both kinds everything stays."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -38,12 +39,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Every personal identifier replaced by its kind in brackets."""
+    """Every personal identifier replaced by its kind in brackets, those found by contexts by [ID].
+    Null texts and texts without any stay as they are, repeated rows change alike, other columns
+    are kept; n_chars follows the text where it is there."""
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of the documents in windows of 2048 tokens."""
+    """Pieces of the documents in windows of 2048 tokens. A null text has its end token alone, rows
+    without an id and repeated rows are documents of their own; other columns are not used."""
     return packing.pack(docs, byte_level(tokenizer("byte_bpe_50k.json"), 1))
 
 
