@@ -97,12 +97,22 @@ def read_dated_path(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """Files under ``folder`` by suffix, with their age; file contents are not read."""
+    """Files under ``folder`` by suffix, with their age; file contents are not read. Spark's readers
+    skip empty files, so those are listed by the file system."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{suffix}")
         .load(folder)
+        .select("path", "length", F.unix_timestamp("modificationTime").alias("at"))
     )
-    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("modificationTime")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, empty = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        file = listed.next()
+        if file.getLen() == 0 and file.getPath().getName().endswith(suffix):
+            empty.append((file.getPath().toString(), 0, file.getModificationTime() // 1000))
+    if empty:
+        files = files.unionAll(spark.createDataFrame(empty, "path string, length long, at long"))
+    age = F.unix_timestamp(F.current_timestamp()) - F.col("at")
     return files.select("path", "length", age.alias("age_seconds"))
