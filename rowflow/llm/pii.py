@@ -1,12 +1,13 @@
 """Personal data: base spans by pattern, and identifiers found by bootstrapped contexts.
 
-Base spans (email, ip, card, phone) come from the texts alone. The words around a base span (one
-or two before, two after, or one on either side) are contexts, labelled with the kind most of
-their base spans have; what stands in the same context elsewhere are its instances: a word, a run
-of words of digits, or up to SPAN words between two context words. Contexts and instances form a
-graph that is scored in ROUNDS rounds: an instance is trusted when it is a base span, or as far as
-its best context says; a context is as precise as the mean trust of its distinct instances, and
-counts only with LEAST_SUPPORT trusted ones. A candidate is accepted where the precision, with
+Base spans (email, ip, card, phone) come from the texts alone. They and strict secrets (a word of
+32 or more hexadecimal digits) are the seeds. The words around a seed (one or two before, two
+after, or one on either side) are its contexts; a context with LEAST_SUPPORT distinct seeds is a
+pattern, labelled with the kind most of them have. What stands in a pattern elsewhere are its
+instances: a word, a run of words of digits of any length, or up to SPAN words between two context
+words. Patterns and instances form a graph, which is written once and scored in ROUNDS rounds: an
+instance is trusted when it is a seed, or as far as its best pattern says; a pattern is as precise
+as the mean trust of its distinct instances. A candidate is accepted where the precision, with
 FORM added if it looks loosely like the kind, reaches LEAST_PRECISION; it is added as ``context``.
 
 All of it is DataFrame functions: matches are located by splitting a text at its matches, and
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowflow.session import cut_lineage, scratch_path
+from rowflow.session import cut_lineage, scratch_path, spread
 
 #: The base patterns. Where a run failed from its start it fails from within, so
 #: a match starts at the start of a run or where the last one ended; possessive repeats need no
@@ -32,13 +33,18 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-LEFT = 80  # characters of the gap that a span keeps
 ROUNDS, LEAST_SUPPORT, LEAST_PRECISION = 3, 5, 0.8
 FORM = 0.3  # what the loose form of its kind adds to a candidate's score
-RUN, SPAN, AROUND, LISTED = 8, 4, 80, 20_000
-MASK, EDGE = "\ue000", "\ue001"
+SPAN = 4  # words between two context words
+LISTED = 2000  # so many patterns are looked up as a list, more by a join
+#: What stands for a base span of each kind, for any of them, and for an end of the text.
+CODES, MASK, EDGE = "\ue000\ue001\ue002\ue003", "\ue004", "\ue005"
 CHUNK = 256
-SPANS = "array<struct<start:int,end:int,hit:string,left:string>>"
+SPANS = "array<struct<start:int,end:int,hit:string>>"
+#: A run of words of digits, or any other word.
+NUMBER = r"[+(]*+[0-9][0-9().+/-]*+[,;]?(?!\S)"
+WORD = rf"(?<!\S){NUMBER}(?:\s++{NUMBER})*+|\S+"
+SECRET = r"^[^\p{L}\p{N}]*(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}[^\p{L}\p{N}]*$"
 
 
 def digits_of(hit: Column) -> Column:
@@ -84,7 +90,7 @@ def located(text: Column, pattern: str, hint: str) -> Column:
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(LEFT)).alias("left"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
     def run(pairs: Column, at: Column) -> Column:
@@ -102,125 +108,172 @@ def located(text: Column, pattern: str, hint: str) -> Column:
     return F.when(text.rlike(hint), F.when(F.size(pairs) > 0, found))
 
 
-def all_spans(spans: list[Column]) -> Column:
-    """start and end of all spans in order."""
-    return F.array_sort(F.concat(*(F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for x in spans)))
+def kind_spans() -> Column:
+    """start, end, hit and number of the kind of all base spans in order."""
+
+    def of(i: int) -> Column:
+        return F.transform(KINDS[i], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("kind"), x["hit"].alias("hit")))
+
+    return F.array_sort(F.concat(*map(of, range(len(KINDS)))))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, a SPANS column for each kind, and the text with MASK for their characters."""
+    """doc_id, text_key, a SPANS column for each kind, and two texts without the base spans:
+    ``masked`` has the code of the kind for each of their characters, ``coded`` the code and the
+    hash of the value. Both have the same words."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
     for kind, (pattern, hint, good) in RULES.items():
         spans = located(F.col("text"), pattern, hint)
         rows = rows.withColumn(kind, F.filter(F.coalesce(spans, F.array().cast(SPANS)), lambda x: good(x["hit"])))
-    plain = F.translate("text", MASK, "�")
+    marks = CODES + MASK + EDGE
+    plain = F.translate("text", marks, "\ufffd" * len(marks))
+    codes = F.array(*map(F.lit, CODES))
+
+    def without(stand_in: Callable[[Column, Column], Column]) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            start = F.greatest(state["at"], x["start"])
+            gap = plain.substr(state["at"] + 1, start - state["at"])
+            out = F.when(x["end"] > state["at"], F.concat(state["out"], gap, stand_in(x, x["end"] - start))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
+
+        rest = lambda state: F.concat(state["out"], plain.substr(state["at"] + 1, F.length("text")))
+        return F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+
+    rows = rows.withColumn("spans", kind_spans())
+    masked = without(lambda x, size: F.repeat(F.get(codes, x["kind"]), size))
+    value = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(F.lower(x["hit"])))), 16, "0")
+    coded = without(lambda x, size: F.concat(F.get(codes, x["kind"]), value(x)))
+    some = F.size("spans") > 0
+    return rows.withColumn("masked", F.when(some, masked).otherwise(plain)).withColumn("coded", F.when(some, coded)).drop("text", "spans")
+
+
+def context_key(kind: int, *words: str) -> str:
+    """SQL: the number of a context, by the hashes of its words; 0 where none of them is a word."""
+    none = " AND ".join(f"{w} IN (xxhash64('{MASK}'), xxhash64('{EDGE}'))" for w in words)
+    return f"if({none}, 0L, xxhash64({kind}, {', '.join(words)}))"
+
+
+#: The columns of a word's contexts: number of words that stand in them, and the number.
+CONTEXTS = {
+    "k_l1": (1, context_key(1, "l1")),
+    "k_l2": (1, context_key(2, "l2", "l1")),
+    "k_r2": (1, context_key(3, "r1", "r2")),
+    **{f"k_lr{m}": (m, context_key(4, "l1", f"r{m}")) for m in range(1, SPAN + 1)},
+}
 
-    def step(state: Column, x: Column) -> Column:
-        start = F.greatest(state["at"], x["start"])
-        gap = plain.substr(state["at"] + 1, start - state["at"])
-        out = F.when(x["end"] > state["at"], F.concat(state["out"], gap, F.repeat(F.lit(MASK), x["end"] - start))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
 
-    rest = lambda state: F.concat(state["out"], plain.substr(state["at"] + 1, F.length("text")))
-    rows = rows.withColumn("spans", all_spans([F.col(k) for k in KINDS]))
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return rows.withColumn("masked", F.when(F.size("spans") > 0, masked).otherwise(plain)).drop("text", "spans")
+def words_of(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key, at, the word, the hashes of its neighbours and the numbers of its contexts,
+    one row per word. Runs of words of digits are one word; a neighbour that is a base span is
+    MASK. Each word is hashed once, and only it is carried as text."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("coded", "masked")), F.lit(WORD), F.lit(0))
+    plain = F.transform("w", lambda x: F.xxhash64(x))
+    masked = F.transform("w", lambda x: F.xxhash64(F.regexp_replace(x, rf"[{CODES}][0-9a-f]{{16}}", MASK)))
+    rows = rows.select("doc_id", "text_key", "coded", words.alias("w"))
+    rows = rows.select("doc_id", "text_key", "w", F.when(F.col("coded").isNull(), plain).otherwise(masked).alias("h"))
+    edge, h = F.xxhash64(F.lit(EDGE)), F.col("h")
+
+    def after(by: int) -> Column:
+        return F.concat(F.slice(h, F.lit(by + 1), F.greatest(F.size(h) - by, F.lit(0))), F.array_repeat(edge, by))
+
+    columns = {"w": F.col("w"), "l2": F.concat(F.array(edge, edge), h), "l1": F.concat(F.array(edge), h)}
+    columns |= {f"r{m}": after(m) for m in range(1, SPAN + 1)}
+    zipped = F.arrays_zip(*(x.alias(n) for n, x in columns.items()))
+    each = rows.select("doc_id", "text_key", F.posexplode(zipped).alias("at", "x")).select("doc_id", "text_key", "at", "x.*").where("w IS NOT NULL")
+    return each.selectExpr("*", *(f"{key} AS {name}" for name, (_, key) in CONTEXTS.items()))
 
 
-def context_key(kind: str, *words: str) -> str:
-    """SQL: the number of a context; 0 where none of its words is a word."""
-    none = " AND ".join(f"{w} IN ('{MASK}', '{EDGE}')" for w in words)
-    return f"if({none}, 0L, xxhash64('{kind}', {', '.join(words)}))"
+def trimmed(value: str) -> str:
+    """SQL: ``value`` without the signs around it; codes stay."""
+    kept = f"\\\\p{{L}}\\\\p{{N}}{CODES}"
+    return f"regexp_replace({value}, '^[^{kept}+]+|[^{kept}]+$', '')"
 
 
 def seeds_of(rows: DataFrame) -> DataFrame:
-    """key, value and kind of every base span that begins a word, for each of its contexts."""
-
-    def of(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["hit"]).alias("value"), F.lit(kind).alias("kind")))
-
-    spans = F.concat(*map(of, KINDS))
-
-    def around(x: Column) -> Column:
-        size = F.length("masked")
-        before = F.col("masked").substr(F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
-        after = F.col("masked").substr(x["end"] + 1, F.lit(AROUND))
-        before = F.when(x["start"] <= AROUND, F.concat(F.lit(f"{EDGE} {EDGE} "), before)).otherwise(before)
-        after = F.when(x["end"] + AROUND >= size, F.concat(after, F.lit(f" {EDGE} {EDGE}"))).otherwise(after)
-        return F.struct(x["value"].alias("value"), x["kind"].alias("kind"), before.alias("before"), after.alias("after"))
-
-    each = rows.select(F.explode(F.transform(spans, around)).alias("s")).select("s.*")
-    for side in ("before", "after"):
-        each = each.withColumn(side, F.regexp_replace(F.lower(side), f"{MASK}+", MASK))
-    each = each.withColumn("before", F.regexp_replace("before", rf"(?<=\s)[^\p{{L}}\p{{N}}\s{MASK}{EDGE}]+$", "")).where(r"before rlike '\\s$'")
-    left, right = r"(\S+)\s+(\S+)\s+$", r"^\S*\s+(\S+)\s+(\S+)"
-    words = [F.regexp_extract("before", left, 1), F.regexp_extract("before", left, 2), F.regexp_extract("after", right, 1), F.regexp_extract("after", right, 2)]
-    each = each.select("value", "kind", *(w.alias(n) for w, n in zip(words, ("l2", "l1", "r1", "r2"))))
-    keys = F.expr(f"array({', '.join(context_key(k, *w) for k, w in (('L1', ['l1']), ('L2', ['l2', 'l1']), ('R2', ['r1', 'r2']), ('LR', ['l1', 'r1'])))})")
-    return each.select("value", "kind", F.explode(keys).alias("key")).where("key != 0")
-
-
-def occurrences(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
-    """doc_id, text_key, at (word), words, key and value of what stands in a context, other than
-    base spans, where ``by`` (key, or name: the hash of the value) is in ``wanted(by)``. A
-    candidate is a word or a run of words of digits; between two words it has up to SPAN words."""
-    number = r"rlike '^[+(]*[0-9][0-9().+/-]*[,;.]?$'"
-    run = f"if(get(w, i) {number}, aggregate(sequence(1, {RUN - 1}), 1, (m, k) -> if(m = k AND coalesce(get(w, i + k) {number}, false), m + 1, m)), 1)"
-    value = r"regexp_replace(array_join(slice(w, i + 1, x.m), ' '), '^[^\\p{L}\\p{N}+]+|[^\\p{L}\\p{N}]+$', '')"
-    one = lambda kind, m, *at: f"struct({m} AS m, {context_key(kind, *(f'get(w, i + ({a}))' for a in at))} AS key)"
-    found = [one("L1", "r", "-1"), one("L2", "r", "-2", "-1"), one("R2", "r", "r", "r + 1"), one("LR", "r", "-1", "r"), *(one("LR", m, "-1", m) for m in range(1, SPAN + 1))]
-    count = wanted.limit(LISTED + 1).count()
-    listed = count <= LISTED and ", ".join(f"{r[0]}L" for r in wanted.collect()) or "0L"
-    test = "true" if count > LISTED else f"x.key IN ({listed})" if by == "key" else f"xxhash64({value}) IN ({listed})"
-    in_run = f"transform(array({run}), r -> filter(array({', '.join(found)}), x -> {test}))"
-    each = f"if(contains(get(w, i), '{MASK}'), NULL, transform(flatten({in_run}), x -> struct(i AS at, x.m AS words, x.key AS key, {value} AS value)))"
-    words = F.concat(F.array(F.lit(EDGE), F.lit(EDGE)), F.regexp_extract_all(F.regexp_replace(F.lower("masked"), f"{MASK}+", MASK), F.lit(r"\S+"), F.lit(0)), F.array(F.lit(EDGE), F.lit(EDGE)))
-    rows = rows.select("doc_id", "text_key", words.alias("w")).where("size(w) > 4")
-    rows = rows.select("doc_id", "text_key", F.explode(F.expr(f"flatten(filter(transform(sequence(2, size(w) - 3), i -> {each}), y -> y IS NOT NULL))")).alias("x")).select("doc_id", "text_key", "x.*")
-    rows = rows.where(f"key != 0 AND value != '' AND NOT contains(value, '{MASK}') AND NOT contains(value, '{EDGE}')").withColumn("name", F.xxhash64("value"))
-    return rows.join(wanted, by, "left_semi") if count > LISTED else rows
+    """key, value and kind of every seed, for each of its contexts."""
+    some = rows.where(F.col("coded").isNotNull() | F.col("masked").rlike("[0-9a-fA-F]{32}"))
+    code = F.regexp_extract("w", rf"^[^\p{{L}}\p{{N}}{CODES}]*([{CODES}][0-9a-f]{{16}})", 1)
+    each = words_of(some).withColumn("code", code).where((F.col("code") != "") | F.col("w").rlike(SECRET))
+    names = F.create_map(*(F.lit(x) for c, k in zip(CODES, KINDS) for x in (c, k)))
+    kind = F.coalesce(F.try_element_at(names, F.substring("code", 1, 1)), F.lit("secret"))
+    value = F.when(F.col("code") != "", F.col("code")).otherwise(F.expr(trimmed("w")))
+    keys = F.array("k_l1", "k_l2", "k_r2", "k_lr1")
+    return each.select(value.alias("value"), kind.alias("kind"), F.explode(keys).alias("key")).where("key != 0")
+
+
+def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """doc_id, text_key, at (word), words, key and value of what stands in ``patterns(key)``, other
+    than base spans. The value of several words is the hash of them: they have no loose form."""
+    count = patterns.limit(LISTED + 1).count()
+    each = words_of(rows)
+    if count <= LISTED:  # a bounded list, looked up where the word is read
+        listed = ", ".join(f"{r[0]}L" for r in patterns.select("key").collect()) or "0L"
+        each = each.where(" OR ".join(f"{name} IN ({listed})" for name in CONTEXTS))
+    held = []
+    for name, (m, _) in CONTEXTS.items():
+        inner = [f"r{i}" for i in range(1, m)]
+        several = f"concat('#', hex(xxhash64(w, {', '.join(inner)})))" if inner else trimmed("w")
+        whole = " AND ".join(f"{x} NOT IN (xxhash64('{MASK}'), xxhash64('{EDGE}'))" for x in inner) or "true"
+        held.append(f"if({whole}, struct({m} AS words, {name} AS key, {several} AS value), NULL)")
+    bad = " AND ".join(f"NOT contains(w, '{x}')" for x in CODES)
+    each = each.where(bad).selectExpr("doc_id", "text_key", "at", f"explode(array({', '.join(held)})) AS x")
+    each = each.select("doc_id", "text_key", "at", "x.*").where("key != 0 AND value != ''")
+    return each.where(f"key IN ({listed})") if count <= LISTED else each.join(patterns.select("key"), "key", "left_semi")
 
 
 def form(kind: Column, value: Column) -> Column:
     """1 where a value has the loose form of the kind, else 0."""
     number = value.rlike(r"^[0-9+() ./-]+$")
     size = F.length(digits_of(value))
+    secret = (F.length(value) >= 16) & value.rlike(r"^[0-9a-z_/+=-]+$") & value.rlike("[0-9]") & value.rlike("[a-z]")
     loose = F.when(kind == "email", value.contains("@")).when(kind == "ip", value.rlike(r"^[0-9a-f]*([.:][0-9a-f]*){2,}$")).when(kind == "card", number & (size >= 8))
-    return loose.otherwise(number & (size >= 5)).cast("double")
+    return loose.when(kind == "secret", secret).otherwise(number & (size >= 5)).cast("double")
 
 
-def scored(edges: DataFrame, accepted: DataFrame) -> DataFrame:
-    """What stands in an accepted context, where precision and form together suffice."""
+def with_scores(edges: DataFrame, precise: DataFrame) -> DataFrame:
+    """``edges`` in patterns precise enough, with what precision and form together say of them."""
     score = F.col("precision") + FORM * form(F.col("kind"), F.col("value"))
-    return edges.join(accepted, "key").withColumn("score", F.least(score, F.lit(1.0))).where(score >= LEAST_PRECISION)
-
-
-def accepted_contexts(rows: DataFrame) -> DataFrame:
-    """key, precision and kind of the contexts that count after ROUNDS rounds."""
-    support = cut_lineage(seeds_of(rows).groupBy("key", "value").agg(F.max("kind").alias("kind")).withColumn("trust", F.lit(1.0)))
-    known = None
-    for turn in range(ROUNDS):
-        contexts = cut_lineage(support.groupBy("key").agg(F.sum("trust").alias("support"), F.mode("kind", True).alias("kind")).where(F.col("support") >= LEAST_SUPPORT))
-        # a sketch leaves out contexts far too common; the others are counted
-        many = occurrences(rows, contexts.select("key"), "key").groupBy("key").agg(F.approx_count_distinct("value", 0.05).alias("n"))
-        rare = contexts.join(many, "key", "left").where(F.col("support") >= (LEAST_PRECISION - FORM) * 0.7 * F.coalesce("n", F.lit(0)))
-        rare = cut_lineage(rare.select("key", "support", "kind"))
-        edges = cut_lineage(occurrences(rows, rare.select("key"), "key").select("key", "value").distinct())
-        both = support.select("key", "value", "trust").join(rare, "key", "left_semi").unionByName(edges.withColumn("trust", F.lit(0.0)))
-        precise = both.groupBy("key", "value").agg(F.max("trust").alias("trust")).groupBy("key").agg(F.avg("trust").alias("precision"))
-        accepted = cut_lineage(rare.join(precise.where(F.col("precision") >= LEAST_PRECISION - FORM), "key").select("key", "precision", "kind"))
-        if turn + 1 == ROUNDS:
-            break
-        induced = scored(edges, accepted).groupBy("value").agg(F.max("score").alias("trust"), F.max_by("kind", "score").alias("kind"))
-        induced = cut_lineage(induced.withColumn("name", F.xxhash64("value")))
-        if (induced.join(known, "name", "left_anti") if known else induced).isEmpty():
-            break
-        known = induced.select("name")
-        seen = occurrences(rows, known, "name").select("key", "name", "value").distinct().join(induced.select("name", "trust", "kind"), "name")
-        support = support.where("trust = 1.0 AND key IS NOT NULL").unionByName(seen.select("key", "value", "kind", "trust"))
-        support = cut_lineage(support.groupBy("key", "value").agg(F.max("kind").alias("kind"), F.max("trust").alias("trust")))
-    return accepted
+    good = precise.where(F.col("precision") >= LEAST_PRECISION - FORM)
+    return edges.join(good, "key").withColumn("score", F.least(score, F.lit(1.0))).where(F.col("score") >= LEAST_PRECISION)
+
+
+def scored_graph(seeds: DataFrame, edges: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """key, precision and kind of every pattern after ``rounds`` rounds over the graph:
+    ``seeds(key, value)``, ``edges(key, value)`` distinct, ``patterns(key, kind)``."""
+    start = seeds.select("key", "value").withColumn("seed", F.lit(1.0)).unionByName(edges.withColumn("seed", F.col("value").rlike(SECRET).cast("double")))
+    start = cut_lineage(start.groupBy("key", "value").agg(F.max("seed").alias("seed")))
+    trust = None
+    for turn in range(rounds):
+        if trust is None:
+            known = start.withColumn("trust", F.col("seed"))
+        else:
+            known = start.join(trust, "value", "left").withColumn("trust", F.greatest("seed", F.coalesce("trust", F.lit(0.0))))
+        precise = known.groupBy("key").agg(F.avg("trust").alias("precision")).join(patterns.select("key", "kind"), "key")
+        precise = cut_lineage(precise)
+        if turn + 1 < rounds:
+            trust = cut_lineage(with_scores(edges, precise).groupBy("value").agg(F.max("score").alias("trust")))
+    return precise
+
+
+def found_instances(rows: DataFrame) -> DataFrame | None:
+    """doc_id, text_key, at and words of the accepted candidates; None if there is no pattern."""
+    seeds = cut_lineage(seeds_of(rows).distinct())
+    patterns = seeds.groupBy("key").agg(F.count_distinct("value").alias("support"), F.mode("kind", True).alias("kind"))
+    patterns = cut_lineage(patterns.where(F.col("support") >= LEAST_SUPPORT))
+    if patterns.isEmpty():
+        return None
+    # a sketch leaves out patterns far too common, before their instances are written
+    many = occurrences(rows, patterns).groupBy("key").agg(F.approx_count_distinct("value", 0.05).alias("n"))
+    rare = cut_lineage(patterns.join(many, "key").where(F.col("support") >= (LEAST_PRECISION - FORM) * 0.7 * F.col("n")).select("key", "kind"))
+    if rare.isEmpty():
+        return None
+    path = scratch_path(rows.sparkSession, "pattern-graph")
+    occurrences(rows, rare).write.parquet(path)
+    graph = rows.sparkSession.read.parquet(path)
+    edges = cut_lineage(graph.select("key", "value").distinct())
+    precise = scored_graph(seeds.join(rare, "key", "left_semi"), edges, rare)
+    return with_scores(graph, precise).select("doc_id", "text_key", "at", "words")
 
 
 def listed(name: str, spans: Column) -> Column:
@@ -230,16 +283,15 @@ def listed(name: str, spans: Column) -> Column:
 def found_in_context(rows: DataFrame) -> DataFrame:
     """doc_id, text_key and ``context``: the spans the contexts add, in order; of spans that
     overlap the longest from the first on."""
-    accepted = accepted_contexts(rows)
-    if accepted.isEmpty():
+    new = found_instances(rows)
+    if new is None:
         return rows.select("doc_id", "text_key", F.array().cast("array<struct<start:int,end:int>>").alias("context")).where("false")
-    new = scored(occurrences(rows, accepted.select("key"), "key"), accepted)
     new = cut_lineage(new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "words")).alias("found")).withColumnsRenamed({"doc_id": "other_id", "text_key": "other_key"}))
     texts = rows.join(new, rows.doc_id.eqNullSafe(new.other_id) & (rows.text_key == new.other_key)).dropDuplicates(["doc_id", "text_key"])
-    texts = texts.withColumn("tokens", located(F.col("masked"), r"\S+", r"\S"))
+    texts = texts.withColumn("tokens", located(F.col("masked"), WORD, r"\S"))
 
     def span(x: Column) -> Column:
-        first, last = F.get("tokens", x["at"] - 2), F.get("tokens", x["at"] + x["words"] - 3)
+        first, last = F.get("tokens", x["at"]), F.get("tokens", x["at"] + x["words"] - 1)
         start = first["start"] + F.length(F.regexp_extract(first["hit"], r"^[^\p{L}\p{N}+]*", 0))
         return F.struct(start.alias("start"), (last["end"] - F.length(F.regexp_extract(last["hit"], r"[^\p{L}\p{N}]*$", 0))).alias("end"))
 
@@ -253,13 +305,14 @@ def found_in_context(rows: DataFrame) -> DataFrame:
 
 def stored_spans(docs: DataFrame) -> DataFrame:
     """``base_spans`` as a written table, as it is used more than once."""
-    rows, path = base_spans(docs), scratch_path(docs.sparkSession, "spans")
+    rows, path = base_spans(spread(docs)), scratch_path(docs.sparkSession, "spans")
     rows.write.parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, how many base spans of each kind, the digest of the base spans, and all spans."""
+    """doc_id, how many base spans of each kind and found by contexts, the digest of the base spans,
+    and all spans."""
     rows = stored_spans(docs)
     added = found_in_context(rows).withColumnsRenamed({"doc_id": "other_id", "text_key": "other_key"})
     same = rows.doc_id.eqNullSafe(added.other_id) & (rows.text_key == added.other_key)
@@ -269,6 +322,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.size(context).cast("long").alias("n_context"),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, context), ",").alias("spans"),
     )
@@ -280,7 +334,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     All spans are located in the original text; those that overlap become one, named after the
     first. Null texts stay null."""
     rows = stored_spans(docs)
-    added = found_in_context(rows).withColumnsRenamed({"doc_id": "redact id", "text_key": "redact key"})
+    added = found_in_context(rows).withColumnsRenamed({"doc_id": "redact id", "text_key": "redact key", "context": "redact context"})
     keyed = docs.withColumn("redact own", F.xxhash64("text"))
     keyed = keyed.join(added, F.col("doc_id").eqNullSafe(F.col("redact id")) & (F.col("redact own") == F.col("redact key")), "left")
     text, labels = F.col("text"), F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, "id")))
@@ -294,7 +348,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
 
     bases = (placed(F.filter(located(text, pattern, hint), lambda x: good(x["hit"])), i + 1) for i, (pattern, hint, good) in enumerate(RULES.values()))
-    context = F.transform("context", lambda x: F.struct(x["start"], x["end"], F.lit("").alias("hit"), F.lit("").alias("left")))
+    context = F.transform("redact context", lambda x: F.struct(x["start"], x["end"], F.lit("").alias("hit")))
     keyed = keyed.withColumn("redact spans", F.array_sort(F.concat(*bases, placed(context, len(KINDS) + 1))))
     rest = lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -184,3 +184,64 @@ def test_repeats_of_equal_rows_and_no_rows(spark):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in R.remove_repeats(docs).collect())
     assert got == sorted([(5, 0, 0), *[r[1:4] for r in plain_repeats([(1, text), (1, text)], 100)]])
     assert R.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_secrets_are_learned_from_their_context(spark):
+    """A secret without the strict form is found where strict ones stand; other long words are not."""
+    from rowflow.llm import pii
+
+    rng = random.Random(2)
+    word = lambda: "w" + rng.choice("abcdefgh") * rng.randint(1, 9) + rng.choice("xyz")
+    rows = [(i, f'{word()} {word()} token = "{rng.getrandbits(160):040x}" {word()} {word()}') for i in range(12)]
+    rows += [(20, 'or token = "Zx81-weaker_secret77" here'), (21, f"commit {rng.getrandbits(160):040x} stays"), (22, None), (23, "")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, context string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for i, text in rows[:13]:
+        at = text.index('"') + 1
+        assert got[i].spans == f"context:{at}:{text.rindex(chr(34))}" and got[i].n_context == 1
+    assert all(got[i].n_context == 0 and got[i].spans == "" for i in (21, 22, 23))
+    masked = {r.doc_id: (r.text, r.context) for r in pii.redacted(docs).collect()}
+    assert masked[20] == ('or token = "[ID]" here', "c") and masked[22] == (None, "c")
+
+
+def test_graph_scores_against_plain(spark):
+    from rowflow.llm import pii
+
+    rng = random.Random(6)
+    patterns = {k: rng.choice(["email", "phone", "secret"]) for k in range(12)}
+    seeds = {(k, f"s{rng.randint(0, 30)}") for k in patterns for _ in range(rng.randint(1, 12))}
+    values = [f"a{i}@b" for i in range(8)] + [f"+1 {i}55 123" for i in range(8)] + [f"plain{i}" for i in range(8)] + [f"{rng.getrandbits(128):032x}" for _ in range(4)]
+    edges = {(k, rng.choice(values)) for k in patterns for _ in range(rng.randint(0, 6))}
+
+    def loose(kind, v):
+        digits = sum(c.isdigit() for c in v)
+        if kind == "email":
+            return "@" in v
+        if kind == "secret":
+            return len(v) >= 16 and all(c.isalnum() or c in "_/+=-" for c in v) and digits > 0 and any(c.isalpha() for c in v)
+        return digits >= 5 and all(c in "0123456789+() ./-" for c in v)
+
+    start = {(k, v): float(len(v) == 32 and not v.startswith("plain")) for k, v in edges} | {s: 1.0 for s in seeds}
+    trust, precision = {}, {}
+    for _ in range(pii.ROUNDS):
+        held = {}
+        for (k, v), t in start.items():
+            held.setdefault(k, []).append(max(t, trust.get(v, 0.0)))
+        precision = {k: sum(x) / len(x) for k, x in held.items()}
+        trust = {}
+        for k, v in edges:
+            score = min(1.0, precision[k] + pii.FORM * loose(patterns[k], v))
+            if precision[k] >= pii.LEAST_PRECISION - pii.FORM and score >= pii.LEAST_PRECISION:
+                trust[v] = max(trust.get(v, 0.0), score)
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    got = pii.scored_graph(frame(seeds, "key long, value string"), frame(edges, "key long, value string"), frame(patterns.items(), "key long, kind string"))
+    got = {r.key: r.precision for r in got.collect()}
+    assert got.keys() == precision.keys() and all(abs(got[k] - p) < 1e-9 for k, p in precision.items())
+
+
+def test_clashing_columns_of_the_toxicity_stage(spark):
+    from rowflow.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "a b", True, 2.0, 5), (2, None, None, None, None)], "doc_id long, text string, toxic boolean, severity double, grade int")
+    kept = toxicity.without_toxic(docs, toxicity.Model())
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
