@@ -17,6 +17,7 @@ and nothing is toxic. Repeated rows and null ids are scored like any other.
 from __future__ import annotations
 
 import functools
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowflow.llm.ragged import SegmentTable, numbers_of_texts
+from rowflow.session import scratch_path
 
 PER_CLASS = 4096
 MOST_FEATURES = 4096
@@ -33,6 +35,7 @@ LEAST_EVIDENCE = 30.0
 LEAST_CUT = 0.15
 CLEAN_ABOVE = 0.002
 STARTS = (4, 5, 6)
+TABLE_BITS = 18  # distinct words that a worker remembers, as a power of two
 GRADES = 4
 SCHEMA = "severity double, p_toxic double, grade int, toxic boolean"
 
@@ -99,18 +102,28 @@ def words(codes: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _tables: dict[tuple[str, ...], SegmentTable] = {}
 
 
+def _drop_other_tables() -> None:
+    """A reused worker may still hold the table and the tokenizer of another operator."""
+    for name, kept in (("bytelevel", "table"), ("pieces", "_table"), ("viterbi", "counter")):
+        module = sys.modules.get(f"rowflow.llm.{name}")
+        clear = getattr(getattr(module, kept, None), "cache_clear", None)
+        if clear:
+            clear()
+
+
 def features_of_texts(texts: Iterable[str], features: list[str]) -> Iterator[np.ndarray]:
     """The numbers of the features of every text, one for each time they occur."""
     key = tuple(features)
     if key not in _tables:
         _tables.clear()
+        _drop_other_tables()
         number = {x: i for i, x in enumerate(features)}
 
         def answer(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
             lists = [[number[x] for x in (w, *(w[:n] + "*" for n in STARTS if len(w) > n)) if x in number] for w in found]
             return np.array([i for x in lists for i in x], dtype=np.uint32), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
 
-        _tables[key] = SegmentTable(answer)
+        _tables[key] = SegmentTable(answer, bits=TABLE_BITS)
     return numbers_of_texts((x.lower() for x in texts), words, _tables[key])
 
 
@@ -149,7 +162,9 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows = sample(docs, labels, per_class).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "toxicity-sample")
+    sample(docs, labels, per_class).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    rows = spark.read.parquet(path)  # read several times below
     features = chosen_features(rows)
     if not features:
         return Model()
@@ -186,8 +201,12 @@ def scores(texts: Iterable[str], model: Model) -> Iterator[tuple[float, float, i
         yield float(above.sum()), float(above[0]), int(np.argmax(each)), bool(above[0] > model.cut)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with the columns of SCHEMA."""
+MARK = "toxicity scores of the row"
+
+
+def marked(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with the columns of SCHEMA in the struct MARK, which clashes with no
+    column of theirs."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     @F.pandas_udf(f"struct<{', '.join(c.replace(' ', ': ') for c in SCHEMA.split(', '))}>")
@@ -195,5 +214,15 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         for part in parts:
             yield pd.DataFrame(list(scores(part.tolist(), model)), columns=names)
 
-    mark = "toxicity scores of the row"
-    return docs.withColumn(mark, score(F.coalesce("text", F.lit("")))).select(*docs.columns, *(F.col(f"`{mark}`.{n}").alias(n) for n in names))
+    return docs.withColumn(MARK, score(F.coalesce("text", F.lit(""))))
+
+
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with the columns of SCHEMA."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return marked(docs, model).select(*docs.columns, *(F.col(f"`{MARK}`.{n}").alias(n) for n in names))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't call toxic, with their columns alone."""
+    return marked(docs, model).where(f"NOT `{MARK}`.toxic").select(*(F.col(f"`{c}`") for c in docs.columns))
