@@ -14,6 +14,8 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowflow.session import cut_lineage
+
 BLOCK, ROW = "__block", "__row"
 
 
@@ -157,13 +159,17 @@ def rank(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    block: Column,
+    block: Column | None = None,
     names: tuple[str, str] = ("rank", "dense_rank"),
     descending: bool = False,
 ) -> DataFrame:
-    """Rank and dense rank. ``block`` must be a function of the order columns that grows with
-    them (a struct of the first and a range of the second, say), so rows that tie never lie
-    in two blocks; ``descending`` is the direction of all order columns and of the blocks."""
+    """Rank and dense rank; ``descending`` is the direction of all order columns.
+
+    Without ``block`` see :func:`_rank_by_range`. A ``block`` must be a function of the order
+    columns that grows with them (a struct of the first and a range of the second, say), so rows
+    that tie never lie in two blocks, and few enough per key for one window."""
+    if block is None:
+        return _rank_by_range(df, keys, order, names, descending)
     base = df.withColumn(BLOCK, block)
     ties = F.struct(*[c for c in order])
     folded = (
@@ -196,6 +202,39 @@ def rank(
     )
 
 
+def _rank_by_range(df: DataFrame, keys: list[str], order: list[Column], names: tuple[str, str], descending: bool) -> DataFrame:
+    """Ranks as a prefix sum on two levels. Rows that tie become one counted cell; the cells are
+    sampled and dealt to tasks by range of (keys, order), so a key of any size lies in as many
+    ranges as it needs. Per key only one summary per range meets in a window, and the cells of
+    a range are numbered from what the ranges before it amount to. The cells' ranks are joined
+    to their rows, where a value with very many ties is a skewed key that Spark splits."""
+    turn = [(lambda x: x.desc()) if descending else (lambda x: x.asc())] * len(order)
+    cols = [f"__o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(cols, order)))
+    cells = rows.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("__n"))
+    by = [F.col(k) for k in keys] + [t(F.col(c)) for t, c in zip(turn, cols)]
+    cells = cut_lineage(cells.repartitionByRange(*by).withColumn(BLOCK, F.spark_partition_id()))
+    sums = cells.groupBy(*keys, BLOCK).agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__cells"))
+    across = _before(Window.partitionBy(*keys).orderBy(BLOCK))
+    seeds = sums.select(
+        *(F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)),
+        F.col(BLOCK).alias("__range"),
+        *(F.coalesce(F.sum(c).over(across), F.lit(0)).alias(c) for c in ("__rows", "__cells")),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__s{i}")) for i, k in enumerate(keys)] + [F.col(BLOCK) == F.col("__range")]
+    seeded = cells.join(seeds, same)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*(t(F.col(c)) for t, c in zip(turn, cols)))
+    ranked = seeded.select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)),
+        *(F.col(c).alias(f"__c{i}") for i, c in enumerate(cols)),
+        (F.col("__rows") + F.coalesce(F.sum("__n").over(_before(inside)), F.lit(0)) + 1).alias(names[0]),
+        (F.col("__cells") + F.row_number().over(inside)).alias(names[1]),
+    )
+    match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    match += [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(cols)]
+    return rows.join(ranked, match).select(*df.columns, *names)
+
+
 def quantile_block(df: DataFrame, column: str, blocks: int = 256) -> Column:
     """A block expression from approximate quantiles of a numeric order column. Only the
     ``blocks - 1`` boundaries come to the driver."""

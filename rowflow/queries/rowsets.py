@@ -107,8 +107,7 @@ def rs_reduce_topn(spark, d):
 )
 def rs_reduce_rank(spark, d):
     l = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
-    block = F.struct("l_quantity", F.floor(c("l_suppkey") / 16).alias("stripe"))
-    ranked = O.rank(l, ["l_returnflag"], [c("l_quantity"), c("l_suppkey")], block, descending=True)
+    ranked = O.rank(l, ["l_returnflag"], [c("l_quantity"), c("l_suppkey")], descending=True)
     return ranked.drop("l_suppkey")
 
 

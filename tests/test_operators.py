@@ -65,6 +65,20 @@ def test_rank_equals_plain_window(skewed, descending):
     same(got, skewed.select("*", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense_rank")))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_rank_by_range(spark, skewed, descending):
+    """Ties and nulls; and one key that has only distinct values, which lies in several ranges."""
+    turn = (lambda x: x.desc()) if descending else (lambda x: x.asc())
+    one = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("v"), (F.col("id") % 7).alias("w"))
+    more = spark.createDataFrame([(None, 1, None), (None, 1, None), (None, None, 2), ("z", 3, 3)], "k string, v long, w long")
+    for rows in (skewed, one.unionByName(more), one.limit(0)):
+        w = Window.partitionBy("k").orderBy(turn(F.col("v")), turn(F.col("w")))
+        got = O.rank(rows, ["k"], [F.col("v"), F.col("w")], descending=descending)
+        same(got, rows.select("*", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense_rank")))
+    cells = O.rank(one, ["k"], [F.col("v")], descending=descending)
+    assert cells.filter(F.col("rank") != (20_000 - F.col("v") if descending else F.col("v") + 1)).isEmpty()
+
+
 def test_quantile_blocks_follow_the_order(skewed):
     block = O.quantile_block(skewed, "pos", 8)
     sizes = skewed.groupBy(block.alias("b")).agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
