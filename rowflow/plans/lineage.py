@@ -221,8 +221,12 @@ def link(value: Column, at: Column, prefix: str, suffix: str = "?property=info")
 def resolved(declared: DataFrame) -> DataFrame:
     """``(script, key, value)`` of ``declared(script, pos, key, value)``: the evaluated value of the last
     line of each key, if that line is understood."""
-    done = resolve_declares(declared.select("script", "key", "value", "pos"))
-    last = done.groupBy("script", "key").agg(F.max_by(F.struct("value", "understood"), "pos").alias("l"))
+    return last_understood(resolve_declares(declared.select("script", "key", "value", "pos")))
+
+
+def last_understood(lines: DataFrame) -> DataFrame:
+    """``(script, key, value)`` of the last line of each key among evaluated declarations."""
+    last = lines.groupBy("script", "key").agg(F.max_by(F.struct("value", "understood"), "pos").alias("l"))
     return last.filter("l.understood").select("script", "key", "l.value")
 
 

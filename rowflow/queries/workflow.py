@@ -108,6 +108,78 @@ def wf_project_edges(spark, d):
     return P.build(source(spark, d, CONFIGS, "supplier"), scripts, defaults).edges.select("script", "src", "dst")
 
 
+PROJECT_DECLARED = """SELECT concat('S', CAST(s_suppkey AS STRING), '.script') AS script, concat(
+  '#DECLARE Day DateTime = DateTime.Parse("2018-03-04");', chr(10), '#DECLARE Root string = "@@Base@@";', chr(10),
+  '#DECLARE Source string = @Root + "/in_" + @Day.AddDays(', CAST(s_suppkey % 9 AS STRING), ').ToString("yyyyMMdd") + ".ss";', chr(10),
+  CASE WHEN s_suppkey % 5 = 0 THEN '#DECLARE Target string = Custom(@Source);' ELSE concat('#DECLARE Target string = "@@Out@@/', s_name, '.ss";') END, chr(10),
+  'In = SELECT Id FROM (SSTREAM @Source);', chr(10), 'OUTPUT In TO SSTREAM @Target;') AS text FROM supplier"""
+
+
+def project(spark, d, scripts=PROJECT_DECLARED):
+    defaults = table(spark, d, "region").agg(F.lit("/default").alias("Base"), F.lit("/out").alias("Out"))
+    defaults = defaults.unpivot([], ["Base", "Out"], "key", "value")
+    return P.build(source(spark, d, CONFIGS, "supplier"), source(spark, d, scripts, "supplier"), defaults)
+
+
+@query(
+    "wf_project_nodes",
+    """SELECT 'S' || s_suppkey || '.script' AS script, name, type, colour FROM supplier,
+         (VALUES ('SSTREAM_@Source', 'input', 'greenyellow'), ('In', NULL, NULL), ('@Target', 'output', 'tomato')) t(name, type, colour)""",
+)
+def wf_project_nodes(spark, d):
+    return project(spark, d).nodes().select("script", "name", "type", c("fillcolor").alias("colour"))
+
+
+@query(
+    "wf_project_links",
+    f"""SELECT 'S' || s_suppkey || '.script' AS script, 'SSTREAM_@Source' AS name, 'https://portal.example/' || CASE WHEN s_suppkey % 7 <> 0 AND {LISTED}
+         THEN '/b/' || s_name || '/' || s_suppkey ELSE '/default' END || '/in_' || strftime(DATE '2018-03-04' + CAST(s_suppkey % 9 AS INT), '%Y%m%d') || '.ss?property=info' AS href
+       FROM supplier UNION ALL
+       SELECT 'S' || s_suppkey || '.script', '@Target', 'https://portal.example//out/' || s_name || '.ss?property=info' FROM supplier WHERE s_suppkey % 5 <> 0""",
+)
+def wf_project_links(spark, d):
+    """Job values, then declarations built on them, then links; a target that is not understood has none."""
+    return project(spark, d).links(F.lit("2018-12-12").cast("timestamp_ntz"), "https://portal.example/")
+
+
+ON_SQL = f"""p AS (SELECT * FROM ({PROCESS_SQL}) WHERE s_suppkey % 4 <> 0),
+  needs AS (SELECT CASE WHEN s_nationkey = 3 THEN 'None' ELSE 'E' || (s_suppkey + 1) END AS event, script FROM p
+    UNION SELECT 'N' || s_nationkey, script FROM p WHERE s_nationkey <> 3),
+  dep AS (SELECT script AS src, event AS dst FROM p UNION SELECT event, script FROM needs)"""
+
+
+@query(
+    "wf_project_trace",
+    f"""WITH RECURSIVE {ON_SQL}, seeds AS (SELECT script AS name FROM p WHERE s_nationkey = 5),
+       below AS (SELECT name FROM seeds UNION SELECT dst FROM below JOIN dep ON src = name),
+       above AS (SELECT name FROM seeds UNION SELECT src FROM above JOIN dep ON dst = name)
+       SELECT src, dst FROM dep WHERE src IN (SELECT name FROM below) UNION SELECT src, dst FROM dep WHERE dst IN (SELECT name FROM above)""",
+)
+def wf_project_trace(spark, d):
+    return project(spark, d).trace(folder="/N5/")[1].select("src", "dst")
+
+
+@query(
+    "wf_project_contract",
+    f"""WITH {ON_SQL} SELECT p.script AS src, needs.script AS dst FROM needs JOIN p ON p.event = needs.event
+       UNION SELECT event, script FROM needs WHERE event NOT IN (SELECT event FROM p)""",
+)
+def wf_project_contract(spark, d):
+    return project(spark, d).contracted()[1]
+
+
+@query(
+    "wf_project_failures",
+    """SELECT '/cfg/N' || s_nationkey AS place, 'not well-formed' AS message, COUNT(*) AS n FROM supplier WHERE s_acctbal < 0 GROUP BY 1
+       UNION ALL SELECT 'S' || s_suppkey || '.script', 'Custom(@Source)', 1 FROM supplier WHERE s_suppkey % 5 = 0""",
+)
+def wf_project_failures(spark, d):
+    """Configs that cannot be used, and declarations that are not understood."""
+    whole = project(spark, d)
+    scripts = whole.rejects().groupBy(c("script").alias("place"), c("text").alias("message")).agg(F.count(F.lit(1)).alias("n"))
+    return whole.failures.select(c("folder").alias("place"), "message", c("files").alias("n")).unionAll(scripts)
+
+
 @query("wf_enabled", f"SELECT process, script FROM ({PROCESS_SQL}) WHERE s_suppkey % 4 <> 0")
 def wf_enabled(spark, d):
     files = parsed(spark, d)
