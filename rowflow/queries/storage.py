@@ -76,6 +76,32 @@ def src_streamset_date(spark, d):
     return streams.read_streamset(spark, path, "day=%Y-%m-%d", "__date", "2024-01-05", "2024-01-11").select("event_id", "__date")
 
 
+@query(
+    "src_streamset_hour",
+    """SELECT event_id, date_trunc('hour', ts) AS __hour FROM events
+       WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-06 06:00:00'""",
+)
+def src_streamset_hour(spark, d):
+    """One table per hour; hours without events have none."""
+    path = scratch_path(spark, "events-hour")
+    e = table(spark, d, "events").filter(F.to_date("ts").between(date(2024, 1, 4), date(2024, 1, 7)))
+    e.select("event_id", F.date_format("ts", "yyyy-MM-dd-HH").alias("h")).write.partitionBy("h").parquet(path)
+    rows = streams.read_streamset(spark, path, "h=%Y-%m-%d-%H", "__hour", "2024-01-05 06:00:00", "2024-01-06 05:00:00", sparse=True)
+    return rows.select("event_id", "__hour")
+
+
+@query(
+    "src_streamset_year",
+    "SELECT CAST(year(o_orderdate) AS INT) AS __year, COUNT(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997 GROUP BY 1",
+)
+def src_streamset_year(spark, d):
+    path = scratch_path(spark, "orders-year")
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    o.write.partitionBy("y").parquet(path)
+    rows = streams.read_streamset(spark, path, "y=%Y", "__year", "1996", "1997")
+    return rows.groupBy("__year").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "src_sparse_range",
     """SELECT event_id, CAST(ts AS DATE) AS __date FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'

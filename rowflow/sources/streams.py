@@ -25,9 +25,12 @@ def _as_datetime(value: str | date | datetime) -> datetime:
 
 
 def members(pattern: str, kind: str, low, high) -> list[str]:
-    """Relative paths of a streamset, first to last, one per number, day, hour or year."""
+    """Relative paths of a streamset, first to last, one per number, day, hour or year. A range of
+    years may be given by days or by the years alone."""
     if kind == "__serialnum":
         return [pattern.replace("%n", str(i)) for i in range(int(low), int(high) + 1)]
+    if kind == "__year":
+        low, high = (f"{x}{rest}" if re.fullmatch(r"\d{4}", str(x)) else x for x, rest in ((low, "-01-01"), (high, "-12-31")))
     step = timedelta(hours=1) if kind in ("__hour", "__datetime") else timedelta(days=1)
     at, end, paths = _as_datetime(low), _as_datetime(high), []
     while at <= end:
