@@ -34,9 +34,11 @@ def _best(names: Column, key: Column) -> Column:
 
 
 def _by_array(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """All names in one array, beside every key; the caller has counted them."""
-    packed = F.broadcast(names.agg(F.collect_list("name").alias("__names")))
-    best = keys.join(packed).select("key", _best(F.col("__names"), F.col("key")).alias("b"))
+    """All names in one array, which each key looks up by its number; the caller has counted them."""
+    zero = F.pmod(F.xxhash64("name"), F.lit(1))
+    packed = F.broadcast(names.groupBy(zero.alias("__array")).agg(F.collect_list("name").alias("__names")))
+    each = keys.withColumn("__array", F.explode(F.array(F.lit(0).cast("long"))))
+    best = each.join(packed, "__array").select("key", _best(F.col("__names"), F.col("key")).alias("b"))
     return best.filter("b IS NOT NULL").select("key", "b.distance", "b.name")
 
 
