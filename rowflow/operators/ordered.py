@@ -14,6 +14,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowflow.operators.joins import broadcast_right
 from rowflow.session import cut_lineage
 
 BLOCK, ROW = "__block", "__row"
@@ -93,13 +94,20 @@ def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
     return counts.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], "__n")
 
 
+def with_hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
+    """``df`` with ``__n``, the row count of its key where that is beyond ``more_than``. The hot keys are
+    few, so their counts go to the rows: a shuffle by the bare key would put a hot one into one task.
+    Only beyond the bound of :func:`~rowflow.operators.joins.broadcast_right` rows meet by the key."""
+    hot = cut_lineage(hot_keys(df, keys, more_than))
+    match = [df[k].eqNullSafe(hot[f"__hot_{k}"]) for k in keys]
+    return broadcast_right(df, hot, match, "left").select(*df.columns, "__n")
+
+
 def _with_blocks(df: DataFrame, keys: list[str], block: Column, hot_rows: int | None) -> DataFrame:
     if hot_rows is None:
         return df.withColumn(BLOCK, block)
-    hot = hot_keys(df, keys, hot_rows)
-    match = [df[k].eqNullSafe(hot[f"__hot_{k}"]) for k in keys]
     is_hot = F.col("__n").isNotNull()
-    return df.join(hot, match, "left").select(*df.columns, F.when(is_hot, block).alias(BLOCK))
+    return with_hot_keys(df, keys, hot_rows).select(*df.columns, F.when(is_hot, block).alias(BLOCK))
 
 
 def seed_blocks(

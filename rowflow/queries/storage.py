@@ -216,9 +216,11 @@ def snk_sorted_files(spark, d):
     "SELECT l_returnflag, COUNT(*) AS n, TRUE AS planned FROM lineitem GROUP BY 1",
 )
 def snk_partition_files(spark, d):
-    """Partition values have the files their rows ask for, though 16 tasks held rows of each."""
-    path, rows = scratch_path(spark, "planned"), 5000
-    sinks.output(table(spark, d, "lineitem").repartition(16), path, partitioned_by="l_returnflag", target_rows=rows)
+    """Partition values have the files their rows ask for, though 16 tasks or more, one for each of
+    ``sinks.SHARE_ROWS`` rows, held rows of each."""
+    path, rows, l = scratch_path(spark, "planned"), 5000, table(spark, d, "lineitem")
+    tasks = max(16, -(-l.count() // sinks.SHARE_ROWS))
+    sinks.output(l.repartition(tasks), path, partitioned_by="l_returnflag", target_rows=rows)
     stored = spark.read.parquet(path).select("l_returnflag", c("_metadata.file_path").alias("file"))
     each = stored.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
     return each.select("l_returnflag", "n", (c("files") <= F.ceil(c("n") / rows)).alias("planned"))

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowflow.operators.ordered import hot_keys
+from rowflow.operators.ordered import with_hot_keys
 
 EXPIRES = "_expires_on"
 SHARE_ROWS = 1_000_000
@@ -18,11 +18,9 @@ def cluster(df: DataFrame, column: str | list[str], files: int | None = None, ta
     very large one isn't one long task. Without ``files`` the number of files follows from the
     amount of data: Spark merges small shuffle partitions at run time, which keeps keys whole."""
     columns = [column] if isinstance(column, str) else column
-    hot = hot_keys(df, columns, target_rows)
     shares = F.ceil(F.coalesce("__n", F.lit(1)) / target_rows)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), shares)
-    match = [df[c].eqNullSafe(hot[f"__hot_{c}"]) for c in columns]
-    shared = df.join(hot, match, "left").select(*df.columns, spread.alias("__share"))
+    shared = with_hot_keys(df, columns, target_rows).select(*df.columns, spread.alias("__share"))
     keys = [*columns, "__share"]
     return (shared.repartition(files, *keys) if files else shared.repartition(*keys)).drop("__share")
 

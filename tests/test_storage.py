@@ -73,6 +73,18 @@ def test_hot_cluster_key_continues_in_other_files(spark, tmp_path):
     assert spread.pop(0) > 1 and set(spread.values()) == {1}
 
 
+def test_rows_of_a_hot_key_never_meet_in_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the counts seem large
+    try:
+        df = spark.range(300).select((F.col("id") % 2).alias("k"), "id")
+        dealt = sinks.cluster(df, "k", target_rows=50)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") == 1 and "__share" in plan.split("hashpartitioning(")[1].split(")")[0]
+        assert dealt.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
