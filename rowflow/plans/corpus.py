@@ -136,10 +136,10 @@ def _blank_strings(text: Column) -> Column:
     return F.regexp_replace(text, r'"[^"]*"', '""')
 
 
-def _tables(flat: Column) -> Column:
-    """Names after FROM, JOIN and the rowset keywords, comma lists included. Strings are blanked
-    first, and the lists of ``IN (SELECT …)`` are not sources of the statement."""
-    code = nesting.without_groups(_blank_strings(flat), SUBQUERY)
+def _tables(blank: Column) -> Column:
+    """Names after FROM, JOIN and the rowset keywords, comma lists included, of a text with its strings
+    blanked; the lists of ``IN (SELECT …)`` are not sources of the statement."""
+    code = F.when(blank.contains("IN"), nesting.without_groups(blank, SUBQUERY)).otherwise(blank)
     member = rf"{NAME}(?: AS \w+)?"
     lists = _all(
         code,
@@ -151,7 +151,7 @@ def _tables(flat: Column) -> Column:
     return F.filter(names, lambda n: (n != "") & ~n.isin(*NOT_A_TABLE))
 
 
-def _sources(flat: Column, kind_: Column) -> Column:
+def _sources(flat: Column, blank: Column, kind_: Column) -> Column:
     """Array of (source, source_type) that a rowset statement names. A pattern is tried only on
     statements that have its word, which a plain substring search tells much faster."""
 
@@ -160,7 +160,7 @@ def _sources(flat: Column, kind_: Column) -> Column:
 
     stored = having("SSTREAM", rf"SSTREAM ?({VALUE})")
     called = F.when(kind_ == "MODULE", _all(flat, rf"^\w+ ?= ?({NAME}) ?\(")).otherwise(
-        _all(flat, rf"\bFROM\b ?\(? ?({NAME}) ?\( ?\w+ ?=[^=]")
+        having("FROM", rf"\bFROM\b ?\(? ?({NAME}) ?\( ?\w+ ?=[^=]")
     )
     found = F.concat(
         _named(having("STREAMSET", rf"STREAMSET ({VALUE})"), "SSTREAM<STREAMSET>_", "SSTREAM<STREAMSET>"),
@@ -172,11 +172,19 @@ def _sources(flat: Column, kind_: Column) -> Column:
         _named(having("IMPORT", rf"\bIMPORT ({VALUE})"), "IMPORT_", "IMPORT"),
         _named(called, "MODULE_", "MODULE"),
         _named(nesting.calls_behind(flat, "CROSS APPLY ", rf"{NAME}(?:<[^<>]*>)?"), "FUNC_", "FUNC"),
-        _named(_tables(flat), "", "table"),
+        _named(_tables(blank), "", "table"),
     )
     return F.array_distinct(found)
 
 
+def _is_set() -> Column:
+    return F.col("kind").isin("DECLARE", "SET")
+
+
+def _is_rowset() -> Column:
+    return ~(_is_set() | F.col("kind").isin("OUTPUT", "USING"))
+
+
 def facts(stmts: DataFrame) -> DataFrame:
     """What a statement says, without its text: one row per statement, one map stage.
 
@@ -185,10 +193,10 @@ def facts(stmts: DataFrame) -> DataFrame:
     below are read off it, so a corpus is scanned once however many of them a job needs.
     """
     rows = with_kinds(stmts).withColumn("flat", _flat(F.col("text")))
-    flat, kind_, text = F.col("flat"), F.col("kind"), F.col("text")
-    is_set = kind_.isin("DECLARE", "SET")
-    is_rowset = ~(is_set | kind_.isin("OUTPUT", "USING"))
-    rows = rows.withColumn("sources", F.when(is_rowset, _sources(flat, kind_)))
+    flat, kind_, text, blank = F.col("flat"), F.col("kind"), F.col("text"), F.col("blank")
+    rows = rows.withColumn("blank", F.when(flat.contains('"'), _blank_strings(flat)).otherwise(flat))
+    is_set, is_rowset = _is_set(), _is_rowset()
+    rows = rows.withColumn("sources", F.when(is_rowset, _sources(flat, blank, kind_)))
 
     types = "|".join(DECLARED_TYPES)
     declare = rf"(?s)#DECLARE\s+(\w+)\s+((?:{types})\??|MAP\s*<[^>]*>)\s*=\s*(.*)"
@@ -204,7 +212,7 @@ def facts(stmts: DataFrame) -> DataFrame:
     )
 
     named = F.regexp_extract(flat, rf"^OUTPUT ({NAME})", 1)
-    inner = F.when(flat.rlike(r"^OUTPUT ?\("), F.array_distinct(_tables(flat)))
+    inner = F.when(flat.rlike(r"^OUTPUT ?\("), F.array_distinct(_tables(blank)))
     target = rf"\bTO (SSTREAM ?)?({VALUE})"
     output = F.struct(
         F.regexp_extract(flat, target, 2).alias("path"),
@@ -218,7 +226,7 @@ def facts(stmts: DataFrame) -> DataFrame:
     target_name = F.when(kind_ == "IMPORT", F.regexp_extract(flat, r"\bAS (\w+)", 1)).otherwise(
         F.regexp_extract(flat, r"^(\w+) ?=(?!=)", 1)
     )
-    using = F.regexp_extract(_blank_strings(flat), rf"\bUSING ({NAME})", 1)
+    using = F.regexp_extract(blank, rf"\bUSING ({NAME})", 1)
     calls = F.exists("sources", lambda s: s["source_type"] == "MODULE")
     args = F.regexp_extract(flat, rf"{NAME} ?\( ?(\w+ ?=[^=].*)\)", 1)
     values = F.transform(_all(args, r'\w+ ?= ?("[^"]*"|[^,()"]+(?:\([^()]*\))?)'), lambda v: F.trim(v))
@@ -237,13 +245,15 @@ def facts(stmts: DataFrame) -> DataFrame:
 
 def declares(fact_rows: DataFrame) -> DataFrame:
     """``(script, pos, key, type, value)`` of ``#DECLARE`` and ``#SET`` (no type)."""
-    return fact_rows.filter(F.col("declare.key") != "").select("script", "pos", "declare.*")
+    # Spark filters below the projection that makes the facts, so each table first asks for the
+    # kind: a test of an extracted column alone would extract it twice, of every statement.
+    return fact_rows.filter(_is_set() & (F.col("declare.key") != "")).select("script", "pos", "declare.*")
 
 
 def references(fact_rows: DataFrame) -> DataFrame:
     """``(script, pos, assign_var, source, source_type)`` of rowset statements; a statement that
     names no source has one row with a null source."""
-    rows = fact_rows.filter(F.col("sources").isNotNull())
+    rows = fact_rows.filter(_is_rowset())
     each = rows.select("script", "pos", "assign_var", F.explode_outer("sources").alias("s"))
     return each.select("script", "pos", "assign_var", "s.source", "s.source_type")
 
@@ -251,7 +261,7 @@ def references(fact_rows: DataFrame) -> DataFrame:
 def outputs(fact_rows: DataFrame) -> DataFrame:
     """``(script, pos, source, path, is_sstream, is_partitioned)``; one row per source, a null
     source for ``OUTPUT TO``. All branches of a union are sources."""
-    rows = fact_rows.filter(F.col("output").isNotNull())
+    rows = fact_rows.filter(F.col("kind") == "OUTPUT")
     return rows.select(
         "script",
         "pos",
