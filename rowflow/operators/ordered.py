@@ -82,7 +82,10 @@ def last_before(value: Column) -> Scan:
     )
 
 
-def by_position(statements: int = 1000) -> Column:
+STATEMENTS = 1000
+
+
+def by_position(statements: int = STATEMENTS) -> Column:
     """Scripts are cut into blocks of statements, so one long script is not one task."""
     return F.floor(F.col("pos") / statements)
 
@@ -163,6 +166,14 @@ def scan(
     return result.filter(F.col(ROW) == 1).drop(ROW)
 
 
+def scan_whole(df: DataFrame, keys: list[str], order: list[str], scans: dict[str, Scan]) -> DataFrame:
+    """:func:`scan` of groups that are short enough for one window each, for scans that only look
+    back (all but :func:`group_total`): rows are read once and shuffled once, on the keys."""
+    values = df.withColumns({f"__v_{name}": s.value for name, s in scans.items()})
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    return values.select(*df.columns, *[s.local(F.col(f"__v_{name}"), inside).alias(name) for name, s in scans.items()])
+
+
 def rank(
     df: DataFrame,
     keys: list[str],

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowflow.functions.dates import fill_path_tokens
-from rowflow.operators.ordered import by_position, last_before, max_before, scan
+from rowflow.operators.ordered import STATEMENTS, by_position, last_before, max_before, scan, scan_whole
 from rowflow.plans.declares import resolve_declares
+from rowflow.session import cut_lineage, partitioned
 
 # Name of the rowset a script without any named rowset builds, node classes by
 # name prefix with their colours, and the colours of outputs and of user operators.
@@ -50,16 +51,13 @@ def bind_versions(
     return bound.filter(F.col("__k") == 0).withColumn("version", version).drop("__k", "__def")
 
 
-def previous_target(targets: DataFrame, block: Column | None = None) -> DataFrame:
+def previous_target(targets: DataFrame, block: Column | None = None, short: bool = False) -> DataFrame:
     """``targets(script, pos, target)``, one row per statement and a null target where none is
-    named. Adds ``prev``: the latest target before the statement."""
-    return scan(
-        targets,
-        ["script"],
-        ["pos"],
-        block if block is not None else by_position(),
-        {"prev": last_before(F.col("target"))},
-    )
+    named. Adds ``prev``: the latest target before the statement. ``short`` scripts are not cut."""
+    prev = {"prev": last_before(F.col("target"))}
+    if short:
+        return scan_whole(targets, ["script"], ["pos"], prev)
+    return scan(targets, ["script"], ["pos"], block if block is not None else by_position(), prev)
 
 
 def rowset_facts(fact_rows: DataFrame) -> DataFrame:
@@ -69,14 +67,14 @@ def rowset_facts(fact_rows: DataFrame) -> DataFrame:
     )
 
 
-def with_targets(fact_rows: DataFrame) -> DataFrame:
+def with_targets(fact_rows: DataFrame, short: bool = False) -> DataFrame:
     """Adds ``target``, the (name, version) a statement assigns, and ``prev``, the latest target
     before it; until a rowset is named that is the implicit one."""
     target = F.when(
         F.col("assign_var").isNotNull(), F.struct(F.col("assign_var").alias("name"), F.col("pos").alias("version"))
     )
     implicit = F.struct(F.lit(IMPLICIT).alias("name"), F.lit(EXTERNAL).alias("version"))
-    done = previous_target(fact_rows.withColumn("target", target))
+    done = previous_target(fact_rows.withColumn("target", target), short=short)
     return done.withColumn("prev", F.coalesce("prev", implicit))
 
 
@@ -125,28 +123,36 @@ def edges(fact_rows: DataFrame) -> DataFrame:
     their path.
 
     One ordered pass over (script) gives each statement its previous rowset, one over
-    (script, name) answers all mentions; there is no join. ``fact_rows`` is read several
-    times: pass a table or a checkpoint of :func:`rowflow.plans.corpus.facts`.
+    (script, name) answers all mentions; both in the same task for a script that has no position
+    beyond a block, by blocks for a longer one. ``fact_rows`` is read several times: pass a
+    table or a checkpoint of :func:`rowflow.plans.corpus.facts`.
     """
     rows = rowset_facts(fact_rows).select("script", "pos", "assign_var", "sources", "params", "output")
-    asked = _mentions(fact_rows.schema["sources"].dataType)
+    count, last = rows.agg(F.count(F.lit(1)), F.max("pos")).first()
+    dealt = lambda some: partitioned(some, "script", rows=count)
+    if last is None or last < STATEMENTS:
+        return _edges(dealt(rows), True)
+    long = cut_lineage(rows.filter(F.col("pos") >= STATEMENTS).select("script").distinct())
+    short = _edges(dealt(rows.join(long, "script", "left_anti")), True)
+    return short.unionAll(_edges(rows.join(long, "script", "left_semi"), False))
+
+
+def _edges(rows: DataFrame, short: bool) -> DataFrame:
+    asked = _mentions(rows.schema["sources"].dataType)
     stream = (
-        with_targets(rows)
+        with_targets(rows, short)
         .select("script", "pos", "target", "prev", F.explode(asked).alias("m"))
         .select("script", "pos", "target", "prev", "m.*")
     )
     is_def, is_read = F.col("role") == "def", F.col("role") == "read"
     named = F.col("name").isNotNull()
-    bound = scan(
-        stream.withColumn("__k", F.when(is_read, 0).when(is_def, 2).otherwise(1)),
-        ["script", "name"],
-        ["pos", "__k"],
-        by_position(),
-        {
-            "version": max_before(F.when(is_def, F.col("pos"))),
-            "seen": max_before(F.when((is_def | is_read) & named, F.col("pos"))),
-        },
-    )
+    stream = stream.withColumn("__k", F.when(is_read, 0).when(is_def, 2).otherwise(1))
+    found = {
+        "version": max_before(F.when(is_def, F.col("pos"))),
+        "seen": max_before(F.when((is_def | is_read) & named, F.col("pos"))),
+    }
+    by, order = ["script", "name"], ["pos", "__k"]
+    bound = scan_whole(stream, by, order, found) if short else scan(stream, by, order, by_position(), found)
     # An output of a name nobody mentioned before writes the previous rowset; a dotted name or
     # a module parameter counts only when it was mentioned before.
     unseen = F.col("seen").isNull()

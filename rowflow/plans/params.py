@@ -132,12 +132,12 @@ def short_and_long(params: DataFrame, row_lines: int):
     params = cut_lineage(params)
     count = params.groupBy("script").agg(F.count(F.lit(1)).alias("__n"))
     many = cut_lineage(count.filter(F.col("__n") > row_lines).select("script"))
-    some = not many.isEmpty()
+    some, lines = not many.isEmpty(), params.count()
     rest = params.join(many, "script", "left_anti") if some else params
 
     def short(line: Column) -> DataFrame:
         # A stated number of partitions, which is not merged by size: little text, much work.
-        return partitioned(rest, "script").groupBy("script").agg(F.collect_list(line).alias("lines"))
+        return partitioned(rest, "script", rows=lines).groupBy("script").agg(F.collect_list(line).alias("lines"))
 
     return params, short, params.join(many, "script", "left_semi") if some else None
 

@@ -87,11 +87,17 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
 
 
-def partitioned(df: DataFrame, *columns: str) -> DataFrame:
+#: Rows that a task of heavy work takes, where their number is known.
+TASK_ROWS = 100_000
+
+
+def partitioned(df: DataFrame, *columns: str, rows: int = 0) -> DataFrame:
     """``df`` dealt by ``columns`` to as many tasks as shuffles have, and one per core at least.
-    For work that is heavy for its bytes: unlike another shuffle it is not merged by size."""
-    return df.repartition(task_count(df.sparkSession), *columns)
+    For work that is heavy for its bytes: unlike another shuffle it is not merged by size. With
+    the number of ``rows`` the tasks grow with the input, and what one of them holds does not."""
+    return df.repartition(task_count(df.sparkSession, rows), *columns)
 
 
-def task_count(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def task_count(spark: SparkSession, rows: int = 0) -> int:
+    few = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(few, -(-rows // TASK_ROWS))

@@ -140,3 +140,28 @@ def test_hints_leave_indexing_alone(spark):
     got = spark.createDataFrame([(text,)], "t string").select(C.strip_hints(F.col("t")).alias("x"), C.list_hints(F.col("t")).alias("h")).first()
     assert got.x == "X = SELECT a[0] AS k, m[key] AS l, f(x)[i] AS n FROM T   ON a == b[j];"
     assert got.h == ["[ROWCOUNT=100]", "[SKEW=(A=1)]", "[Few(a), Pinned]"]
+
+
+def test_tables_of_facts_read_a_statement_once(spark):
+    """Spark moves filters below the projection that makes the facts; they must not bring its patterns along."""
+    facts = C.facts(spark.createDataFrame([("s", 0, "A = SELECT x FROM B")], "script string, pos int, text string"))
+    passes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("CROSS APPLY")
+    assert passes(C.references(facts)) == passes(facts)
+    assert passes(C.outputs(facts)) == passes(C.declares(facts)) == 0
+
+
+def test_edges_of_short_scripts_take_one_shuffle(spark):
+    text = [("s", i, f"A{i} = SELECT x FROM A{i - 1}") for i in range(3)]
+    facts = C.facts(spark.createDataFrame(text, "script string, pos int, text string")).localCheckpoint()
+    edges = L.edges(facts)
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert edges.count() == 3
+
+
+def test_short_and_long_scripts_side_by_side(spark):
+    rows = [(s, p, t) for s in ("short", "long") for p, t in [(0, "A = SSTREAM @In"), (1, "B = SELECT x FROM A"), (2, "OUTPUT B TO @Out")]]
+    rows.append(("long", 2500, "C = SELECT x FROM B"))
+    facts = C.facts(spark.createDataFrame(rows, "script string, pos int, text string")).localCheckpoint()
+    found = {(r.script, r.kind, r.src, r.src_version, r.dst) for r in L.edges(facts).collect()}
+    each = [("read", "SSTREAM_@In", -1, "A"), ("read", "A", 0, "B"), ("output", "B", 1, "@Out")]
+    assert found == {(s, *e) for s in ("short", "long") for e in each} | {("long", "read", "B", 1, "C")}
