@@ -32,6 +32,11 @@ def _top(frames: Column) -> Column:
     return F.try_element_at(frames, F.lit(-1))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once (expressions inside folds are not shared)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _without_top(frames: Column, n: int = 1) -> Column:
     return F.slice(frames, F.lit(1), F.greatest(F.size(frames) - n, F.lit(0)))
 
@@ -59,12 +64,19 @@ def keep_branches(text: Column) -> Column:
 
 def _copies(body: Column, var: Column, n: Column) -> Column:
     """``n`` copies of a loop's body; what stands on the line of its bracket comes once, behind."""
-    core = F.when(body.contains("\n"), F.regexp_extract(body, r"(?s)^(.*)\n", 1)).otherwise(body)
-    tail = F.substring(body, F.length(core) + 1, F.length(body))
     token = F.concat(F.lit("@@"), var, F.lit("@@"))
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.replace(core, token, i.cast("string")))
-    copies = F.when(n < 1, F.lit("")).otherwise(F.array_join(each, ""))
-    return F.when(n.isNull(), body).otherwise(F.concat(copies, tail))
+
+    def copied(z: Column) -> Column:
+        line = F.when(z["body"].contains("\n"), F.length(z["last"]) + 1).otherwise(0)
+        core = F.substring(z["body"], F.lit(1), F.length(z["body"]) - line)
+        return _once(core, lambda c: F.concat(F.when(n < 1, F.lit("")).otherwise(repeated(c)), F.substring(z["body"], F.length(c) + 1, F.length(z["body"]))))
+
+    def repeated(core: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.replace(core, token, i.cast("string")))
+        return F.array_join(each, "")
+
+    made = _once(body, lambda b: _once(F.struct(b.alias("body"), F.substring_index(b, "\n", -1).alias("last")), copied))
+    return F.when(n.isNull(), body).otherwise(made)
 
 
 def expand_loops(text: Column) -> Column:

@@ -165,3 +165,13 @@ def test_short_and_long_scripts_side_by_side(spark):
     found = {(r.script, r.kind, r.src, r.src_version, r.dst) for r in L.edges(facts).collect()}
     each = [("read", "SSTREAM_@In", -1, "A"), ("read", "A", 0, "B"), ("output", "B", 1, "@Out")]
     assert found == {(s, *e) for s in ("short", "long") for e in each} | {("long", "read", "B", 1, "C")}
+
+
+def test_loop_bodies_are_read_once(spark):
+    """A body doubles with each loop around it: its last line is found without a pattern, once a copy."""
+    bodies = ["{x@@i@@;}", "{\nx@@i@@;\n}", "{\nx@@i@@;\n  }", "{}", "{\n}"]
+    rows = spark.createDataFrame([(i, f"LOOP(i, 2)\n{b}z") for i, b in enumerate(bodies)], "script int, text string")
+    done = rows.select("script", C.expand_loops(F.col("text")).alias("text"))
+    assert "(.*)" not in done._jdf.queryExecution().optimizedPlan().toString()
+    want = ["x0;x1;z", "\nx0;\nx1;\nz", "\nx0;\nx1;\n  z", "z", "\nz"]
+    assert [r.text for r in done.orderBy("script").collect()] == want
