@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from rowflow.plans import catalog as H, workflow as W
-from rowflow.session import scratch_path, shared_root
+from rowflow.session import partitioned, scratch_path, shared_root
 from rowflow.sources import sinks, streams, text
 
 
@@ -196,3 +196,9 @@ def test_disordered_files_are_found(spark, tmp_path):
         assert [(r.rows, r.in_order) for r in sinks.file_order(spark, f"{tmp_path}/long", "v").collect()] == [(300_000, True)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tasks_of_heavy_work_grow_with_the_rows(spark):
+    dealt = lambda n: partitioned(spark.range(9), "id", rows=n).rdd.getNumPartitions()
+    assert dealt(0) == dealt(100_000) == 8
+    assert dealt(1_000_001) == 11
