@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowflow.operators.joins import broadcast_right
 from rowflow.session import cut_lineage, scratch_path, spread
 
 #: The base patterns. Where a run failed from its start it fails from within, so
@@ -37,9 +38,10 @@ ROUNDS, LEAST_SUPPORT, LEAST_PRECISION = 3, 5, 0.8
 FORM = 0.3  # what the loose form of its kind adds to a candidate's score
 SPAN = 4  # words between two context words
 LISTED = 2000  # so many patterns are looked up as a list, more by a join
+PART, SURE = 16, 1.5  # one in PART texts shows which patterns are far too common, SURE times beyond the bound
 #: What stands for a base span of each kind, for any of them, and for an end of the text.
 CODES, MASK, EDGE = "\ue000\ue001\ue002\ue003", "\ue004", "\ue005"
-CHUNK = 256
+CHUNK = 64
 SPANS = "array<struct<start:int,end:int,hit:string>>"
 #: A run of words of digits, or any other word.
 NUMBER = r"[+(]*+[0-9][0-9().+/-]*+[,;]?(?!\S)"
@@ -79,9 +81,9 @@ RULES: dict[str, tuple[str, str, Callable[[Column], Column]]] = {
 }
 
 
-def parts(text: Column, pattern: str) -> Column:
-    """(gap, hit) pairs: what stands before each match, and the match; the last hit is null."""
-    return F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once (expressions inside folds are not shared)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def located(text: Column, pattern: str, hint: str) -> Column:
@@ -96,16 +98,22 @@ def located(text: Column, pattern: str, hint: str) -> Column:
     def run(pairs: Column, at: Column) -> Column:
         return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), add)
 
-    pairs = F.filter(parts(text, pattern), lambda x: x["hit"].isNotNull())
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
 
     def join(state: Column, chunk: Column) -> Column:
         done = run(chunk, state["at"])
         return F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out"))
 
-    found = F.aggregate(chunks, start, join, lambda state: F.flatten(state["out"]))
-    return F.when(text.rlike(hint), F.when(F.size(pairs) > 0, found))
+    def found(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))
+        return F.aggregate(chunks, start, join, lambda state: F.flatten(state["out"]))
+
+    def paired(hits: Column) -> Column:
+        """(gap, hit) pairs: what stands before each match, and the match."""
+        return F.slice(F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(hint), let(hits, lambda x: F.when(F.size(x) > 0, let(paired(x), found))))
 
 
 def kind_spans() -> Column:
@@ -127,7 +135,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
         spans = located(F.col("text"), pattern, hint)
         rows = rows.withColumn(kind, F.filter(F.coalesce(spans, F.array().cast(SPANS)), lambda x: good(x["hit"])))
     marks = CODES + MASK + EDGE
-    plain = F.translate("text", marks, "\ufffd" * len(marks))
+    clean = F.translate("text", marks, "\ufffd" * len(marks))
+    rows = rows.withColumn("plain", F.when(F.col("text").rlike(f"[{marks}]"), clean).otherwise(F.col("text")))
+    plain = F.col("plain")
     codes = F.array(*map(F.lit, CODES))
 
     def without(stand_in: Callable[[Column, Column], Column]) -> Column:
@@ -145,7 +155,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     value = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(F.lower(x["hit"])))), 16, "0")
     coded = without(lambda x, size: F.concat(F.get(codes, x["kind"]), value(x)))
     some = F.size("spans") > 0
-    return rows.withColumn("masked", F.when(some, masked).otherwise(plain)).withColumn("coded", F.when(some, coded)).drop("text", "spans")
+    return rows.withColumn("masked", F.when(some, masked).otherwise(plain)).withColumn("coded", F.when(some, coded)).drop("text", "spans", "plain")
 
 
 def context_key(kind: int, *words: str) -> str:
@@ -163,27 +173,36 @@ CONTEXTS = {
 }
 
 
-def words_of(rows: DataFrame) -> DataFrame:
+def words_of(rows: DataFrame, wanted: Callable[[Column, Callable[[int], Column]], Column] | None = None) -> DataFrame:
     """doc_id, text_key, at, the word, the hashes of its neighbours and the numbers of its contexts,
     one row per word. Runs of words of digits are one word; a neighbour that is a base span is
-    MASK. Each word is hashed once, and only it is carried as text."""
+    MASK. Each word is hashed once, and only it is carried as text. ``wanted`` says by the word
+    and the hash of the neighbour so many places on which words become rows at all."""
     words = F.regexp_extract_all(F.lower(F.coalesce("coded", "masked")), F.lit(WORD), F.lit(0))
     plain = F.transform("w", lambda x: F.xxhash64(x))
     masked = F.transform("w", lambda x: F.xxhash64(F.regexp_replace(x, rf"[{CODES}][0-9a-f]{{16}}", MASK)))
     rows = rows.select("doc_id", "text_key", "coded", words.alias("w"))
     rows = rows.select("doc_id", "text_key", "w", F.when(F.col("coded").isNull(), plain).otherwise(masked).alias("h"))
-    edge, h = F.xxhash64(F.lit(EDGE)), F.col("h")
+    edge = F.xxhash64(F.lit(EDGE))
+
+    def near(at: Column) -> Callable[[int], Column]:
+        return lambda by: F.coalesce(F.get("h", at + by), edge)
 
-    def after(by: int) -> Column:
-        return F.concat(F.slice(h, F.lit(by + 1), F.greatest(F.size(h) - by, F.lit(0))), F.array_repeat(edge, by))
+    def word(at: Column) -> Column:
+        sides = {"l2": -2, "l1": -1, **{f"r{m}": m for m in range(1, SPAN + 1)}}
+        return F.struct(at.alias("at"), F.get("w", at).alias("w"), *(near(at)(by).alias(n) for n, by in sides.items()))
 
-    columns = {"w": F.col("w"), "l2": F.concat(F.array(edge, edge), h), "l1": F.concat(F.array(edge), h)}
-    columns |= {f"r{m}": after(m) for m in range(1, SPAN + 1)}
-    zipped = F.arrays_zip(*(x.alias(n) for n, x in columns.items()))
-    each = rows.select("doc_id", "text_key", F.posexplode(zipped).alias("at", "x")).select("doc_id", "text_key", "at", "x.*").where("w IS NOT NULL")
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+    if wanted is not None:
+        places = F.filter(places, lambda at: wanted(F.get("w", at), near(at)))
+    each = rows.select("doc_id", "text_key", F.explode(F.transform(places, word)).alias("x")).select("doc_id", "text_key", "x.*")
     return each.selectExpr("*", *(f"{key} AS {name}" for name, (_, key) in CONTEXTS.items()))
 
 
+#: The contexts of a seed, and the neighbour that stands in each.
+ANCHORS = {"k_l1": "l1", "k_l2": "l1", "k_r2": "r1", "k_lr1": "l1"}
+
+
 def trimmed(value: str) -> str:
     """SQL: ``value`` without the signs around it; codes stay."""
     kept = f"\\\\p{{L}}\\\\p{{N}}{CODES}"
@@ -191,35 +210,43 @@ def trimmed(value: str) -> str:
 
 
 def seeds_of(rows: DataFrame) -> DataFrame:
-    """key, value and kind of every seed, for each of its contexts."""
+    """key, value and kind of every seed, for each of its contexts, and the anchor of the context: a
+    neighbour that stands in it, on the left or (``right``) on the right."""
     some = rows.where(F.col("coded").isNotNull() | F.col("masked").rlike("[0-9a-fA-F]{32}"))
     code = F.regexp_extract("w", rf"^[^\p{{L}}\p{{N}}{CODES}]*([{CODES}][0-9a-f]{{16}})", 1)
-    each = words_of(some).withColumn("code", code).where((F.col("code") != "") | F.col("w").rlike(SECRET))
+    each = words_of(some, lambda w, _: w.rlike(f"[{CODES}]") | w.rlike(SECRET)).withColumn("code", code).where((F.col("code") != "") | F.col("w").rlike(SECRET))
     names = F.create_map(*(F.lit(x) for c, k in zip(CODES, KINDS) for x in (c, k)))
     kind = F.coalesce(F.try_element_at(names, F.substring("code", 1, 1)), F.lit("secret"))
     value = F.when(F.col("code") != "", F.col("code")).otherwise(F.expr(trimmed("w")))
-    keys = F.array("k_l1", "k_l2", "k_r2", "k_lr1")
-    return each.select(value.alias("value"), kind.alias("kind"), F.explode(keys).alias("key")).where("key != 0")
+    keys = F.array(*(F.struct(F.col(k).alias("key"), F.col(w).alias("anchor"), F.lit(w == "r1").alias("right")) for k, w in ANCHORS.items()))
+    return each.select(value.alias("value"), kind.alias("kind"), F.explode(keys).alias("x")).select("value", "kind", "x.*").where("key != 0")
 
 
 def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, text_key, at (word), words, key and value of what stands in ``patterns(key)``, other
-    than base spans. The value of several words is the hash of them: they have no loose form."""
-    count = patterns.limit(LISTED + 1).count()
-    each = words_of(rows)
-    if count <= LISTED:  # a bounded list, looked up where the word is read
-        listed = ", ".join(f"{r[0]}L" for r in patterns.select("key").collect()) or "0L"
-        each = each.where(" OR ".join(f"{name} IN ({listed})" for name in CONTEXTS))
+    """doc_id, text_key, at (word), words, key and value of what stands in ``patterns(key, anchor,
+    right)``, other than base spans. The value of several words is the hash of them: they have no
+    loose form."""
+    keys = patterns.select("key", "anchor", "right").distinct()
+    few = keys.limit(LISTED + 1).collect()
+    if len(few) <= LISTED:  # a bounded list: only words beside an anchor become rows
+        left, right = ([r["anchor"] for r in few if r["right"] == side] for side in (False, True))
+        each = words_of(rows, lambda _, near: near(-1).isin(left) | near(1).isin(right))
+    else:
+        each = words_of(rows)
     held = []
     for name, (m, _) in CONTEXTS.items():
         inner = [f"r{i}" for i in range(1, m)]
-        several = f"concat('#', hex(xxhash64(w, {', '.join(inner)})))" if inner else trimmed("w")
         whole = " AND ".join(f"{x} NOT IN (xxhash64('{MASK}'), xxhash64('{EDGE}'))" for x in inner) or "true"
-        held.append(f"if({whole}, struct({m} AS words, {name} AS key, {several} AS value), NULL)")
+        held.append(f"if({whole}, struct({m} AS words, {name} AS key), NULL)")
     bad = " AND ".join(f"NOT contains(w, '{x}')" for x in CODES)
-    each = each.where(bad).selectExpr("doc_id", "text_key", "at", f"explode(array({', '.join(held)})) AS x")
-    each = each.select("doc_id", "text_key", "at", "x.*").where("key != 0 AND value != ''")
-    return each.where(f"key IN ({listed})") if count <= LISTED else each.join(patterns.select("key"), "key", "left_semi")
+    hashes = [f"r{i}" for i in range(1, SPAN)]
+    each = each.selectExpr("doc_id", "text_key", "at", "w", *hashes, f"explode(array({', '.join(held)})) AS x")
+    each = each.select("doc_id", "text_key", "at", "w", *hashes, "x.*").where("key != 0")
+    listed = {r["key"] for r in few}
+    each = each.where(F.col("key").isin(listed)) if len(few) <= LISTED else each.join(keys.select("key").distinct(), "key", "left_semi")
+    several = [f"WHEN {m} THEN concat('#', hex(xxhash64(w, {', '.join(hashes[: m - 1])})))" for m in range(2, SPAN + 1)]
+    value = f"CASE words {' '.join(several)} ELSE {trimmed('w')} END AS value"
+    return each.where(bad).selectExpr("doc_id", "text_key", "at", "words", "key", value).where("value != ''")
 
 
 def form(kind: Column, value: Column) -> Column:
@@ -259,20 +286,29 @@ def scored_graph(seeds: DataFrame, edges: DataFrame, patterns: DataFrame, rounds
 def found_instances(rows: DataFrame) -> DataFrame | None:
     """doc_id, text_key, at and words of the accepted candidates; None if there is no pattern."""
     seeds = cut_lineage(seeds_of(rows).distinct())
+    places = seeds.select("key", "anchor", "right").distinct()
     patterns = seeds.groupBy("key").agg(F.count_distinct("value").alias("support"), F.mode("kind", True).alias("kind"))
     patterns = cut_lineage(patterns.where(F.col("support") >= LEAST_SUPPORT))
     if patterns.isEmpty():
         return None
-    # a sketch leaves out patterns far too common, before their instances are written
-    many = occurrences(rows, patterns).groupBy("key").agg(F.approx_count_distinct("value", 0.05).alias("n"))
-    rare = cut_lineage(patterns.join(many, "key").where(F.col("support") >= (LEAST_PRECISION - FORM) * 0.7 * F.col("n")).select("key", "kind"))
-    if rare.isEmpty():
-        return None
+
+    def rare(found: DataFrame, margin: float) -> DataFrame:
+        """The patterns that are not far too common in ``found``, by a sketch."""
+        many = found.groupBy("key").agg(F.approx_count_distinct("value", 0.05).alias("n"))
+        return patterns.join(many, "key", "left").where(F.col("n").isNull() | (margin * F.col("support") >= (LEAST_PRECISION - FORM) * 0.7 * F.col("n")))
+
+    # what is far too common in a part of the texts is so in all of them, and goes before its instances are written
+    part = occurrences(rows.where(F.pmod("text_key", F.lit(PART)) == 0), patterns.join(places, "key"))
+    open_ = cut_lineage(rare(part, SURE).select("key"))
     path = scratch_path(rows.sparkSession, "pattern-graph")
-    occurrences(rows, rare).write.parquet(path)
+    occurrences(rows, places.join(open_, "key", "left_semi")).write.parquet(path)
     graph = rows.sparkSession.read.parquet(path)
+    kept = cut_lineage(rare(graph, 1.0).where("n IS NOT NULL").select("key", "kind"))
+    if kept.isEmpty():
+        return None
+    graph = graph.join(kept.select("key"), "key", "left_semi")
     edges = cut_lineage(graph.select("key", "value").distinct())
-    precise = scored_graph(seeds.join(rare, "key", "left_semi"), edges, rare)
+    precise = scored_graph(seeds.join(kept, "key", "left_semi"), edges, kept)
     return with_scores(graph, precise).select("doc_id", "text_key", "at", "words")
 
 
@@ -287,7 +323,7 @@ def found_in_context(rows: DataFrame) -> DataFrame:
     if new is None:
         return rows.select("doc_id", "text_key", F.array().cast("array<struct<start:int,end:int>>").alias("context")).where("false")
     new = cut_lineage(new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "words")).alias("found")).withColumnsRenamed({"doc_id": "other_id", "text_key": "other_key"}))
-    texts = rows.join(new, rows.doc_id.eqNullSafe(new.other_id) & (rows.text_key == new.other_key)).dropDuplicates(["doc_id", "text_key"])
+    texts = broadcast_right(rows, new, rows.doc_id.eqNullSafe(new.other_id) & (rows.text_key == new.other_key)).dropDuplicates(["doc_id", "text_key"])
     texts = texts.withColumn("tokens", located(F.col("masked"), WORD, r"\S"))
 
     def span(x: Column) -> Column:
