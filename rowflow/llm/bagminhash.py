@@ -11,9 +11,11 @@ texts whose registers are not yet full.
 
 Texts equal word for word are one node. Nodes that agree in a band of ROWS registers are
 candidates. Per bucket everyone is compared with one leader. Where the links found leave a
-bucket in several components, its members are dealt into blocks of BLOCK, and for every two
-blocks a task compares members of different components until they are joined or all are
-compared; it returns only links that join components, never all pairs. Pairs
+bucket in several components, members outside its largest one are compared with LEADERS more
+members of that. What is still apart is dealt into blocks: BLOCK members outside the largest
+component meet each other and MAIN members of it in a task, which compares members of different
+components until they are joined or all are compared; it returns only links that join
+components, never all pairs. Members of the largest component never meet each other. Pairs
 whose signatures agree in fewer than LEAST of the registers (six standard deviations under the
 threshold) are dropped, all others are verified on their whole texts. Classes are the connected
 components of the verified links.
@@ -40,7 +42,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 30
 REGISTERS = ROWS * BANDS
 LEAST = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-BATCH_WORDS, BLOCK = 1 << 17, 256
+BATCH_WORDS, BLOCK, MAIN, LEADERS = 1 << 17, 256, 1024, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = None
 
@@ -239,14 +241,15 @@ def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
 
 def open_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Places of the likely pairs of one task, the likeliest first: of different components, of
-    different blocks if the task has two, and with no earlier band in common than this one."""
+    different blocks unless the task is for ``inner`` pairs too, and with no earlier band in
+    common than this one."""
     bands = np.stack(frame["bands"].to_numpy())
     digests = np.frombuffer(b"".join(frame["digest"]), dtype=np.uint8).reshape(-1, REGISTERS)
     root, block = frame["root"].to_numpy(), frame["block"].to_numpy()
-    mixed_blocks = frame["i"].iloc[0] != frame["j"].iloc[0]
+    inner = frame["inner"].iloc[0]
     left, right, alike = [], [], []
     for a in range(len(frame) - 1):
-        b = a + 1 + np.flatnonzero((root[a + 1 :] != root[a]) & ((block[a + 1 :] != block[a]) | (not mixed_blocks)))
+        b = a + 1 + np.flatnonzero((root[a + 1 :] != root[a]) & ((block[a + 1 :] != block[a]) | inner))
         same = (digests[b] == digests[a]).mean(axis=1)
         b, same = b[same >= LEAST], same[same >= LEAST]
         shared = bands[b] == bands[a]
@@ -328,12 +331,31 @@ def classified(docs: DataFrame) -> DataFrame:
     links = verified(buckets.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     found = components(links)
 
-    placed = buckets.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-    placed = placed.join(apart.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    members = placed.join(digests, "node").select("band", "node", "root", "block", "i", "j", "bands", "digest")
+    def divided() -> tuple[DataFrame, DataFrame]:
+        """Members of buckets in several components, and for each such bucket its largest component
+        (``main``), ``leads`` of that, and how many members are in it and outside."""
+        placed = buckets.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        leads = F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)))
+        sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(leads).alias("leads"))
+        most = F.max_by(F.struct("root", "n", "leads"), F.struct("n", "root"))
+        apart = sizes.groupBy("band").agg(most.alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        return placed, apart.select("band", F.col("m.root").alias("main"), "m.leads", F.col("m.n").alias("inside"), (F.col("all") - F.col("m.n")).alias("outside"))
+
+    placed, apart = divided()
+    more = placed.join(apart.select("band", "main", "leads"), "band").where("root != main").select(F.col("node").alias("a"), F.explode("leads").alias("b"))
+    links = links.unionByName(verified(more.distinct()))
+    found = components(links)
+
+    placed, apart = divided()
+    outer, mains = F.ceil(F.col("outside") / BLOCK).cast("int"), F.ceil(F.col("inside") / MAIN).cast("int")
+    placed = placed.join(apart.select("band", "main", outer.alias("outer"), mains.alias("mains")), "band")
+    hashed, out = F.xxhash64("node"), F.col("root") != F.col("main")
+    placed = placed.withColumn("block", F.when(out, F.pmod(hashed, "outer")).otherwise(F.col("outer") + F.pmod(hashed, "mains")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("outer") - 1 + F.when(out, F.col("mains")).otherwise(0))
+    placed = placed.withColumn("other", F.explode(F.array_remove(others, F.col("block"))))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    placed = placed.select("band", "node", "root", "block", i.alias("i"), j.alias("j"), (j == F.col("outer")).alias("inner"))
+    members = placed.join(digests, "node").select("band", "node", "root", "block", "i", "j", "inner", "bands", "digest")
 
     def still_open(frame: pd.DataFrame) -> pd.DataFrame:
         return frame.iloc[np.unique(np.concatenate(open_pairs(frame)))]

@@ -125,6 +125,24 @@ def test_near_duplicates(spark):
     assert B.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_members_of_the_largest_component_are_dealt_once(spark, monkeypatch):
+    """Of a bucket with few members outside its largest component every member lies in one task."""
+    monkeypatch.setattr(B, "BLOCK", 8)
+    paths, path = {}, B.scratch_path
+    monkeypatch.setattr(B, "scratch_path", lambda *x: paths.setdefault(x[1], path(*x)) if x[1] == "apart" else path(*x))
+    rows = list(enumerate(varied(61, 1, 51) + varied(6, 4, 51)[1:]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in B.near_duplicates(docs).collect()} == brute_classes(rows)
+    apart = spark.read.parquet(paths["apart"])
+    assert apart.count() > 0 and apart.groupBy("band", "node").count().agg(F.max("count")).first()[0] == 1
+    # the same classes where many are outside and blocks of either kind are many
+    monkeypatch.setattr(B, "MAIN", 4)
+    paths.clear()
+    rows = list(enumerate(varied(30, 1, 52) + varied(40, 2, 52)[1:] + varied(20, 3, 52)[1:]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in B.near_duplicates(docs).collect()} == brute_classes(rows)
+
+
 def varied(n, changes, seed):
     rng = random.Random(seed)
     words, out = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(150)], []
