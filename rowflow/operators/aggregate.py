@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowflow.operators.joins import broadcast_right
 from rowflow.operators.ordered import group_total, row_number, running_sum, scan
+from rowflow.session import cut_lineage
 
 
 def implicit_group(
@@ -101,3 +103,27 @@ def others_in_group(
         (F.col("__upto") - F.col("__n")).alias("above"),
         *[(F.col(f"__t_{n}") - F.col(n)).alias(n) for n in amounts],
     )
+
+
+def item_counts(df: DataFrame, key: str, items: Column, item: str, count: str) -> DataFrame:
+    """``(key, item, count)``: how often each item stands in the arrays ``items`` of the rows of a key.
+
+    Every array is counted in its row, sorted and read by runs, so nothing is shuffled but the
+    keys, and the counts of those keys that have several rows. Null items don't count.
+    """
+    several = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    several = cut_lineage(several.select(F.col(key).alias("__key"), F.lit(True).alias("__several")))
+    alone = several.isEmpty()
+    marked = df.withColumn("__several", F.lit(None).cast("boolean")) if alone else broadcast_right(df, several, F.col(key).eqNullSafe(F.col("__key")), "left")
+    rows = marked.select(key, "__several", F.sort_array(items).alias("__items"))
+    places = F.when(F.size("__items") > 0, F.sequence(F.lit(0), F.size("__items") - 1))
+    starts = F.filter(places, lambda i: (i == 0) | ~F.get("__items", i).eqNullSafe(F.get("__items", i - 1)))
+    rows = rows.select("*", starts.alias("__starts"))
+
+    def run(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("__starts", k + 1), F.size("__items"))
+        return F.struct(F.get("__items", i).alias(item), (end - i).cast("long").alias(count))
+
+    cells = rows.select(key, "__several", F.explode(F.transform("__starts", run)).alias("__run")).select(key, "__several", "__run.*").filter(F.col(item).isNotNull())
+    single = cells.filter(F.col("__several").isNull()).select(key, item, count)
+    return single if alone else single.unionByName(cells.filter("__several").groupBy(key, item).agg(F.sum(count).alias(count)))

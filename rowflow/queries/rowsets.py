@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowflow.functions import all_of
 from rowflow.operators import aggregate as A, joins as J, ordered as O, rowset as R
 from rowflow.queries.registry import query, table
-from rowflow.session import spread
+from rowflow.session import scratch_path, spread
 
 c = F.col
 BY_CUSTOMER_DATE = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -230,11 +230,11 @@ def rs_combine_presort(spark, d):
 )
 def rs_combine_tfidf(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    terms = J.cross_apply(spread(docs, "doc_id"), F.split("text", " "), "term").filter(c("term") != "")
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # Counting by a test on tf keeps both uses of tf the same plan, so its shuffle is reused and
-    # the texts are split once.
-    used_in = tf.groupBy("term").agg(F.count_if(c("tf") > 0).alias("df"))
+    # Read twice, for the counts by term and for the scores: the texts are split once.
+    path = scratch_path(spark, "term-counts")
+    A.item_counts(spread(docs, "doc_id"), "doc_id", F.array_remove(F.split("text", " "), ""), "term", "tf").write.parquet(path)
+    tf = spark.read.parquet(path)
+    used_in = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = J.attach_rows(used_in, docs.agg(F.count(F.lit(1)).alias("n")), max_rows=1)
     score = c("tf") * F.ln(c("n").cast("double") / c("df"))
     return tf.join(df, "term").select("doc_id", "term", F.round(score, 6).alias("score"))

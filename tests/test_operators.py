@@ -373,3 +373,16 @@ def test_set_operators_match_by_position(spark):
     assert S.union_distinct(a, b).count() == 2
     assert {tuple(r) for r in S.except_distinct(a, b).collect()} == {(3, 4)}
     assert sorted(map(tuple, S.except_all(a, b).collect())) == [(1, 2), (3, 4)]
+
+
+def test_items_are_counted_in_their_row(spark):
+    """Keys with one row are counted without a shuffle of items; repeated and null keys are summed."""
+    items = {1: ["b", "a", "b"], 2: [], 3: None, 4: ["x", None, "x", "", None]}
+    once = spark.createDataFrame(list(items.items()), "k int, items array<string>")
+    got = A.item_counts(once, "k", F.col("items"), "item", "n")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 2), (4, "", 1), (4, "x", 2)]
+    assert "Exchange" not in plan(got)
+    rows = [*items.items(), (1, ["a", "c"]), (None, ["a", "a"]), (None, ["a"]), (5, ["a"])]
+    many = spark.createDataFrame(rows, "k int, items array<string>")
+    got = sorted(map(tuple, A.item_counts(many, "k", F.col("items"), "item", "n").collect()), key=str)
+    assert got == sorted([(1, "a", 2), (1, "b", 2), (1, "c", 1), (4, "", 1), (4, "x", 2), (5, "a", 1), (None, "a", 3)], key=str)
