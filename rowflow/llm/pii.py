@@ -19,6 +19,8 @@ ids are kept; other columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,13 +166,16 @@ def context_key(kind: int, *words: str) -> str:
     return f"if({none}, 0L, xxhash64({kind}, {', '.join(words)}))"
 
 
-#: The columns of a word's contexts: number of words that stand in them, and the number.
-CONTEXTS = {
-    "k_l1": (1, context_key(1, "l1")),
-    "k_l2": (1, context_key(2, "l2", "l1")),
-    "k_r2": (1, context_key(3, "r1", "r2")),
-    **{f"k_lr{m}": (m, context_key(4, "l1", f"r{m}")) for m in range(1, SPAN + 1)},
-}
+def side(by: int) -> str:
+    """The column of the neighbour so many places on."""
+    return f"l{-by}" if by < 0 else f"r{by}"
+
+
+#: The columns of a word's contexts: number of words that stand in them, number of the kind, and the
+#: places of the neighbours.
+PLACES = {"k_l1": (1, 1, (-1,)), "k_l2": (1, 2, (-2, -1)), "k_r2": (1, 3, (1, 2)), **{f"k_lr{m}": (m, 4, (-1, m)) for m in range(1, SPAN + 1)}}
+#: The same with the number of the context as SQL.
+CONTEXTS = {name: (m, context_key(kind, *map(side, at))) for name, (m, kind, at) in PLACES.items()}
 
 
 def words_of(rows: DataFrame, wanted: Callable[[Column, Callable[[int], Column]], Column] | None = None) -> DataFrame:
@@ -189,8 +194,7 @@ def words_of(rows: DataFrame, wanted: Callable[[Column, Callable[[int], Column]]
         return lambda by: F.coalesce(F.get("h", at + by), edge)
 
     def word(at: Column) -> Column:
-        sides = {"l2": -2, "l1": -1, **{f"r{m}": m for m in range(1, SPAN + 1)}}
-        return F.struct(at.alias("at"), F.get("w", at).alias("w"), *(near(at)(by).alias(n) for n, by in sides.items()))
+        return F.struct(at.alias("at"), F.get("w", at).alias("w"), *(near(at)(by).alias(side(by)) for by in (-2, -1, *range(1, SPAN + 1))))
 
     places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
     if wanted is not None:
@@ -228,9 +232,16 @@ def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     loose form."""
     keys = patterns.select("key", "anchor", "right").distinct()
     few = keys.limit(LISTED + 1).collect()
-    if len(few) <= LISTED:  # a bounded list: only words beside an anchor become rows
-        left, right = ([r["anchor"] for r in few if r["right"] == side] for side in (False, True))
-        each = words_of(rows, lambda _, near: near(-1).isin(left) | near(1).isin(right))
+    listed = {r["key"] for r in few}
+    left, right = ([r["anchor"] for r in few if r["right"] == x] for x in (False, True))
+
+    def inside(_: Column, near: Callable[[int], Column]) -> Column:
+        """Whether a word stands in a listed pattern; only beside an anchor its contexts are hashed."""
+        found = [F.xxhash64(F.lit(kind), *map(near, at)).isin(listed) for _, kind, at in PLACES.values()]
+        return (near(-1).isin(left) | near(1).isin(right)) & reduce(or_, found)
+
+    if len(few) <= LISTED:  # a bounded list: only words in a pattern become rows
+        each = words_of(rows, inside)
     else:
         each = words_of(rows)
     held = []
@@ -242,7 +253,6 @@ def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     hashes = [f"r{i}" for i in range(1, SPAN)]
     each = each.selectExpr("doc_id", "text_key", "at", "w", *hashes, f"explode(array({', '.join(held)})) AS x")
     each = each.select("doc_id", "text_key", "at", "w", *hashes, "x.*").where("key != 0")
-    listed = {r["key"] for r in few}
     each = each.where(F.col("key").isin(listed)) if len(few) <= LISTED else each.join(keys.select("key").distinct(), "key", "left_semi")
     several = [f"WHEN {m} THEN concat('#', hex(xxhash64(w, {', '.join(hashes[: m - 1])})))" for m in range(2, SPAN + 1)]
     value = f"CASE words {' '.join(several)} ELSE {trimmed('w')} END AS value"

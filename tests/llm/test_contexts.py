@@ -9,7 +9,7 @@ from rowflow.llm import pii
 
 
 @pytest.mark.parametrize("listed", [2000, 0])
-def test_only_words_beside_an_anchor_become_rows(spark, monkeypatch, listed):
+def test_occurrences_against_the_contexts_of_every_word(spark, monkeypatch, listed):
     """The same occurrences as a look at the contexts of every word, by the list and by the join."""
     monkeypatch.setattr(pii, "LISTED", listed)
     rng = random.Random(8)
@@ -34,6 +34,17 @@ def test_only_words_beside_an_anchor_become_rows(spark, monkeypatch, listed):
     assert sorted(made, key=str) == sorted((r for r in every if r.l1 == call), key=str) and len(made) < len(every)
 
 
+def test_only_words_in_a_pattern_become_rows(spark, monkeypatch):
+    """A word beside a common neighbour is no row unless its whole context is a pattern."""
+    rows = [(i, f"so the user{i}@site{i}.org " + f"{'of the w%d ' % i * 50}and the x") for i in range(8)]
+    rows = pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string")).localCheckpoint()
+    l2 = pii.words_of(rows).where("doc_id = 0 AND at = 2").first()
+    made, words_of = [], pii.words_of
+    monkeypatch.setattr(pii, "words_of", lambda *x: made.append(words_of(*x)) or made[-1])
+    patterns = spark.createDataFrame([(l2.k_l2, l2.l1, False)], "key long, anchor long, right boolean")
+    assert pii.occurrences(rows, patterns).count() == 0 and made[0].count() == 8
+
+
 def test_a_text_is_matched_once(spark):
     """The matches of a text are one expression, not one per chunk of them."""
     told = str(pii.located(F.col("text"), pii.WORD, r"\S")._jc)
