@@ -10,15 +10,16 @@ Jaccard similarity. Only points up to a text's stop time are made, which is rais
 texts whose registers are not yet full.
 
 Texts equal word for word are one node. Nodes that agree in a band of ROWS registers are
-candidates. Per bucket everyone is compared with one leader. Where the links found leave a
-bucket in several components, members outside its largest one are compared with LEADERS more
-members of that. What is still apart is dealt into blocks: BLOCK members outside the largest
-component meet each other and MAIN members of it in a task, which compares members of different
-components until they are joined or all are compared; it returns only links that join
-components, never all pairs. Members of the largest component never meet each other. Pairs
-whose signatures agree in fewer than LEAST of the registers (six standard deviations under the
-threshold) are dropped, all others are verified on their whole texts. Classes are the connected
-components of the verified links.
+candidates. The smallest node of a bucket is its leader, and every node is compared with the one
+that leads most of its buckets (ties: the smallest). Where the links found leave a bucket in
+several components, members outside its largest one are compared with members of that, at most
+LEADERS of a component, the ones with which they share most buckets. What is still apart is dealt
+into blocks: BLOCK members outside the largest component meet each other and MAIN members of it
+in a task, which compares members of different components until they are joined or all are
+compared; it returns only links that join components, never all pairs. Members of the largest
+component never meet each other. Pairs whose signatures agree in fewer than LEAST of the
+registers (six standard deviations under the threshold) are dropped, all others are verified on
+their whole texts. Classes are the connected components of the verified links.
 
 Null texts are empty. Texts without a word are one class. Repeated rows belong to one class; if
 rows with one id have different texts, each row gets the class of its own text. Null ids get a
@@ -276,6 +277,16 @@ def components(links: DataFrame) -> DataFrame:
             return found
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root of the components ``found`` after further ``links(a, b)``, of which only those
+    between components are followed."""
+    ends = links.join(found.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+    ends = ends.join(found.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    new = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b"))
+    moved = found.join(new.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left")
+    return cut_lineage(moved.select("node", F.coalesce("far", "root").alias("root")).unionByName(new.join(found, "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) of every row."""
     return classified(docs).select("doc_id", "class_id")
@@ -328,8 +339,8 @@ def classified(docs: DataFrame) -> DataFrame:
         full = pairs.join(side(texts, "a", "text", "x"), "a").join(side(texts, "b", "text", "y"), "b").select("a", "b", "x", "y")
         return stored(full.mapInPandas(linked, "a long, b long").distinct(), "links")
 
-    links = verified(buckets.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-    found = components(links)
+    led = buckets.where("node != lead").groupBy("node", "lead").agg((-F.count(F.lit(1))).alias("n"))
+    found = components(verified(led.groupBy(F.col("node").alias("a")).agg(F.min_by("lead", F.struct("n", "lead")).alias("b"))))
 
     def divided() -> tuple[DataFrame, DataFrame]:
         """Members of buckets in several components, and for each such bucket its largest component
@@ -342,9 +353,10 @@ def classified(docs: DataFrame) -> DataFrame:
         return placed, apart.select("band", F.col("m.root").alias("main"), "m.leads", F.col("m.n").alias("inside"), (F.col("all") - F.col("m.n")).alias("outside"))
 
     placed, apart = divided()
-    more = placed.join(apart.select("band", "main", "leads"), "band").where("root != main").select(F.col("node").alias("a"), F.explode("leads").alias("b"))
-    links = links.unionByName(verified(more.distinct()))
-    found = components(links)
+    more = placed.join(apart.select("band", "main", "leads"), "band").where("root != main").select(F.col("node").alias("a"), "main", F.explode("leads").alias("b"))
+    more = more.groupBy("a", "main", "b").agg((-F.count(F.lit(1))).alias("n")).groupBy("a", "main")  # a lead has BANDS buckets with a node at most
+    more = more.agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b"))), 1, LEADERS).alias("leads")).select("a", F.explode("leads.b").alias("b"))
+    found = merged(found, verified(more.distinct()))
 
     placed, apart = divided()
     outer, mains = F.ceil(F.col("outside") / BLOCK).cast("int"), F.ceil(F.col("inside") / MAIN).cast("int")
@@ -383,7 +395,7 @@ def classified(docs: DataFrame) -> DataFrame:
     if not waiting.isEmpty():
         texts = stored(texts_of(waiting.select("node").distinct()), "texts")
         new = stored(waiting.join(texts, "node").groupBy(keys).applyInPandas(joining, "a long, b long"), "links")
-        found = components(links.unionByName(new))
+        found = merged(found, new)
 
     owners = reps.join(found, "node", "left").select("node", "rep", "text_key", F.coalesce("root", "node").alias("root"))
     classes = owners.groupBy("root").agg(smallest("rep").alias("first"))

@@ -143,6 +143,26 @@ def test_members_of_the_largest_component_are_dealt_once(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in B.near_duplicates(docs).collect()} == brute_classes(rows)
 
 
+def test_comparisons_of_a_group_grow_with_its_nodes(spark, monkeypatch):
+    """Near copies are compared with one leader each, then with LEADERS members of a component at
+    most, however many buckets they share."""
+    paths, path = [], B.scratch_path
+    monkeypatch.setattr(B, "scratch_path", lambda *x: paths.append(path(*x)) or paths[-1])
+    rows = list(enumerate(varied(80, 3, 53)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in B.near_duplicates(docs).collect()} == brute_classes(rows)
+    first = spark.read.parquet(next(x for x in paths if "/pairs-" in x))
+    assert first.groupBy("a").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_links_are_added_to_components(spark):
+    links = lambda *x: spark.createDataFrame(x, "a long, b long")
+    found = B.components(links((2, 1), (4, 3), (6, 5)))
+    got = {r.node: r.root for r in B.merged(found, links((4, 6), (9, 8), (8, 6), (11, 10), (2, 1))).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 8: 3, 9: 3, 10: 10, 11: 10}
+    assert {r.node: r.root for r in B.merged(found, links()).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
 def varied(n, changes, seed):
     rng = random.Random(seed)
     words, out = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(150)], []
