@@ -238,13 +238,14 @@ def last_understood(lines: DataFrame) -> DataFrame:
 
 def links(node_rows: DataFrame, declared: DataFrame, at: Column, prefix: str) -> DataFrame:
     """``(script, name, href)`` of stored inputs and of outputs that are not debug files.
-    ``declared(script, key, value)`` holds the resolved parameters."""
+    ``declared(script, key, value)`` holds the resolved parameters. They grow with the scripts, but are
+    estimated from the size of stored texts that compress well: unhinted, Spark would broadcast them."""
     is_input = F.col("name").startswith("SSTREAM_")
     is_output = (F.col("type") == "output") & ~F.lower("name").contains("debug")
     key = F.when(is_input, F.expr("substr(name, instr(name, '_') + 1)")).otherwise(F.col("name"))
     asked = node_rows.filter(is_input | is_output).select("script", "name", key.alias("key")).distinct()
     keyed = declared.select("script", F.concat(F.lit("@"), "key").alias("key"), "value")
-    return asked.join(keyed, ["script", "key"]).select("script", "name", link(F.col("value"), at, prefix).alias("href"))
+    return asked.join(keyed.hint("merge"), ["script", "key"]).select("script", "name", link(F.col("value"), at, prefix).alias("href"))
 
 
 def export_edges(edge_rows: DataFrame) -> DataFrame:

@@ -175,3 +175,17 @@ def test_loop_bodies_are_read_once(spark):
     assert "(.*)" not in done._jdf.queryExecution().optimizedPlan().toString()
     want = ["x0;x1;z", "\nx0;\nx1;\nz", "\nx0;\nx1;\n  z", "z", "\nz"]
     assert [r.text for r in done.orderBy("script").collect()] == want
+
+
+def test_links_broadcast_no_declarations(spark):
+    """Declarations grow with the scripts, however small Spark takes them to be: they meet the names by shuffles."""
+    names = [("s", "SSTREAM_@In", "input"), ("s", "@In", "output"), ("s", "@Out", "output"), ("s", "@DebugOut", "output"),
+             ("s", "EXTRACT_@Out", "input"), ("t", "SSTREAM_@In", "input"), ("t", "@Odd", "output"), (None, "@Out", "output")]
+    nodes = spark.createDataFrame(names * 2, "script string, name string, type string")
+    values = "VALUES ('s', 'In', '\"/in\"'), ('s', 'Out', '/%Y?date'), ('s', 'DebugOut', '/d'), ('t', 'In', '/t'), ('t', 'Out', '/o'), (NULL, 'Out', '/n')"
+    declared = spark.sql(f"SELECT * FROM {values} AS v(script, key, value)")
+    done = L.links(nodes, declared, F.lit("2018-12-12").cast("timestamp_ntz"), "p")
+    got = sorted(map(tuple, done.collect()))
+    assert got == [("s", "@In", "p/in?property=info"), ("s", "@Out", "p/2018?property=info"), ("s", "SSTREAM_@In", "p/in?property=info"),
+                   ("t", "SSTREAM_@In", "p/t?property=info")]
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
