@@ -39,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SUPPORT, LEAST_PRECISION = 3, 5, 0.8
 FORM = 0.3  # what the loose form of its kind adds to a candidate's score
 SPAN = 4  # words between two context words
-LISTED = 2000  # so many patterns are looked up as a list, more by a join
+LISTED, SENT = 2000, 1_000_000  # so many patterns are looked up as a list, so many more by a broadcast
 PART, SURE = 16, 1.5  # one in PART texts shows which patterns are far too common, SURE times beyond the bound
 #: What stands for a base span of each kind, for any of them, and for an end of the text.
 CODES, MASK, EDGE = "\ue000\ue001\ue002\ue003", "\ue004", "\ue005"
@@ -190,16 +190,14 @@ def words_of(rows: DataFrame, wanted: Callable[[Column, Callable[[int], Column]]
     rows = rows.select("doc_id", "text_key", "w", F.when(F.col("coded").isNull(), plain).otherwise(masked).alias("h"))
     edge = F.xxhash64(F.lit(EDGE))
 
-    def near(at: Column) -> Callable[[int], Column]:
-        return lambda by: F.coalesce(F.get("h", at + by), edge)
+    def near(by: int) -> Column:
+        return F.coalesce(F.get("h", F.col("at") + by), edge)
 
-    def word(at: Column) -> Column:
-        return F.struct(at.alias("at"), F.get("w", at).alias("w"), *(near(at)(by).alias(side(by)) for by in (-2, -1, *range(1, SPAN + 1))))
-
-    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+    # Places become rows before anything is made of them: what follows is compiled, unlike the body of a fold.
+    each = rows.select("*", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("at"))
     if wanted is not None:
-        places = F.filter(places, lambda at: wanted(F.get("w", at), near(at)))
-    each = rows.select("doc_id", "text_key", F.explode(F.transform(places, word)).alias("x")).select("doc_id", "text_key", "x.*")
+        each = each.where(wanted(F.get("w", "at"), near))
+    each = each.select("doc_id", "text_key", "at", F.get("w", "at").alias("w"), *(near(by).alias(side(by)) for by in (-2, -1, *range(1, SPAN + 1))))
     return each.selectExpr("*", *(f"{key} AS {name}" for name, (_, key) in CONTEXTS.items()))
 
 
@@ -240,23 +238,28 @@ def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
         found = [F.xxhash64(F.lit(kind), *map(near, at)).isin(listed) for _, kind, at in PLACES.values()]
         return (near(-1).isin(left) | near(1).isin(right)) & reduce(or_, found)
 
+    hashes, none = [f"r{i}" for i in range(1, SPAN)], f"(xxhash64('{MASK}'), xxhash64('{EDGE}'))"
+    whole = (" AND ".join([f"{name} != 0", *(f"r{i} NOT IN {none}" for i in range(1, m))]) for name, (m, _) in CONTEXTS.items())
+    held = ", ".join(f"if({x}, {name}, 0L)" for name, x in zip(CONTEXTS, whole))
+    sizes = F.array(*(F.lit(m) for m, _ in CONTEXTS.values()))
+
+    def held_in(words: DataFrame) -> DataFrame:
+        """The words once for each of their contexts."""
+        each = words.select("doc_id", "text_key", "at", "w", *hashes, F.posexplode(F.expr(f"array({held})")).alias("place", "key")).where("key != 0")
+        return each.withColumn("words", F.get(sizes, "place"))
+
     if len(few) <= LISTED:  # a bounded list: only words in a pattern become rows
-        each = words_of(rows, inside)
-    else:
-        each = words_of(rows)
-    held = []
-    for name, (m, _) in CONTEXTS.items():
-        inner = [f"r{i}" for i in range(1, m)]
-        whole = " AND ".join(f"{x} NOT IN (xxhash64('{MASK}'), xxhash64('{EDGE}'))" for x in inner) or "true"
-        held.append(f"if({whole}, struct({m} AS words, {name} AS key), NULL)")
-    bad = " AND ".join(f"NOT contains(w, '{x}')" for x in CODES)
-    hashes = [f"r{i}" for i in range(1, SPAN)]
-    each = each.selectExpr("doc_id", "text_key", "at", "w", *hashes, f"explode(array({', '.join(held)})) AS x")
-    each = each.select("doc_id", "text_key", "at", "w", *hashes, "x.*").where("key != 0")
-    each = each.where(F.col("key").isin(listed)) if len(few) <= LISTED else each.join(keys.select("key").distinct(), "key", "left_semi")
+        each = held_in(words_of(rows, inside)).where(F.col("key").isin(listed)).withColumn("met", F.col("key"))
+    else:  # the patterns go to the words, a bounded number at a time: no word outside them is shuffled
+        keys = cut_lineage(keys.select("key", F.col("key").alias("met")).distinct())
+        turns = -(-keys.count() // SENT)
+        some = [keys.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == i) for i in range(turns)] if turns > 1 else [keys]
+        each = reduce(DataFrame.unionAll, [held_in(words_of(rows)).join(F.broadcast(x), "key") for x in some])
+    # one case that names ``met``, so that no part of it is tested on every word before the join
     several = [f"WHEN {m} THEN concat('#', hex(xxhash64(w, {', '.join(hashes[: m - 1])})))" for m in range(2, SPAN + 1)]
-    value = f"CASE words {' '.join(several)} ELSE {trimmed('w')} END AS value"
-    return each.where(bad).selectExpr("doc_id", "text_key", "at", "words", "key", value).where("value != ''")
+    bad = " OR ".join(f"contains(w, '{x}')" for x in CODES)
+    value = f"CASE WHEN met = 0 OR {bad} THEN '' ELSE CASE words {' '.join(several)} ELSE {trimmed('w')} END END AS value"
+    return each.selectExpr("doc_id", "text_key", "at", "words", "key", value).where("value != ''")
 
 
 def form(kind: Column, value: Column) -> Column:
@@ -308,7 +311,9 @@ def found_instances(rows: DataFrame) -> DataFrame | None:
         return patterns.join(many, "key", "left").where(F.col("n").isNull() | (margin * F.col("support") >= (LEAST_PRECISION - FORM) * 0.7 * F.col("n")))
 
     # what is far too common in a part of the texts is so in all of them, and goes before its instances are written
-    part = occurrences(rows.where(F.pmod("text_key", F.lit(PART)) == 0), patterns.join(places, "key"))
+    # (in fewer tasks, as each has a sketch for every pattern it meets)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // PART)
+    part = occurrences(rows.where(F.pmod("text_key", F.lit(PART)) == 0).coalesce(tasks), patterns.join(places, "key"))
     open_ = cut_lineage(rare(part, SURE).select("key"))
     path = scratch_path(rows.sparkSession, "pattern-graph")
     occurrences(rows, places.join(open_, "key", "left_semi")).write.parquet(path)

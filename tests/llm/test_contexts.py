@@ -45,6 +45,26 @@ def test_only_words_in_a_pattern_become_rows(spark, monkeypatch):
     assert pii.occurrences(rows, patterns).count() == 0 and made[0].count() == 8
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 3])
+def test_many_patterns_go_to_the_words(spark, monkeypatch, sent):
+    """Beyond the list no word is shuffled to meet the patterns, however few of them are sent at once, and nothing is made of words outside them."""
+    rows = [(i, f"mail: user{i}@site{i}.org, or call +1 555 010 0{i:02d} and w{i} so mail: x{i} or") for i in range(30)]
+    rows = pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string")).localCheckpoint()
+    patterns = pii.seeds_of(rows).select("key", "anchor", "right").distinct().localCheckpoint()
+    want = sorted(map(tuple, pii.occurrences(rows, patterns).collect()))
+    monkeypatch.setattr(pii, "LISTED", 0)
+    monkeypatch.setattr(pii, "SENT", sent, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pii.occurrences(rows, patterns)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert want and sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == -(-patterns.select("key").distinct().count() // sent) and "hashpartitioning" not in plan
+    assert "regexp_replace(w" not in plan[plan.rindex("BroadcastHashJoin") :].split("\n", 1)[1]
+
+
 def test_a_text_is_matched_once(spark):
     """The matches of a text are one expression, not one per chunk of them."""
     told = str(pii.located(F.col("text"), pii.WORD, r"\S")._jc)
