@@ -385,9 +385,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     All spans are located in the original text; those that overlap become one, named after the
     first. Null texts stay null."""
     rows = stored_spans(docs)
-    added = found_in_context(rows).withColumnsRenamed({"doc_id": "redact id", "text_key": "redact key", "context": "redact context"})
+    added = cut_lineage(found_in_context(rows).withColumnsRenamed({"doc_id": "redact id", "text_key": "redact key", "context": "redact context"}))
     keyed = docs.withColumn("redact own", F.xxhash64("text"))
-    keyed = keyed.join(added, F.col("doc_id").eqNullSafe(F.col("redact id")) & (F.col("redact own") == F.col("redact key")), "left")
+    keyed = broadcast_right(keyed, added, F.col("doc_id").eqNullSafe(F.col("redact id")) & (F.col("redact own") == F.col("redact key")), "left")
     text, labels = F.col("text"), F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, "id")))
 
     def placed(spans: Column, label: int) -> Column:

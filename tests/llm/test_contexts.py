@@ -65,6 +65,21 @@ def test_many_patterns_go_to_the_words(spark, monkeypatch, sent):
     assert "regexp_replace(w" not in plan[plan.rindex("BroadcastHashJoin") :].split("\n", 1)[1]
 
 
+def test_texts_stay_where_they_are(spark):
+    """No whole text is shuffled to meet the few spans that contexts add."""
+    rows = [(i, f"so token = {i:031x}a and", "x") for i in range(10, 40)] + [(90, "so token = zz9-zz9-zz9-zz9-zz9 and", "x"), (91, None, "x"), (None, "to a@b.cd", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pii.redacted(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r.doc_id: r.text for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert len(found) == 33 and found[10] == found[90] == "so token = [ID] and" and found[91] is None and found[None] == "to [EMAIL]"
+
+
 def test_a_text_is_matched_once(spark):
     """The matches of a text are one expression, not one per chunk of them."""
     told = str(pii.located(F.col("text"), pii.WORD, r"\S")._jc)
